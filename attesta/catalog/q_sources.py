@@ -211,9 +211,9 @@ def _(t):
 
 
 GROUNDED_SQL = """
-    refs AS (SELECT s.artifact_id, s.position, u.place, u.ref, c.source_id, c.confidence
-             FROM {v_statement} s, unnest(s.refs, range(1, len(s.refs) + 1)) AS u(ref, place)
-             LEFT JOIN {v_citation} c ON c.artifact_id = s.artifact_id AND c.rank = u.ref),
+    refs AS (SELECT u.artifact_id, u.position, u.place, u.ref, c.source_id, c.confidence
+             FROM (SELECT artifact_id, position, unnest(refs) AS ref, generate_subscripts(refs, 1) AS place FROM {v_statement}) u
+             LEFT JOIN {v_citation} c ON c.artifact_id = u.artifact_id AND c.rank = u.ref),
     bad AS (SELECT artifact_id, position, min(CASE WHEN confidence IS NULL THEN place END) AS bad,
                    bool_and(coalesce(confidence = 'GROUNDED', false)) AS ok FROM refs GROUP BY 1, 2),
     cited AS (SELECT r.artifact_id, r.position, r.place, r.source_id FROM refs r JOIN bad b USING (artifact_id, position)

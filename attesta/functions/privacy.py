@@ -77,38 +77,53 @@ def _replace(col: Column, pattern: str, ignore_case: bool, mask: str) -> Column:
     return masked if applies is None else F.when(applies, masked).otherwise(col)
 
 
-def redact_steps(text: Col) -> list[tuple[str, Column]]:
-    """The text after each category, in order; each step works on the previous one's result."""
-    steps, current = [], _c(text)
-    for category, mask, patterns in REDACTION:
-        for pattern, ignore_case in patterns:
-            current = _replace(current, pattern, ignore_case, mask)
-        steps.append((category, current))
-    return steps
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``.
+
+    Without the binding, a filter that Spark pushes down would copy the whole
+    chain of replacements once per use, step after step.
+    """
+    return F.transform(F.array(value), body)[0]
 
 
-def redact(df, text: str = "text", prefix: str = ""):
-    """Add ``redacted_text``, ``categories_hit`` and ``redaction_applied``.
+def redacted(text: Col) -> Column:
+    """Struct (text, categories): the masked text and the categories hit, in order.
 
-    Each category becomes one projection over the previous one, so a pattern runs
-    once per row. A category counts as hit when its patterns changed the text:
-    every mask differs from whatever it replaces, except a mask replaced by
-    itself, which the patterns cannot match.
+    Each pattern works on the text the previous one left. A category counts as hit
+    when its patterns changed the text.
     """
-    current = F.col(text)
-    masked = [f"{prefix}_m{i}" for i in range(len(REDACTION))]
-    names = [category for category, _, _ in REDACTION]
-    for i, (_, mask, patterns) in enumerate(REDACTION):
-        for j, (pattern, ignore_case) in enumerate(patterns):
-            df = df.withColumn(masked[i], _replace(current, pattern, ignore_case, mask))
-            current = F.col(masked[i])
-    before = [text] + masked[:-1]
-    hits = F.array(*[F.when(~F.col(b).eqNullSafe(F.col(m)), F.lit(n)) for b, m, n in zip(before, masked, names)])
+    state = F.struct(_c(text).alias("text"), F.array().cast("array<string>").alias("categories"))
+
+    def category_step(category: str, mask: str, patterns: list):
+        def step(s: Column) -> Column:
+            masked = s["text"]
+            for pattern, ignore_case in patterns:
+                masked = _let(masked, lambda v, p=pattern, i=ignore_case: _replace(v, p, i, mask))
+            return _let(
+                masked,
+                lambda new: F.struct(
+                    new.alias("text"),
+                    F.when(new != s["text"], F.array_append(s["categories"], F.lit(category)))
+                    .otherwise(s["categories"])
+                    .alias("categories"),
+                ),
+            )
+
+        return step
+
+    for category, mask, patterns in REDACTION:
+        state = _let(state, category_step(category, mask, patterns))
+    return state
+
+
+def redact(df, text: str = "text"):
+    """Add ``redacted_text``, ``categories_hit`` and ``redaction_applied``."""
     return (
-        df.withColumn(f"{prefix}redacted_text", F.col(masked[-1]))
-        .withColumn(f"{prefix}categories_hit", F.array_compact(hits))
-        .withColumn(f"{prefix}redaction_applied", F.size(F.col(f"{prefix}categories_hit")) > 0)
-        .drop(*masked)
+        df.withColumn("_r", redacted(text))
+        .withColumn("redacted_text", F.col("_r.text"))
+        .withColumn("categories_hit", F.col("_r.categories"))
+        .withColumn("redaction_applied", F.size("categories_hit") > 0)
+        .drop("_r")
     )
 
 

@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.functions.governance import display_subject
-from attesta.functions.privacy import redact
-from attesta.functions.text import is_blank
-from attesta.rules import DISPLAY_SUBJECTS, ERROR_RATE_LIMIT, LATENCY_P95_TARGET_MS, SUBJECT_LABELS
+from attesta.functions.privacy import redacted
+from attesta.rules import DISPLAY_SUBJECTS, ERROR_RATE_LIMIT, LATENCY_P95_TARGET_MS, REDACTION, SUBJECT_LABELS
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -85,8 +84,10 @@ def ingest_report(outcomes: DataFrame) -> DataFrame:
 
 def redaction_stats(df: DataFrame, text: str = "text") -> DataFrame:
     """Texts hit per redaction category."""
-    hits = redact(df.select(text), text).select(F.explode("categories_hit").alias("category"))
-    return hits.groupBy("category").agg(F.count("*").alias("texts"))
+    names = [category for category, _, _ in REDACTION]
+    hits = df.select(redacted(text)["categories"].alias("_hit"))
+    counts = hits.agg(*[F.count_if(F.array_contains("_hit", F.lit(n))).alias(n) for n in names])
+    return counts.unpivot([], names, "category", "texts").filter(F.col("texts") > 0)
 
 
 def available_subjects(strands: DataFrame) -> DataFrame:
