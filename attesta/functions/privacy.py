@@ -19,14 +19,18 @@ def engine_pattern(pattern: str, ignore_case: bool) -> str:
     * white space is the Unicode class, the word boundary is the ASCII one;
     * repeated word groups are possessive, which the JVM runs as a loop instead
       of recursing once per word. Where a suffix must follow the last word, the
-      loop takes only words that another word follows, so nothing is lost.
+      loop takes only words that another word follows, so nothing is lost;
+    * such a chain of words is tried from its first letter only (or from where
+      the last match ended): all later starts in it would end in the same place.
     """
     word, more = "[A-ZÄÖÜ][a-zäöüß]+", "(?:[-\\s][A-ZÄÖÜ][a-zäöüß]+)*"
     if pattern.endswith(word + more):
         pattern = pattern + "+"
     elif pattern.startswith(word + more):
         start = "[A-ZÄÖÜ][a-zäöüß]"
-        pattern = f"(?:{start}[a-zäöüß]*+[-\\s](?={start}))*+{start}[a-zäöüß]*?" + pattern[len(word + more) :]
+        chain_start = f"(?:\\G|(?<=\\G[a-zäöüß][-\\s])|(?<![A-ZÄÖÜ])(?<!{start}[-\\s]))"
+        words = f"(?:{start}[a-zäöüß]*+[-\\s](?={start}))*+{start}[a-zäöüß]*?"
+        pattern = chain_start + words + pattern[len(word + more) :]
     out, in_class, i = [], False, 0
     while i < len(pattern):
         pair = pattern[i : i + 2]
@@ -94,11 +98,14 @@ def redacted(text: Col) -> Column:
     """
     state = F.struct(_c(text).alias("text"), F.array().cast("array<string>").alias("categories"))
 
+    def replacing(pattern: str, ignore_case: bool, mask: str):
+        return lambda v: _replace(v, pattern, ignore_case, mask)
+
     def category_step(category: str, mask: str, patterns: list):
         def step(s: Column) -> Column:
             masked = s["text"]
             for pattern, ignore_case in patterns:
-                masked = _let(masked, lambda v, p=pattern, i=ignore_case: _replace(v, p, i, mask))
+                masked = _let(masked, replacing(pattern, ignore_case, mask))
             return _let(
                 masked,
                 lambda new: F.struct(
