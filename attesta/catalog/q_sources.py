@@ -389,7 +389,7 @@ def _(t):
            CASE WHEN lower(name) LIKE '%.pdf' THEN 'application/pdf' ELSE 'text/plain' END AS content_type
     FROM (SELECT doc_id, split_part(rel_path, '/', 1) AS top, split_part(rel_path, '/', 2) AS sub, split_part(rel_path, '/', -1) AS name FROM {v_path})
     WHERE top IN ('lehrplaene', 'bildungsstandards-kmk', 'niveaubestimmende-aufgaben', 'lektueren-gemeinfrei')
-      AND regexp_matches(lower(name), '.\.(pdf|txt)$')
+      AND regexp_matches(lower(name), '(?s).\.(pdf|txt)$')
     """,
 )
 def _(t):

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from attesta.functions.text import Col, _c
+from attesta.functions.text import Col, _c, let
 from attesta.rules import GUARD, REDACTION, WS
 
 _WORD = "A-Za-z0-9_"
@@ -21,8 +23,10 @@ def engine_pattern(pattern: str, ignore_case: bool) -> str:
       of recursing once per word. Where a suffix must follow the last word, the
       loop takes only words that another word follows, so nothing is lost;
     * such a chain of words is tried from its first letter only (or from where
-      the last match ended): all later starts in it would end in the same place.
+      the last match ended): all later starts in it would end in the same place;
+    * the first character is looked at before anything else.
     """
+    original = pattern
     word, more = "[A-ZÄÖÜ][a-zäöüß]+", "(?:[-\\s][A-ZÄÖÜ][a-zäöüß]+)*"
     if pattern.endswith(word + more):
         pattern = pattern + "+"
@@ -49,45 +53,64 @@ def engine_pattern(pattern: str, ignore_case: bool) -> str:
             in_class = True if pair[0] == "[" else False if pair[0] == "]" else in_class
             out.append(pair[0])
             i += 1
-    return ("(?iu)" if ignore_case else "") + "".join(out)
-
-
-def _needed(pattern: str) -> list[str] | None:
-    """Plain characters without which the pattern cannot match (a cheap test first)."""
+    return _starts(original, ignore_case) + ("(?iu)" if ignore_case else "") + "".join(out)
+
+
+def _first_letters(pattern: str) -> str | None:
+    """Letters a match can start with, when the pattern starts with plain words."""
+    body = pattern.removeprefix("\\b")
+    if not body.startswith("(?:"):
+        return body[:1] if body[:1].isalpha() and "|" not in body else None
+    depth, letters, at_start = 0, [], False
+    for i, char in enumerate(body):
+        if char == "(":
+            depth += 1
+        elif char == ")":
+            depth -= 1
+            if depth == 0:
+                break
+        if depth == 1 and (char == "|" or (char == ":" and i == 2)):
+            at_start = True
+        elif at_start:
+            letters.append(char)
+            at_start = False
+    return "".join(dict.fromkeys(letters)) if letters and all(c.isalpha() for c in letters) else None
+
+
+def _starts(pattern: str, ignore_case: bool) -> str:
+    """A cheap look at the first character, ahead of boundaries and alternatives."""
+    if pattern.startswith(("\\b\\d", "\\d")):
+        return "(?=[0-9])"
+    letters = _first_letters(pattern)
+    if letters is None:
+        return ""
+    return f"(?=[{''.join(dict.fromkeys(letters.lower() + letters.upper())) if ignore_case else letters}])"
+
+
+def digit_level(col: Column) -> Column:
+    """0 without digits, 1 with any, 2 with four in a row. Masks add none, so it holds for masked text too."""
+    return F.when(col.rlike("[0-9]{4}"), F.lit(2)).when(col.rlike("[0-9]"), F.lit(1)).otherwise(F.lit(0))
+
+
+def _applies(col: Column, digits: Column, pattern: str) -> Column:
+    """Cheap conditions without which the pattern cannot match."""
+    tests = []
+    if "\\d" in pattern:
+        tests.append(digits >= (2 if re.search(r"\\d\{[45]", pattern) else 1))
     if "@" in pattern:
-        return ["@"]
+        tests.append(F.contains(col, F.lit("@")))
     if pattern.startswith("\\+"):
-        return ["+"]
+        tests.append(F.contains(col, F.lit("+")))
     if pattern.startswith("\\["):
-        return ["["]
+        tests.append(F.contains(col, F.lit("[")))
     if "[:=]" in pattern and "[:=]?" not in pattern:
-        return [":", "="]
-    return None
-
+        tests.append(F.contains(col, F.lit(":")) | F.contains(col, F.lit("=")))
+    return reduce(lambda a, b: a & b, tests, F.lit(True))
 
-def _applies(col: Column, pattern: str) -> Column | None:
-    needed = _needed(pattern)
-    if needed is None:
-        return None
-    test = F.contains(col, F.lit(needed[0]))
-    for char in needed[1:]:
-        test = test | F.contains(col, F.lit(char))
-    return test
 
-
-def _replace(col: Column, pattern: str, ignore_case: bool, mask: str) -> Column:
+def _replace(col: Column, digits: Column, pattern: str, ignore_case: bool, mask: str) -> Column:
     masked = F.regexp_replace(col, engine_pattern(pattern, ignore_case), mask)
-    applies = _applies(col, pattern)
-    return masked if applies is None else F.when(applies, masked).otherwise(col)
-
-
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it several times in ``body``.
-
-    Without the binding, a filter that Spark pushes down would copy the whole
-    chain of replacements once per use, step after step.
-    """
-    return F.transform(F.array(value), body)[0]
+    return F.when(_applies(col, digits, pattern), masked).otherwise(col)
 
 
 def redacted(text: Col) -> Column:
@@ -96,20 +119,26 @@ def redacted(text: Col) -> Column:
     Each pattern works on the text the previous one left. A category counts as hit
     when its patterns changed the text.
     """
-    state = F.struct(_c(text).alias("text"), F.array().cast("array<string>").alias("categories"))
+    state = let(
+        _c(text),
+        lambda x: F.struct(
+            x.alias("text"), digit_level(x).alias("digits"), F.array().cast("array<string>").alias("categories")
+        ),
+    )
 
-    def replacing(pattern: str, ignore_case: bool, mask: str):
-        return lambda v: _replace(v, pattern, ignore_case, mask)
+    def replacing(digits: Column, pattern: str, ignore_case: bool, mask: str):
+        return lambda v: _replace(v, digits, pattern, ignore_case, mask)
 
     def category_step(category: str, mask: str, patterns: list):
         def step(s: Column) -> Column:
             masked = s["text"]
             for pattern, ignore_case in patterns:
-                masked = _let(masked, replacing(pattern, ignore_case, mask))
-            return _let(
+                masked = let(masked, replacing(s["digits"], pattern, ignore_case, mask))
+            return let(
                 masked,
                 lambda new: F.struct(
                     new.alias("text"),
+                    s["digits"].alias("digits"),
                     F.when(new != s["text"], F.array_append(s["categories"], F.lit(category)))
                     .otherwise(s["categories"])
                     .alias("categories"),
@@ -119,7 +148,7 @@ def redacted(text: Col) -> Column:
         return step
 
     for category, mask, patterns in REDACTION:
-        state = _let(state, category_step(category, mask, patterns))
+        state = let(state, category_step(category, mask, patterns))
     return state
 
 
@@ -136,12 +165,16 @@ def redact(df, text: str = "text"):
 
 def residual_pattern(text: Col) -> Column:
     """Number (from 1) of the first residual pattern found, null when the text is safe."""
-    out = F.lit(None).cast("int")
-    for number, (pattern, ignore_case) in reversed(list(enumerate(GUARD, 1))):
-        hit = _c(text).rlike(engine_pattern(pattern, ignore_case))
-        applies = _applies(_c(text), pattern)
-        out = F.when(hit if applies is None else applies & hit, F.lit(number)).otherwise(out)
-    return out
+
+    def first_hit(x: Column) -> Column:
+        digits = digit_level(x)
+        out = F.lit(None).cast("int")
+        for number, (pattern, ignore_case) in reversed(list(enumerate(GUARD, 1))):
+            hit = _applies(x, digits, pattern) & x.rlike(engine_pattern(pattern, ignore_case))
+            out = F.when(hit, F.lit(number)).otherwise(out)
+        return out
+
+    return let(_c(text), first_hit)
 
 
 def is_blocked(text: Col) -> Column:

@@ -24,6 +24,15 @@ def _c(col: Col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``.
+
+    A plain reference would be copied once per use when Spark pushes a filter
+    through the projection that defines it, and such copies multiply along a chain.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def trim_ws(col: Col) -> Column:
     """Trim the full Unicode white-space class (Spark's trim only drops blanks)."""
     return F.regexp_replace(_c(col), f"^[{WS}]+|[{WS}]+$", "")
@@ -53,8 +62,11 @@ def chunk_array(
     """
     if overlap >= size:
         raise ValueError(f"overlap ({overlap}) must be smaller than size ({size})")
+    return let(_c(col), lambda text: _pieces(text, size, overlap, min_len))
+
+
+def _pieces(text: Column, size: int, overlap: int, min_len: int) -> Column:
     step = size - overlap
-    text = _c(col)
     length = F.length(text)
     last = F.ceil(F.greatest(length - F.lit(size), F.lit(0)) / F.lit(step)).cast("int")
 
@@ -85,7 +97,13 @@ def chunk_array(
 def chunk_text(df: DataFrame, text: str = "content", keep: list[str] | None = None, **opts) -> DataFrame:
     """One row per chunk; only the columns in ``keep`` travel along (the explode multiplies them)."""
     carried = [c for c in (keep if keep is not None else df.columns) if c != text]
-    rows = df.select(*carried, F.explode(chunk_array(text, **opts)).alias("_chunk"))
+    return explode_chunks(df, chunk_array(text, **opts), carried)
+
+
+def explode_chunks(df: DataFrame, chunks: Column, carried: list[str]) -> DataFrame:
+    """Chunk rows of an array column. The outer form keeps Spark from adding a size
+    filter that would build all chunks a second time below the explode."""
+    rows = df.select(*carried, F.explode_outer(chunks).alias("_chunk")).filter(F.col("_chunk").isNotNull())
     return rows.select(*carried, "_chunk.*")
 
 
@@ -244,16 +262,21 @@ def parse_constraints(col: Col, limit: int = MAX_CONSTRAINTS) -> Column:
 
 def strip_json_fences(col: Col) -> Column:
     """The JSON part of a reply: without code fence, cut to the outermost brackets."""
-    text = trim_ws(col)
     fence = r"(?s)^```(?:json|JSON)?[" + WS + r"]*\n?(.*?)\n?```$"
-    inner = F.regexp_extract(text, fence, 1)
-    text = F.when(inner != "", trim_ws(inner)).otherwise(text)
-    start = F.regexp_instr(text, F.lit(r"[{\[]"))
-    tail = F.length(text) - F.regexp_instr(F.reverse(text), F.lit(r"[}\]]")) + 1
-    has_end = F.regexp_instr(F.reverse(text), F.lit(r"[}\]]")) > 0
-    starts_json = text.startswith("{") | text.startswith("[")
-    cut = F.when((start > 0) & has_end & (tail > start), F.substring(text, start, tail - start + 1)).otherwise(text)
-    return trim_ws(F.when(starts_json, text).otherwise(cut))
+
+    def unfenced(text: Column) -> Column:
+        return let(
+            F.regexp_extract(text, fence, 1), lambda inner: F.when(inner != "", trim_ws(inner)).otherwise(text)
+        )
+
+    def cut(text: Column) -> Column:
+        first = F.regexp_instr(text, F.lit(r"[{\[]"))
+        last = F.length(text) + 1 - F.regexp_instr(F.reverse(text), F.lit(r"[}\]]"))
+        starts_json = text.startswith("{") | text.startswith("[")
+        usable = ~starts_json & (first > 0) & (last <= F.length(text)) & (last > first)
+        return trim_ws(F.when(usable, F.substring(text, first, last - first + 1)).otherwise(text))
+
+    return let(let(trim_ws(col), unfenced), cut)
 
 
 def json_repair(col: Col, array_property: str | None = "statements") -> Column:
@@ -262,9 +285,11 @@ def json_repair(col: Col, array_property: str | None = "statements") -> Column:
     Null means that no valid JSON could be found (a failure row, not an error).
     Pass ``array_property=None`` when the schema has none or several of them.
     """
-    text = strip_json_fences(col)
-    valid = F.try_parse_json(text).isNotNull()
-    if array_property is not None:
+    def shaped(text: Column) -> Column:
+        valid = F.try_parse_json(text).isNotNull()
+        if array_property is None:
+            return F.when(valid, text)
         wrapped = F.concat(F.lit('{"' + array_property + '":'), text, F.lit("}"))
-        text = F.when(text.startswith("["), wrapped).otherwise(text)
-    return F.when(valid, text)
+        return F.when(valid, F.when(text.startswith("["), wrapped).otherwise(text))
+
+    return let(strip_json_fences(col), shaped)

@@ -24,7 +24,8 @@ def index_quality(sources: DataFrame, chunks: DataFrame) -> DataFrame:
     of_sources = sources.agg(
         F.count("*").alias("total"), F.count_if(~is_blank_or_dash("license_info")).alias("_licensed")
     )
-    joined = of_sources.join(of_chunks)  # two single-row aggregates
+    both = of_sources.unionByName(of_chunks, allowMissingColumns=True)
+    joined = both.agg(*[F.max(c).alias(c) for c in both.columns])
     return joined.select(
         "chunks",
         "indexed_sources",
@@ -65,8 +66,10 @@ def dashboard_metrics(units: DataFrame, sheets: DataFrame, drafts: DataFrame, so
     total = sources.filter(alive).agg(F.count("*").alias("sources"))
     owners = unit_counts.join(sheet_counts, "owner_id", "full").join(draft_counts, "owner_id", "full")
     zero = F.lit(0).cast("bigint")
-    return owners.join(total).select(
-        "owner_id", *[F.coalesce(c, zero).alias(c) for c in ("units", "sheets", "drafts")], "sources"
+    return owners.select(
+        "owner_id",
+        *[F.coalesce(c, zero).alias(c) for c in ("units", "sheets", "drafts")],
+        total.scalar().alias("sources"),
     )
 
 

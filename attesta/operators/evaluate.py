@@ -57,16 +57,14 @@ def summarize(scores: DataFrame, questions: DataFrame) -> DataFrame:
     totals = questions.agg(
         F.count("*").alias("total"), F.count_if(~F.col("status").eqNullSafe(F.lit("active"))).alias("skipped")
     )
-    overall = totals.join(rolled.filter(F.col("_all") == 1), how="left")
+    both = totals.unionByName(rolled.filter(F.col("_all") == 1).drop("_all", "domain"), allowMissingColumns=True)
     zero = F.lit(0.0)
-    columns = [F.coalesce(f"mean_{m}", zero).alias(f"mean_{m}") for m in metrics]
-    head = overall.select(
-        F.lit(None).cast("string").alias("domain"),
-        F.coalesce("questions", F.lit(0)).cast("bigint").alias("questions"),
-        *columns,
-        "total",
-        "skipped",
-    )
+    head = both.agg(
+        F.coalesce(F.max("questions"), F.lit(0)).cast("bigint").alias("questions"),
+        *[F.coalesce(F.max(f"mean_{m}"), zero).alias(f"mean_{m}") for m in metrics],
+        F.max("total").alias("total"),
+        F.max("skipped").alias("skipped"),
+    ).select(F.lit(None).cast("string").alias("domain"), "*")
     body = rolled.filter(F.col("_all") == 0).select(
         "domain", "questions", *[f"mean_{m}" for m in metrics],
         F.lit(None).cast("bigint").alias("total"), F.lit(None).cast("bigint").alias("skipped"),

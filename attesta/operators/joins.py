@@ -15,7 +15,7 @@ from attesta.functions.governance import (
 )
 from attesta.functions.text import grade_of_band
 from attesta.operators.ranking import first_per_group, top_per_group
-from attesta.rules import CURRICULUM_FIT, RECENT_WORK, SCHOOL_FORMS
+from attesta.rules import CONFESSIONS, CURRICULUM_FIT, RECENT_WORK, SCHOOL_FORMS, SUBJECTS
 from attesta.session import checkpointed
 
 
@@ -137,11 +137,12 @@ def resolve_strand(requests: DataFrame, strands: DataFrame) -> DataFrame:
     a request picks its own form before the form-independent strand. A request
     with an unknown form may take any form, in declaration order, null last.
     """
-    active = strands.filter(F.col("status") == "ACTIVE")
+    known = F.col("subject").isin(SUBJECTS) & F.col("confession_context").isin(CONFESSIONS)
+    active = strands.filter((F.col("status") == "ACTIVE") & known)
     by_form = active.groupBy(
         F.col("subject").alias("_subject"), F.col("confession_context").alias("_context"), F.col("school_form").alias("_form")
     ).agg(F.min("strand_id").alias("_strand"))
-    # at most 3 subjects x 5 contexts, each with one entry per form
+    # at most 3 subjects x 5 contexts, each with one entry per form: small whatever the data
     best = by_form.groupBy("_subject", "_context").agg(
         F.array_sort(
             F.collect_list(F.struct(F.coalesce(form_ordinal("_form"), F.lit(9)).alias("o"), F.col("_strand").alias("id")))
@@ -153,7 +154,7 @@ def resolve_strand(requests: DataFrame, strands: DataFrame) -> DataFrame:
         requests.withColumn("_subject", stored_subject("subject"))
         .withColumn("_context", primary_context("subject"))
         .withColumn("_wanted", wanted)
-        .join(best, ["_subject", "_context"], "left")
+        .join(F.broadcast(best), ["_subject", "_context"], "left")
     )
     fitting = F.filter(
         "_options", lambda o: F.col("_wanted").isNull() | (o["o"] == F.col("_wanted")) | (o["o"] == 9)

@@ -13,11 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _first(commands: DataFrame, kind: str, condition, name: str) -> DataFrame:
-    hit = (F.col("command") == kind) & condition
-    return commands.filter(hit).groupBy("source_id").agg(F.min("seq").alias(name))
-
-
 def apply_commands(state: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
     """New state per source and one row per refused command.
 
@@ -29,24 +24,17 @@ def apply_commands(state: DataFrame, commands: DataFrame) -> tuple[DataFrame, Da
     stored = state.select(
         "source_id", "lifecycle_status", F.col("license_verified").alias("_verified"), "trust_level"
     )
-    known = commands.select("source_id", "seq", "command", F.col("license_verified").alias("_meta")).join(
-        stored, "source_id", "left"
+    of = {kind: F.when(F.col("command") == kind, F.col("seq")) for kind in ("register", "revoke")}
+    first = commands.groupBy("source_id").agg(
+        F.min(of["revoke"]).alias("t_revoke"),
+        F.min(of["register"]).alias("t_register"),
+        F.min_by("license_verified", of["register"]).alias("_meta_first"),
     )
-    found = F.col("lifecycle_status").isNotNull()
-
-    revoked_at = _first(known, "revoke", found, "t_revoke")
     fresh = F.col("lifecycle_status").isin("DISCOVERED", "UNDER_REVIEW")
-    # struct order: position first, so min() also carries the licence flag of that command
-    registered = (
-        known.filter((F.col("command") == "register") & fresh)
-        .groupBy("source_id")
-        .agg(F.min("seq").alias("t_register"), F.min_by("_meta", "seq").alias("_meta_first"))
-    )
     base = (
-        stored.join(revoked_at, "source_id", "left")
-        .join(registered, "source_id", "left")
+        stored.join(first, "source_id", "left")
         .withColumn("t_revoke", F.coalesce("t_revoke", F.lit(1 << 62)))
-        .withColumn("t_register", F.when(F.col("t_register") < F.col("t_revoke"), F.col("t_register")))
+        .withColumn("t_register", F.when(fresh & (F.col("t_register") < F.col("t_revoke")), F.col("t_register")))
         .withColumn(
             "_may",
             F.coalesce(F.when(F.col("t_register").isNotNull(), F.col("_meta_first")), F.col("_verified"), F.lit(False))

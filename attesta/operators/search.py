@@ -12,13 +12,13 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from attesta.functions.governance import confidence_of, min_trust_ok, search_contexts, stored_subject
 from attesta.functions.text import is_blank
-from attesta.functions.vectors import cosine_with_norms, norm
 from attesta.operators.ranking import top_k_per_query
 from attesta.rules import CONFESSIONS, MMR_LAMBDA, SEARCH_LIMIT, SUBJECTS, TOP_K
 
 # A query block up to this size is sent to every executor; beyond it queries and
 # points meet in a grid of bounded cells instead.
 BROADCAST_BYTES = 64 << 20
+BROADCAST_ROWS = 1_000_000  # id and score of a hit: about 30 bytes
 CELL_QUERIES = 2_000
 CELL_POINTS = 50_000
 
@@ -214,6 +214,7 @@ def search(
     broadcast_bytes: int = BROADCAST_BYTES,
     cell_queries: int = CELL_QUERIES,
     cell_points: int = CELL_POINTS,
+    measured: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Exact filtered cosine search: the best ``limit`` points for every query.
 
@@ -233,7 +234,7 @@ def search(
     p = payload_filter(points, trust_not=trust_not).select(
         "point_id", "vector", "subject", "confession_context"
     )
-    n, dims = q.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
+    n, dims = measured or measure(q)
     if n * max(dims, 1) * 8 <= broadcast_bytes:
         partial = _broadcast_search(q, p, limit)
     else:
@@ -241,69 +242,85 @@ def search(
     return top_k_per_query(partial, limit)
 
 
-def attach(hits: DataFrame, points: DataFrame) -> DataFrame:
-    """Payload and vector of the hits, read back by id (hits are few, points are many)."""
-    return hits.join(points, "point_id")
+def measure(queries: DataFrame) -> tuple[int, int]:
+    """Number of queries and longest vector."""
+    return tuple(queries.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first())
+
+
+def attach(hits: DataFrame, points: DataFrame, at_most: int | None = None) -> DataFrame:
+    """Payload and vector of the hits, read back by id.
+
+    ``at_most`` is a proven bound on the number of hits; below ``BROADCAST_ROWS``
+    the hits go to the points, so the points are scanned and not shuffled.
+    """
+    small = at_most is not None and at_most <= BROADCAST_ROWS
+    return points.join(F.broadcast(hits) if small else hits, "point_id")
+
+
+def search_payload(queries: DataFrame, points: DataFrame, columns: list[str], limit: int = SEARCH_LIMIT, **options) -> DataFrame:
+    """``search`` with vector and payload columns of every hit (at most queries x limit rows)."""
+    size = measure(queries)
+    hits = search(queries, points, limit, measured=size, **options)
+    return attach(hits, points.select("point_id", "vector", *columns), at_most=size[0] * limit)
 
 
 # ---- diversity rerank ----------------------------------------------------------
 
 
+def greedy_picks(scores: np.ndarray, vectors: list, k: int, lam: float) -> list[int]:
+    """Positions picked by maximal marginal relevance from one short candidate list.
+
+    ``nearest`` is each candidate's largest similarity to the picks so far and
+    starts at 0, so negative similarities never reward. Of equal values the first
+    candidate wins.
+    """
+    n = len(scores)
+    sims = np.zeros((n, n))
+    for length, (where, m) in _matrix(vectors).items():
+        if length:
+            norms = np.sqrt((m * m).sum(axis=1))
+            denominator = np.outer(norms, norms)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                sims[np.ix_(where, where)] = np.where(denominator == 0, 0.0, (m @ m.T) / denominator)
+    nearest, free, picks = np.zeros(n), np.ones(n, dtype=bool), []
+    for _ in range(min(k, n)):
+        value = np.where(free, lam * scores - (1 - lam) * nearest, -np.inf)
+        best = int(value.argmax())
+        picks.append(best)
+        free[best] = False
+        nearest = np.maximum(nearest, sims[:, best])
+    return picks
+
+
 def mmr_rerank(
     candidates: DataFrame, k: int = TOP_K, lam: float = MMR_LAMBDA, carry: list[str] | None = None
 ) -> DataFrame:
     """Greedy pick of ``k`` candidates per query: lam * score - (1 - lam) * nearest pick.
 
-    ``candidates``: query_id, rank, point_id, score, vector; per query never more
-    than the search limit, so one array holds them. The fold keeps, for every
-    candidate, its largest similarity to the picks so far (never below 0), and
-    takes the first of equal best values, in rank order. Columns named in
-    ``carry`` travel with their candidate.
+    ``candidates``: query_id, rank, point_id, score, vector. A query never has more
+    candidates than the search limit, so one array holds them. Only scores and
+    vectors go to Python, in Arrow batches; columns named in ``carry`` stay in the
+    JVM row and travel with their candidate.
     """
-    payload = F.struct(F.lit(0).alias("_"), *(carry or [])).alias("payload")
-    lists = (
-        candidates.withColumn("_norm", norm("vector"))
-        .groupBy("query_id")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "point_id", "score", "vector", "_norm", payload))).alias("c"))
-    )
-    n = F.size("c")
-
-    def value(i: Column, nearest: Column) -> Column:
-        return F.lit(lam) * F.col("c")[i]["score"] - F.lit(1 - lam) * nearest[i]
-
-    def step(state: Column, _: Column) -> Column:
-        free = F.filter(F.sequence(F.lit(0), n - 1), lambda i: ~F.array_contains(state["picked"], i))
-        scored = F.transform(free, lambda i: F.struct(value(i, state["nearest"]).alias("v"), (-i).alias("i")))
-        pick = -F.array_max(scored)["i"]
-        return F.when(F.size(free) == 0, state).otherwise(
-            F.struct(
-                F.concat(state["picked"], F.array(pick)).alias("picked"),
-                F.transform(
-                    F.sequence(F.lit(0), n - 1),
-                    lambda i: F.greatest(
-                        state["nearest"][i],
-                        cosine_with_norms(
-                            F.col("c")[i]["vector"],
-                            F.col("c")[pick]["vector"],
-                            F.col("c")[i]["_norm"],
-                            F.col("c")[pick]["_norm"],
-                        ),
-                    ),
-                ).alias("nearest"),
-            )
-        )
 
-    start = F.struct(
-        F.array().cast("array<int>").alias("picked"), F.transform("c", lambda _: F.lit(0.0)).alias("nearest")
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def pick(scores: pd.Series, vectors: pd.Series) -> pd.Series:
+        return pd.Series([greedy_picks(np.asarray(s, dtype=np.float64), list(v), k, lam) for s, v in zip(scores, vectors)])
+
+    payload = F.struct(F.lit(0).alias("_"), *(carry or [])).alias("payload")
+    lists = candidates.groupBy("query_id").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "point_id", "score", "vector", payload))).alias("c")
     )
-    picked = F.aggregate(F.sequence(F.lit(1), F.lit(k)), start, step)["picked"]
-    rows = lists.select("query_id", "c", F.posexplode(picked).alias("_pos", "_i"))
+    picked = lists.withColumn("_p", pick(F.col("c.score"), F.col("c.vector")))
+    # the outer form keeps Spark from running the Python step again for a size filter
+    rows = picked.select("query_id", "c", F.posexplode_outer("_p").alias("_pos", "_i")).filter(F.col("_i").isNotNull())
+    chosen = F.col("c")[F.col("_i")]
     return rows.select(
         "query_id",
         (F.col("_pos") + 1).alias("mmr_rank"),
-        F.col("c")[F.col("_i")]["point_id"].alias("point_id"),
-        F.col("c")[F.col("_i")]["score"].alias("score"),
-        *[F.col("c")[F.col("_i")]["payload"][name].alias(name) for name in carry or []],
+        chosen["point_id"].alias("point_id"),
+        chosen["score"].alias("score"),
+        *[chosen["payload"][name].alias(name) for name in carry or []],
     )
 
 
@@ -311,7 +328,7 @@ def mmr_rerank(
 
 
 def with_source(hits: DataFrame, sources: DataFrame) -> DataFrame:
-    """Source metadata for every hit; hits without a source vanish."""
+    """Source metadata for every hit; hits without a source vanish. Texts of sources are not read."""
     meta = sources.select(
         "source_id",
         "title",

@@ -133,7 +133,7 @@ def redact_then_gate(
         F.lit("llm_gate_pii_guard_fail").alias("event_type"), F.lit("critical").alias("severity"), residual.alias("detail")
     )
     events = F.when(F.col("_residual"), F.array(first, second)).otherwise(F.array(first))
-    audit = judged.select("request_id", F.col("user_id").alias("actor_id"), F.explode(events).alias("_e")).select(
+    audit = judged.select("request_id", F.col("user_id").alias("actor_id"), F.explode_outer(events).alias("_e")).select(
         "request_id", "actor_id", F.lit("llm_privacy_gate").alias("subject"), "_e.*"
     )
     return decisions, audit

@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from attesta.functions.governance import mime_of
 from attesta.functions.hooks import embed
-from attesta.functions.text import chunk_array, content_hash, html_to_text, is_blank
+from attesta.functions.text import chunk_array, content_hash, explode_chunks, html_to_text, is_blank, let
 from attesta.operators.aggregates import ingest_report
 from attesta.operators.filters import gate, live
 from attesta.operators.ranking import first_chunk_wins
 from attesta.rules import MIN_CHUNK
+from attesta.session import checkpointed
+
+BROADCAST_IDS = 2_000_000
 
 
 @dataclass
@@ -29,46 +32,41 @@ class Ingested:
 def extract_text(df: DataFrame, content: str = "content", mime: str = "mime") -> DataFrame:
     """Text of the formats Spark reads itself; other types keep a null text (use the extraction hook)."""
     text = F.when(F.col(mime) == "text/html", html_to_text(content)).when(F.col(mime) == "text/plain", F.col(content))
-    return df.withColumn("extracted", F.when(~is_blank(text), text))
+    return df.withColumn("extracted", let(text, lambda x: F.when(~is_blank(x), x)))
 
 
 def judge(sources: DataFrame, held: DataFrame | None = None) -> DataFrame:
-    """Every live source with ``outcome`` and ``reason``, its hash and extracted text.
+    """(source_id, outcome, reason) of every live source.
 
     ``held`` (content_hash, held_by) names contents already in the index. In one
-    run the smallest id that can be ingested holds a content; the others are skipped.
+    run the smallest id that can be ingested holds a content; the others are
+    skipped. Only ids, hashes and lengths leave the scan of the texts.
     """
-    prepared = extract_text(
-        gate(live(sources)).withColumn("document_hash", content_hash("content")).withColumn("mime", mime_of("uri"))
+    gated = gate(live(sources)).withColumn("mime", mime_of("uri"))
+    facts = extract_text(gated).select(
+        "source_id",
+        "gate_reason",
+        content_hash("content").alias("document_hash"),
+        F.length("extracted").alias("n_extracted"),
     )
-    usable = F.exists(chunk_array("extracted"), lambda c: F.length(c["chunk_text"]) >= MIN_CHUNK)
-    prepared = prepared.withColumn(
+    # the first chunk is the longest one, so it decides whether any is long enough
+    facts = facts.withColumn(
         "failure",
-        F.when(F.col("extracted").isNull(), F.lit("EXTRACTION_FAILED")).when(
-            ~F.coalesce(usable, F.lit(False)), F.lit("NO_USABLE_CHUNKS")
+        F.when(F.col("n_extracted").isNull(), F.lit("EXTRACTION_FAILED")).when(
+            F.col("n_extracted") < MIN_CHUNK, F.lit("NO_USABLE_CHUNKS")
         ),
     )
-    passing = prepared.filter(F.col("gate_reason").isNull()).select("source_id", "document_hash", "failure")
-    holders = passing.filter(F.col("failure").isNull()).groupBy("document_hash").agg(
-        F.min("source_id").alias("held_by")
-    )
+    usable = F.col("gate_reason").isNull() & F.col("failure").isNull()
+    holders = facts.groupBy("document_hash").agg(F.min(F.when(usable, F.col("source_id"))).alias("held_by"))
+    joined = facts.join(holders, "document_hash", "left")
+    earlier = F.col("held_by") < F.col("source_id")
     if held is not None:
         stored = held.select(F.col("content_hash").alias("document_hash"), F.col("held_by").alias("_stored"))
-        holders = holders.join(stored, "document_hash", "full").select(
-            "document_hash", F.coalesce("_stored", "held_by").alias("held_by")
-        )
-    # only ids travel through the hash join; the text follows by source id
-    verdict = passing.join(holders, "document_hash", "left").select(
-        "source_id",
-        F.when(F.col("held_by") < F.col("source_id"), F.col("held_by"))
-        .when(F.lit(held is not None) & (F.col("held_by") != F.col("source_id")), F.col("held_by"))
-        .alias("duplicate_of"),
-    ).filter(F.col("duplicate_of").isNotNull())
-    judged = prepared.join(verdict, "source_id", "left")
-    return judged.withColumn(
-        "reason",
-        F.coalesce("gate_reason", F.when(F.col("duplicate_of").isNotNull(), F.lit("DUPLICATE_CONTENT")), "failure"),
-    ).withColumn(
+        joined = joined.join(stored, "document_hash", "left")
+        earlier = F.when(F.col("_stored").isNotNull(), F.col("_stored") != F.col("source_id")).otherwise(earlier)
+    duplicate = F.when(F.coalesce(earlier, F.lit(False)), F.lit("DUPLICATE_CONTENT"))
+    reason = F.coalesce("gate_reason", duplicate, "failure")
+    return joined.select("source_id", reason.alias("reason")).withColumn(
         "outcome",
         F.when(F.col("reason").isNull(), F.lit("ingested"))
         .when(F.col("reason") == "DUPLICATE_CONTENT", F.lit("skipped"))
@@ -76,31 +74,47 @@ def judge(sources: DataFrame, held: DataFrame | None = None) -> DataFrame:
     )
 
 
+def accepted_only(sources: DataFrame, judged: DataFrame) -> DataFrame:
+    """Sources with the outcome ``ingested``.
+
+    The counted ids of the smaller side go to the texts where they are few enough;
+    only beyond that are texts shuffled by id.
+    """
+    taken = F.col("outcome") == "ingested"
+    accepted, rejected = judged.filter(taken).select("source_id"), judged.filter(~taken).select("source_id")
+    n_accepted, n_rejected = judged.agg(F.count_if(taken), F.count_if(~taken)).first()
+    if n_rejected <= min(n_accepted, BROADCAST_IDS):
+        return sources.join(F.broadcast(rejected), "source_id", "left_anti")
+    if n_accepted <= BROADCAST_IDS:
+        return sources.join(F.broadcast(accepted), "source_id", "left_semi")
+    return sources.join(accepted, "source_id", "left_semi")
+
+
 def ingest_batch(
     sources: DataFrame,
     held: DataFrame | None = None,
     make_embedder: Callable | None = None,
     partitions: int | None = None,
 ) -> Ingested:
-    """One lazy plan for all sources.
+    """All sources in one run.
 
-    Duplicates leave before chunking and embedding. Point ids derive from source,
-    version and position, so a repeated run writes the same points again.
+    The verdict comes first. It holds ids only, is stored once in the shared
+    folder and serves chunks, outcomes and report alike. Then the accepted texts
+    are read, cut and embedded, so nothing rejected reaches the costly steps.
+    Point ids derive from source, version and position: a repeated run writes the
+    same points again.
     """
-    judged = judge(sources, held)
-    payload = ["source_id", "source_version", "trust_level", "subject", "confession_context", "license_info"]
-    accepted = judged.filter(F.col("outcome") == "ingested").select(*payload, "retrieved_at", "extracted")
-    rows = accepted.select(*payload, "retrieved_at", F.explode(chunk_array("extracted")).alias("_c")).select(
-        *payload, "retrieved_at", "_c.*"
-    )
+    judged = checkpointed(judge(sources, held))
+    payload = ["source_id", "source_version", "trust_level", "subject", "confession_context", "license_info", "retrieved_at"]
+    texts = extract_text(accepted_only(live(sources), judged).withColumn("mime", mime_of("uri")))
+    rows = explode_chunks(texts, chunk_array("extracted"), payload)
     chunks = first_chunk_wins(rows).withColumn(
-        "point_id",
-        F.concat_ws(":", F.col("source_id").cast("string"), F.col("source_version").cast("string"), F.col("chunk_index").cast("string")),
+        "point_id", F.concat_ws(":", *[F.col(c).cast("string") for c in ("source_id", "source_version", "chunk_index")])
     )
     if make_embedder is not None:
         chunks = embed(chunks, make_embedder, partitions=partitions)
     per_source = chunks.groupBy("source_id").agg(F.count("*").alias("chunks"))
-    outcomes = judged.select("source_id", "outcome", "reason").join(per_source, "source_id", "left").withColumn(
-        "chunks", F.coalesce("chunks", F.lit(0).cast("bigint"))
+    outcomes = judged.join(per_source, "source_id", "left").select(
+        "source_id", "outcome", "reason", F.coalesce("chunks", F.lit(0).cast("bigint")).alias("chunks")
     )
     return Ingested(chunks, outcomes, ingest_report(outcomes))

@@ -13,6 +13,7 @@ from attesta.operators.ranking import phase_quartiles
 from attesta.plans.gateway import PromptTexts, prompt_assemble, redact_then_gate
 from attesta.plans.retrieve import retrieve_batch
 from attesta.rules import TOP_K
+from attesta.session import checkpointed
 from attesta.sources.audit import audit_events, provenance
 from attesta.sources.registry import validate_questions
 
@@ -33,7 +34,12 @@ def generate_inputs_batch(
     queries = ready.select(
         F.col("request_id").alias("query_id"), "vector", F.col("subject").alias("display_subject")
     )
-    cited = retrieve_batch(queries, points, sources, k=k, minimum=minimum)
+    # at most k rows per request; stored once for prompts, decisions and audit
+    cited = checkpointed(
+        retrieve_batch(queries, points, sources, k=k, minimum=minimum).select(
+            "query_id", "rank", "title", "page_or_section", "trust_level"
+        )
+    )
     per_request = cited.groupBy(F.col("query_id").alias("request_id")).agg(
         F.array_sort(F.collect_list(F.struct("rank", "title", "page_or_section", "trust_level"))).alias("citations")
     )
@@ -76,7 +82,7 @@ def absorb_responses(responses: DataFrame, citations: DataFrame, difficulties: D
         F.col("_s.text").alias("text"),
         F.coalesce("_s.citationRefs", F.array().cast("array<int>")).alias("refs"),
     )
-    grounded = grounding.ground(rows, citations)
+    grounded = checkpointed(grounding.ground(rows, citations))  # five tables follow from it
     counts = grounding.confidence_state(grounded)
     sheet_links, task_links = grounding.build_links(grounded, difficulties)
     trail = provenance(good.drop("_r", "reply"), counts, grounding.cited_sources(grounded))
@@ -99,8 +105,11 @@ def evaluate_job(
     queries = questions.filter(F.col("status") == "active").select(
         F.col("question_id").alias("query_id"), "vector", "display_subject"
     )
-    ranked = retrieve_batch(queries, points, sources, k=k, minimum=minimum).select(
-        F.col("query_id").alias("question_id"), "rank", "source_id"
+    # at most k rows per question; stored once because scores, summary and drift all start here
+    ranked = checkpointed(
+        retrieve_batch(queries, points, sources, k=k, minimum=minimum).select(
+            F.col("query_id").alias("question_id"), "rank", "source_id"
+        )
     )
     scores = evaluate.score_questions(ranked, questions)
     summary = evaluate.summarize(scores, questions)

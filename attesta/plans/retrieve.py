@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.operators.search import (
-    attach,
     citation_complete,
     min_trust,
     mmr_rerank,
     query_filters,
-    search,
+    search_payload,
     with_source,
 )
 from attesta.rules import OVERSAMPLE, TOP_K
@@ -28,8 +27,7 @@ def retrieve_batch(
     ``k``, source join, completeness. Nothing after the limit moves below it.
     ``queries``: query_id, vector, display_subject (null = no restriction).
     """
-    hits = search(query_filters(queries), points, limit=k * OVERSAMPLE, **search_options)
-    candidates = attach(hits, points.select("point_id", "vector", *PAYLOAD))
+    candidates = search_payload(query_filters(queries), points, PAYLOAD, limit=k * OVERSAMPLE, **search_options)
     if minimum is not None:
         candidates = min_trust(candidates, minimum)
     picked = mmr_rerank(candidates, k, carry=PAYLOAD)
