@@ -8,13 +8,15 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.session import apply_settings
+from attesta.session import apply_settings, spread
 
 BASE = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 ]
 
+LONG_TEXTS = ["documents", "pages"]
+
 
 @dataclass
 class View:
@@ -68,7 +70,8 @@ class Tables:
 
     def _load(self, name: str) -> DataFrame:
         if name in BASE:
-            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            return spread(table) if name in LONG_TEXTS else table
         made = VIEWS[name]
         if made.build is not None:
             return made.build(self)

@@ -12,7 +12,7 @@ from attesta.catalog.core import Tables, view
 from attesta.functions.text import chunk_text
 from attesta.operators import search
 from attesta.plans.retrieve import PAYLOAD
-from attesta.session import checkpointed
+from attesta.session import staged
 
 AS_OF = "2024-01-31 00:00:00"
 ORDERS_AS_OF = "2001-07-30 00:00:00"
@@ -125,7 +125,7 @@ view(  # one query per label and variant: the mean of their vectors, over all ve
 
 def _hits(t: Tables):
     # at most 15 rows per query; several reports start from them
-    return checkpointed(search.search_payload(search.query_filters(t("v_query")), t("v_point"), PAYLOAD, limit=15))
+    return staged(search.search_payload(search.query_filters(t("v_query")), t("v_point"), PAYLOAD, limit=15))
 
 
 view(  # exact scores, the filter clauses of the display subject, best 15 per query

@@ -15,6 +15,7 @@ from attesta.rules import (
     MIN_CHUNK,
     SNIPPET,
     WS,
+    WS_CHARS,
 )
 
 Col = Column | str
@@ -34,8 +35,8 @@ def let(value: Column, body) -> Column:
 
 
 def trim_ws(col: Col) -> Column:
-    """Trim the full Unicode white-space class (Spark's trim only drops blanks)."""
-    return F.regexp_replace(_c(col), f"^[{WS}]+|[{WS}]+$", "")
+    """Trim the full Unicode white-space class (Spark's trim alone only drops blanks)."""
+    return F.btrim(_c(col), F.lit(WS_CHARS))
 
 
 def is_blank(col: Col) -> Column:

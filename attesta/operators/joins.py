@@ -16,7 +16,7 @@ from attesta.functions.governance import (
 from attesta.functions.text import grade_of_band
 from attesta.operators.ranking import first_per_group, top_per_group
 from attesta.rules import CONFESSIONS, CURRICULUM_FIT, RECENT_WORK, SCHOOL_FORMS, SUBJECTS
-from attesta.session import checkpointed
+from attesta.session import staged
 
 
 def resolve_subject(
@@ -215,7 +215,7 @@ def curriculum_paths(nodes: DataFrame, max_depth: int = 32) -> DataFrame:
             (F.col("depth") + 1).alias("depth"),
             F.concat("path", F.lit("/"), "code").alias("path"),
         )
-        level = checkpointed(level)  # each level is stored once, so the lineage stays one join long
+        level = staged(level)  # each level is stored once, so the lineage stays one join long
         if level.isEmpty():
             return out
         depth += 1
@@ -250,7 +250,7 @@ def version_heads(versions: DataFrame, max_rounds: int = 40) -> DataFrame:
             (F.col("position") + F.coalesce("_more", F.lit(0))).alias("position"),
             (~F.col("_next").eqNullSafe(F.col("root")) & F.col("_next").isNotNull()).alias("_moved"),
         )
-        moved = checkpointed(moved)
+        moved = staged(moved)
         links = moved.drop("_moved")
         if moved.filter("_moved").isEmpty():
             break

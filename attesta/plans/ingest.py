@@ -15,7 +15,7 @@ from attesta.operators.aggregates import ingest_report
 from attesta.operators.filters import gate, live
 from attesta.operators.ranking import first_chunk_wins
 from attesta.rules import MIN_CHUNK
-from attesta.session import checkpointed
+from attesta.session import staged
 
 BROADCAST_IDS = 2_000_000
 
@@ -104,7 +104,7 @@ def ingest_batch(
     Point ids derive from source, version and position: a repeated run writes the
     same points again.
     """
-    judged = checkpointed(judge(sources, held))
+    judged = staged(judge(sources, held))
     payload = ["source_id", "source_version", "trust_level", "subject", "confession_context", "license_info", "retrieved_at"]
     texts = extract_text(accepted_only(live(sources), judged).withColumn("mime", mime_of("uri")))
     rows = explode_chunks(texts, chunk_array("extracted"), payload)

@@ -13,7 +13,7 @@ from attesta.operators.ranking import phase_quartiles
 from attesta.plans.gateway import PromptTexts, prompt_assemble, redact_then_gate
 from attesta.plans.retrieve import retrieve_batch
 from attesta.rules import TOP_K
-from attesta.session import checkpointed
+from attesta.session import staged
 from attesta.sources.audit import audit_events, provenance
 from attesta.sources.registry import validate_questions
 
@@ -35,7 +35,7 @@ def generate_inputs_batch(
         F.col("request_id").alias("query_id"), "vector", F.col("subject").alias("display_subject")
     )
     # at most k rows per request; stored once for prompts, decisions and audit
-    cited = checkpointed(
+    cited = staged(
         retrieve_batch(queries, points, sources, k=k, minimum=minimum).select(
             "query_id", "rank", "title", "page_or_section", "trust_level"
         )
@@ -82,7 +82,7 @@ def absorb_responses(responses: DataFrame, citations: DataFrame, difficulties: D
         F.col("_s.text").alias("text"),
         F.coalesce("_s.citationRefs", F.array().cast("array<int>")).alias("refs"),
     )
-    grounded = checkpointed(grounding.ground(rows, citations))  # five tables follow from it
+    grounded = staged(grounding.ground(rows, citations))  # five tables follow from it
     counts = grounding.confidence_state(grounded)
     sheet_links, task_links = grounding.build_links(grounded, difficulties)
     trail = provenance(good.drop("_r", "reply"), counts, grounding.cited_sources(grounded))
@@ -106,7 +106,7 @@ def evaluate_job(
         F.col("question_id").alias("query_id"), "vector", "display_subject"
     )
     # at most k rows per question; stored once because scores, summary and drift all start here
-    ranked = checkpointed(
+    ranked = staged(
         retrieve_batch(queries, points, sources, k=k, minimum=minimum).select(
             F.col("query_id").alias("question_id"), "rank", "source_id"
         )

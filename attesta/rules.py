@@ -147,6 +147,9 @@ REGISTRY_SUBJECTS = {
 
 # ---- fixed values: white space as JavaScript and Unicode text tools see it ----
 WS = r"\t\n\x{0B}\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+WS_CHARS = (
+    "\t\n\x0b\x0c\r \xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 
 # ---- fixed values: redaction categories in order, patterns in order -----------
 # \b and \s are written in the portable form; functions.privacy turns them into

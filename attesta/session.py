@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -54,10 +55,23 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def checkpointed(df):
-    """The table written to the shared folder and read back, with its lineage cut."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+def staged(df: DataFrame) -> DataFrame:
+    """The rows written once to the shared folder and read back.
+
+    Used where several results start from the same rows and in loops. The written
+    table cuts the lineage, survives lost executors, and its real size lets Spark
+    choose joins by fact; unlike a checkpoint it does not carry the constraints of
+    the plan it came from, which grow with every turn of a loop.
+    """
+    path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over at least as many tasks as there are cores, for steps that cost much CPU per row.
+
+    A scan that already has enough tasks, as any large table has, is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
