@@ -256,6 +256,10 @@ def version_heads(versions: DataFrame, max_rounds: int = 40) -> DataFrame:
             break
     else:
         raise ValueError("version chain is cyclic")
+    # a pointer that came back to its own row closed a circle
+    replacing = versions.filter(F.col("supersedes_id").isNotNull()).select("id")
+    if not links.filter(F.col("id") == F.col("root")).join(replacing, "id", "left_semi").isEmpty():
+        raise ValueError("version chain is cyclic")
     joined = links.join(versions.select("id", "status"), "id")
     return joined.groupBy("root").agg(
         F.max_by("id", F.struct("position", "id")).alias("head"),

@@ -179,12 +179,14 @@ def _grid_search(queries: DataFrame, points: DataFrame, limit: int, n_queries: i
     """Queries too many for one broadcast: every (query block, point split) pair is one bounded cell."""
     blocks = max(1, -(-n_queries // cell_q))
     splits = max(1, -(-points.count() // cell_p))
-    spread_q = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn(
-        "_s", F.explode(F.sequence(F.lit(0), F.lit(splits - 1)))
-    )
-    spread_p = points.withColumn("_s", F.pmod(F.xxhash64("point_id"), F.lit(splits)).cast("int")).withColumn(
-        "_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint")
-    )
+    def part(id_: str, n: int):
+        return F.pmod(F.xxhash64(id_), F.lit(n)).cast("bigint")
+
+    def every(n: int):
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+
+    spread_q = queries.withColumn("_b", part("query_id", blocks)).withColumn("_s", every(splits))
+    spread_p = points.withColumn("_s", part("point_id", splits)).withColumn("_b", every(blocks))
 
     schema = _hit_schema(queries, points)
     types = [to_arrow_type(f.dataType) for f in schema]
