@@ -191,7 +191,7 @@ def _(t):
 def _(t):
     base = _place(t, "windows")
     live = stream_tables(t, "events")("v_audit").withColumn("ts", F.col("ts").cast("timestamp"))
-    streams.stream_audit_windows(live, f"{base}/out", f"{base}/check", target=150.0).awaitTermination()
+    streams.stream_audit_windows(live, f"{base}/out", f"{base}/check", target=150.0, method="counted").awaitTermination()
     out = _windows(t.spark.read.parquet(f"{base}/out"))
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 

@@ -95,6 +95,32 @@ def _pieces(text: Column, size: int, overlap: int, min_len: int) -> Column:
     return F.when(~is_blank(text), pieces).otherwise(F.slice(pieces, 1, 0))
 
 
+def distinct_chunks(chunks: Column, min_len: int = MIN_CHUNK) -> Column:
+    """Chunks of one text with their ``content_hash``: long enough, and the first one per hash.
+
+    Sorting by (hash, position) inside the row puts equal chunks side by side, so a
+    text of many chunks needs no pairwise comparison and no shuffle.
+    """
+    long_enough = F.filter(chunks, lambda c: F.length(c["chunk_text"]) >= min_len)
+    hashed = F.transform(
+        long_enough,
+        lambda c: F.struct(
+            content_hash(c["chunk_text"]).alias("content_hash"),
+            c["chunk_index"].alias("chunk_index"),
+            c["chunk_text"].alias("chunk_text"),
+            c["page_or_section"].alias("page_or_section"),
+        ),
+    )
+
+    def firsts(ordered: Column) -> Column:
+        return F.filter(
+            ordered,
+            lambda c, i: (i == 0) | (F.get(ordered, i - 1)["content_hash"] != c["content_hash"]),
+        )
+
+    return let(F.array_sort(hashed), firsts)
+
+
 def chunk_text(df: DataFrame, text: str = "content", keep: list[str] | None = None, **opts) -> DataFrame:
     """One row per chunk; only the columns in ``keep`` travel along (the explode multiplies them)."""
     carried = [c for c in (keep if keep is not None else df.columns) if c != text]

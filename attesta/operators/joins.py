@@ -110,20 +110,34 @@ def grants_for(requests: DataFrame, grants: DataFrame, as_of) -> DataFrame:
     Equal school and provider, ``as_of`` inside the inclusive validity, and each
     scope list empty or containing the request's value. A request without a
     subject or band is not checked against that list.
+
+    Scopes become lookup keys (a value, "all values", "not asked"), reduced to the
+    smallest grant per key. A request then looks up at most four keys, so a school
+    with very many requests and grants never meets all its pairs.
     """
     at = F.lit(as_of)
-    valid = grants.filter((F.col("valid_from") <= at) & (F.col("valid_until") >= at))
-
-    def in_scope(scope: str, value: str):
-        return F.col(value).isNull() | (F.size(scope) == 0) | F.array_contains(F.col(scope), F.col(value))
-
+    everything, unasked = F.lit("*"), F.lit("?")
+
+    def offered(scope: str):
+        values = F.transform(F.array_distinct(scope), lambda v: F.concat(F.lit("="), v))
+        return F.when(F.size(scope) == 0, F.array(everything, unasked)).otherwise(F.array_append(values, unasked))
+
+    def wanted(value: str):
+        stated = F.array(F.concat(F.lit("="), value), everything)
+        return F.when(F.col(value).isNull(), F.array(unasked)).otherwise(stated)
+
+    keys = ["school_id", "provider", "_subject", "_band"]
+    smallest = (
+        grants.filter((F.col("valid_from") <= at) & (F.col("valid_until") >= at))
+        .select("school_id", "provider", "grant_id", "scope_grade_bands", F.explode(offered("scope_subjects")).alias("_subject"))
+        .withColumn("_band", F.explode(offered("scope_grade_bands")))
+        .groupBy(*keys)
+        .agg(F.min("grant_id").alias("grant_id"))
+    )
     matched = (
-        requests.select("request_id", "school_id", "provider", "subject", "grade_band")
-        .join(
-            valid.select("school_id", "provider", "grant_id", "scope_subjects", "scope_grade_bands"),
-            ["school_id", "provider"],
-        )
-        .filter(in_scope("scope_subjects", "subject") & in_scope("scope_grade_bands", "grade_band"))
+        requests.select("request_id", "school_id", "provider", "grade_band", F.explode(wanted("subject")).alias("_subject"))
+        .withColumn("_band", F.explode(wanted("grade_band")))
+        .join(smallest, keys)
         .groupBy("request_id")
         .agg(F.min("grant_id").alias("grant_id"))
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +20,7 @@ from attesta.rules import CONFESSIONS, MMR_LAMBDA, SEARCH_LIMIT, SUBJECTS, TOP_K
 # points meet in a grid of bounded cells instead.
 BROADCAST_BYTES = 64 << 20
 BROADCAST_ROWS = 1_000_000  # id and score of a hit: about 30 bytes
+QUERY_STRIP = 256  # queries scored at a time inside a task
 CELL_QUERIES = 2_000
 CELL_POINTS = 50_000
 
@@ -74,8 +76,9 @@ def min_trust(df: DataFrame, level: str) -> DataFrame:
 
 def _codes(values, domain: list[str]) -> np.ndarray:
     """Position in the domain, -1 for null, a foreign value gets the code after the last."""
-    table = {v: i for i, v in enumerate(domain)}
-    return np.array([-1 if v is None else table.get(v, len(domain)) for v in values], dtype=np.int64)
+    column = values if isinstance(values, pa.Array) else pa.array(list(values), pa.string(), from_pandas=True)
+    found = pc.index_in(column, value_set=pa.array(domain)).fill_null(len(domain)).to_numpy(zero_copy_only=False)
+    return np.where(column.is_null().to_numpy(zero_copy_only=False), -1, found)
 
 
 def _matrix(vectors: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -114,33 +117,43 @@ class QueryBlock:
                 self.contexts[i] = False
                 self.contexts[i, _codes(allowed, CONFESSIONS)] = True
 
-    def scores(self, points: dict) -> np.ndarray:
-        n_points = sum(len(where) for where, _ in points.values())
-        out = np.zeros((len(self.ids), n_points))
+    def scores(self, block: slice, points: dict) -> np.ndarray:
+        """Cosine of the queries in ``block`` with a batch of points; 0 where undefined."""
+        first, last = block.start, block.stop
+        out = np.zeros((last - first, sum(len(where) for where, _ in points.values())))
         for n, (rows, m, norms) in self.matrices.items():
-            if n in points and n > 0:
+            mine = (rows >= first) & (rows < last)
+            if n in points and n > 0 and mine.any():
                 where, p = points[n]
-                denominator = np.outer(norms, np.sqrt((p * p).sum(axis=1)))
+                denominator = np.outer(norms[mine], np.sqrt((p * p).sum(axis=1)))
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    out[np.ix_(rows, where)] = np.where(denominator == 0, 0.0, (m @ p.T) / denominator)
+                    out[np.ix_(rows[mine] - first, where)] = np.where(denominator == 0, 0.0, (m[mine] @ p.T) / denominator)
         return out
 
     def best(self, ids: np.ndarray, points: dict, subject: np.ndarray, context: np.ndarray, kept: list) -> list:
-        """Merge a batch of points into the best hits kept so far for every query."""
-        scores = self.scores(points)
-        for i in range(len(self.ids)):
-            ok = self.contexts[i][context]
-            if self.subjects[i] >= 0:
-                ok = ok & (subject == self.subjects[i])
-            row, row_ids = scores[i][ok], ids[ok]
-            if kept[i] is not None:
-                row, row_ids = np.concatenate([kept[i][0], row]), np.concatenate([kept[i][1], row_ids])
-            if len(row) > self.limit:
-                floor = np.partition(row, len(row) - self.limit)[len(row) - self.limit]
-                row, row_ids = row[row >= floor], row_ids[row >= floor]
-                order = sorted(range(len(row)), key=lambda j: (-row[j], row_ids[j]))[: self.limit]
-                row, row_ids = row[order], row_ids[order]
-            kept[i] = (row, row_ids)
+        """Merge a batch of points into the best hits kept so far for every query.
+
+        Scores are taken for a few hundred queries at a time. Once a query holds
+        ``limit`` hits, only batches with a score that reaches its worst one matter.
+        """
+        floors = np.array([k[0].min() if k is not None and len(k[0]) >= self.limit else -np.inf for k in kept])
+        for first in range(0, len(self.ids), QUERY_STRIP):
+            block = slice(first, min(first + QUERY_STRIP, len(self.ids)))
+            scores = self.scores(block, points)
+            wanted = self.subjects[block][:, None]
+            ok = self.contexts[block][:, context] & ((wanted < 0) | (wanted == subject[None, :]))
+            ok &= scores >= floors[block][:, None]
+            for i in np.flatnonzero(ok.any(axis=1)):
+                row, row_ids = scores[i][ok[i]], ids[ok[i]]
+                held = kept[first + i]
+                if held is not None:
+                    row, row_ids = np.concatenate([held[0], row]), np.concatenate([held[1], row_ids])
+                if len(row) > self.limit:
+                    floor = np.partition(row, len(row) - self.limit)[len(row) - self.limit]
+                    row, row_ids = row[row >= floor], row_ids[row >= floor]
+                    order = sorted(range(len(row)), key=lambda j: (-row[j], row_ids[j]))[: self.limit]
+                    row, row_ids = row[order], row_ids[order]
+                kept[first + i] = (row, row_ids)
         return kept
 
     def hits(self, kept: list, types: list) -> pa.RecordBatch:
@@ -166,8 +179,8 @@ def _broadcast_search(queries: DataFrame, points: DataFrame, limit: int) -> Data
                 kept = mine.best(
                     batch.column("point_id").to_numpy(zero_copy_only=False),
                     _arrow_matrix(batch.column("vector")),
-                    _codes(batch.column("subject").to_pylist(), SUBJECTS),
-                    _codes(batch.column("confession_context").to_pylist(), CONFESSIONS),
+                    _codes(batch.column("subject"), SUBJECTS),
+                    _codes(batch.column("confession_context"), CONFESSIONS),
                     kept,
                 )
         yield mine.hits(kept, types)

@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 
 from attesta.functions.governance import mime_of
 from attesta.functions.hooks import embed
-from attesta.functions.text import chunk_array, content_hash, explode_chunks, html_to_text, is_blank, let
+from attesta.functions.text import chunk_array, content_hash, distinct_chunks, explode_chunks, html_to_text, is_blank, let
 from attesta.operators.aggregates import ingest_report
 from attesta.operators.filters import gate, live
-from attesta.operators.ranking import first_chunk_wins
 from attesta.rules import MIN_CHUNK
 from attesta.session import staged
 
@@ -107,8 +106,8 @@ def ingest_batch(
     judged = staged(judge(sources, held))
     payload = ["source_id", "source_version", "trust_level", "subject", "confession_context", "license_info", "retrieved_at"]
     texts = extract_text(accepted_only(live(sources), judged).withColumn("mime", mime_of("uri")))
-    rows = explode_chunks(texts, chunk_array("extracted"), payload)
-    chunks = first_chunk_wins(rows).withColumn(
+    rows = explode_chunks(texts, distinct_chunks(chunk_array("extracted")), payload)
+    chunks = rows.withColumn(
         "point_id", F.concat_ws(":", *[F.col(c).cast("string") for c in ("source_id", "source_version", "chunk_index")])
     )
     if make_embedder is not None:

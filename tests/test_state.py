@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from attesta.functions.hooks import embed, extract_hook, hash_embedder
-from attesta.operators import evaluate, grounding, joins, lifecycle, ranking, retention
+from attesta.operators import aggregates, evaluate, grounding, joins, lifecycle, ranking, retention
 from attesta.plans.ingest import ingest_batch
 from attesta.sources import chunks as C
 from attesta.sources import corpus, registry
@@ -129,6 +129,34 @@ def test_drift_is_one_sided(spark):
     assert [r.metric for r in fallen] == ["m0"]
 
 
+@pytest.mark.parametrize("q", [0.0, 0.3, 0.95, 1.0])
+def test_exact_percentile_equals_the_plain_one(spark, q):
+    rng = random.Random(9)
+    rows = [("hot", 7.0) for _ in range(1000)] + [("hot", rng.random() * 20) for _ in range(3000)]
+    rows += [("wide", rng.gauss(0, 1)) for _ in range(2500)] + [("few", 1.0), ("few", 2.0), ("one", 5.0), ("null", None)]
+    frame = spark.createDataFrame(rows, "k string, v double").repartition(4)
+    got = {r.k: r.percentile for r in aggregates.exact_percentile(frame, ["k"], "v", q, accuracy=100, small=500).collect()}
+    wanted = {r.k: r.p for r in frame.filter("v is not null").groupBy("k").agg(F.percentile("v", F.lit(q)).alias("p")).collect()}
+    assert got.keys() == wanted.keys()
+    for k in wanted:
+        assert got[k] == pytest.approx(wanted[k])
+
+
+def test_grants(spark):
+    day = lambda d: f"2024-01-{d:02d}"
+    grants = spark.createDataFrame(
+        [(1, 7, "p", ["ethik"], [], day(1), day(31)), (2, 7, "p", [], ["KS5"], day(1), day(31)), (3, 7, "p", [], [], day(1), day(9)), (4, 8, "p", [], [], day(10), day(10))],
+        "grant_id bigint, school_id bigint, provider string, scope_subjects array<string>, scope_grade_bands array<string>, valid_from string, valid_until string",
+    )
+    requests = spark.createDataFrame(
+        [(1, 7, "p", "ethik", "KS9"), (2, 7, "p", "deutsch", "KS5"), (3, 7, "p", "deutsch", "KS9"), (4, 7, "p", None, "KS9"),
+         (5, 7, "q", "ethik", "KS5"), (6, 8, "p", "x", None), (7, None, "p", "ethik", "KS5"), (8, 7, "p", "deutsch", None)],
+        "request_id bigint, school_id bigint, provider string, subject string, grade_band string",
+    )
+    got = {r.request_id: r.grant_id for r in joins.grants_for(requests, grants, day(10)).collect()}
+    assert got == {1: 1, 2: 2, 3: None, 4: 1, 5: None, 6: 4, 7: None, 8: 2}
+
+
 def test_upsert_and_deletes(spark):
     base = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "point_id int, trust_level string")
     delta = spark.createDataFrame([(2, "x", 1), (2, "y", 2), (4, "z", 1)], "point_id int, trust_level string, batch int")
