@@ -99,7 +99,7 @@ def _queries(t: Tables):
     packed = means.groupBy("label", "v").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("vector")
     )
-    return packed.select(
+    queries = packed.select(
         (F.col("label") * 4 + F.col("v")).cast("bigint").alias("query_id"),
         "label",
         "vector",
@@ -108,6 +108,7 @@ def _queries(t: Tables):
         .when(F.col("v") == 3, F.lit("ethik"))
         .alias("display_subject"),
     )
+    return staged(queries)  # one row per label and variant, from a pass over all vectors
 
 
 view(  # one query per label and variant: the mean of their vectors, over all vectors
@@ -154,7 +155,7 @@ def _questions(t: Tables):
         .groupBy("label")
         .agg(F.array_sort(F.collect_set("source_id")).alias("expected_source_ids"))
     )
-    return t("v_query").join(expected, "label").select(
+    questions = t("v_query").join(expected, "label").select(
         F.col("query_id").alias("question_id"),
         F.when(F.col("label") % 2 == 0, F.lit("DEUTSCH")).otherwise(F.lit("RELIGION")).alias("domain"),
         F.when(F.col("query_id") % 7 == 0, F.lit("blocked-source-not-approved")).otherwise(F.lit("active")).alias("status"),
@@ -162,6 +163,7 @@ def _questions(t: Tables):
         "vector",
         "display_subject",
     )
+    return staged(questions)
 
 
 view(

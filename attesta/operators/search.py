@@ -15,6 +15,7 @@ from attesta.functions.governance import confidence_of, min_trust_ok, search_con
 from attesta.functions.text import is_blank
 from attesta.operators.ranking import top_k_per_query
 from attesta.rules import CONFESSIONS, MMR_LAMBDA, SEARCH_LIMIT, SUBJECTS, TOP_K
+from attesta.session import staged
 
 # A query block up to this size is sent to every executor; beyond it queries and
 # points meet in a grid of bounded cells instead.
@@ -258,7 +259,7 @@ def search(
 
 
 def measure(queries: DataFrame) -> tuple[int, int]:
-    """Number of queries and longest vector."""
+    """Number of queries and longest vector (stage queries that are costly to compute)."""
     return tuple(queries.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first())
 
 
@@ -274,6 +275,7 @@ def attach(hits: DataFrame, points: DataFrame, at_most: int | None = None) -> Da
 
 def search_payload(queries: DataFrame, points: DataFrame, columns: list[str], limit: int = SEARCH_LIMIT, **options) -> DataFrame:
     """``search`` with vector and payload columns of every hit (at most queries x limit rows)."""
+    queries = staged(queries)  # measured, collected or joined from here on
     size = measure(queries)
     hits = search(queries, points, limit, measured=size, **options)
     return attach(hits, points.select("point_id", "vector", *columns), at_most=size[0] * limit)

@@ -102,6 +102,7 @@ def evaluate_job(
     questions: DataFrame, points: DataFrame, sources: DataFrame, baseline: DataFrame, k: int = 10, minimum: str | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(scores with NDCG, summary, drift). ``questions`` also carries vector and display_subject."""
+    questions = staged(questions)  # one row per question, used by every step
     queries = questions.filter(F.col("status") == "active").select(
         F.col("question_id").alias("query_id"), "vector", "display_subject"
     )

@@ -17,6 +17,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from attesta.operators.aggregates import latency_report
 from attesta.plans.ingest import ingest_batch
+from attesta.session import staged
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -39,6 +40,11 @@ def written_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame |
     return spark.read.parquet(path).filter(F.col("batch") < batch_id)
 
 
+def only_touched(ledger: DataFrame, batch: DataFrame, key: str) -> DataFrame:
+    """Ledger rows whose key the batch brings: a long ledger shrinks to the size of the batch."""
+    return ledger.join(batch.select(key).distinct(), key, "left_semi")
+
+
 def _put(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
@@ -57,11 +63,10 @@ def stream_ingest(
         ledger = written_before(spark, f"{base}/ledger", batch_id)
         fresh, held = batch, None
         if ledger is not None:
-            unchanged = ledger.select("source_id", "content_hash")
-            fresh = batch.withColumn("content_hash", F.sha2("content", 256)).join(
-                unchanged, ["source_id", "content_hash"], "left_anti"
-            )
-            held = ledger.groupBy("content_hash").agg(F.min("source_id").alias("held_by"))
+            hashed = batch.withColumn("content_hash", F.sha2("content", 256))
+            touched = staged(only_touched(ledger.select("source_id", "content_hash"), hashed, "content_hash"))
+            fresh = hashed.join(touched, ["source_id", "content_hash"], "left_anti")
+            held = touched.groupBy("content_hash").agg(F.min("source_id").alias("held_by"))
         run = ingest_batch(fresh, held, make_embedder)
         _put(run.chunks, f"{base}/chunks", batch_id)
         _put(run.outcomes, f"{base}/outcomes", batch_id)
@@ -105,7 +110,8 @@ def stream_dedup_exact(
         rows = batch.select(id_, hash_)
         first = rows.groupBy(hash_).agg(F.min(id_).alias("held_by"))
         if ledger is not None:
-            first = first.join(ledger.select(hash_, F.col("held_by").alias("_old")), hash_, "left").select(
+            old = only_touched(ledger.select(hash_, F.col("held_by").alias("_old")), rows, hash_)
+            first = first.join(old, hash_, "left").select(
                 hash_, F.coalesce("_old", "held_by").alias("held_by"), F.col("_old").isNull().alias("_new")
             )
         else:

@@ -10,7 +10,7 @@ from attesta.session import build  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build("local[4]", 4, "tests")
+    session = build("local[8]", 3, "tests")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
