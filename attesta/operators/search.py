@@ -273,10 +273,11 @@ def attach(hits: DataFrame, points: DataFrame, at_most: int | None = None) -> Da
     return points.join(F.broadcast(hits) if small else hits, "point_id")
 
 
-def search_payload(queries: DataFrame, points: DataFrame, columns: list[str], limit: int = SEARCH_LIMIT, **options) -> DataFrame:
+def search_payload(
+    queries: DataFrame, points: DataFrame, columns: list[str], limit: int = SEARCH_LIMIT, measured=None, **options
+) -> DataFrame:
     """``search`` with vector and payload columns of every hit (at most queries x limit rows)."""
-    queries = staged(queries)  # measured, collected or joined from here on
-    size = measure(queries)
+    size = measured or measure(queries)
     hits = search(queries, points, limit, measured=size, **options)
     return attach(hits, points.select("point_id", "vector", *columns), at_most=size[0] * limit)
 
@@ -344,8 +345,12 @@ def mmr_rerank(
 # ---- citations -----------------------------------------------------------------
 
 
-def with_source(hits: DataFrame, sources: DataFrame) -> DataFrame:
-    """Source metadata for every hit; hits without a source vanish. Texts of sources are not read."""
+def with_source(hits: DataFrame, sources: DataFrame, at_most: int | None = None) -> DataFrame:
+    """Source metadata for every hit; hits without a source vanish. Texts of sources are not read.
+
+    With a proven bound on the hits, their ids pick the few sources needed from
+    the scan, so the registry is not shuffled.
+    """
     meta = sources.select(
         "source_id",
         "title",
@@ -356,6 +361,8 @@ def with_source(hits: DataFrame, sources: DataFrame) -> DataFrame:
         F.col("source_version").alias("meta_version"),
         F.col("content_hash").alias("meta_hash"),
     )
+    if at_most is not None and at_most <= BROADCAST_ROWS:
+        meta = meta.join(F.broadcast(hits.select("source_id").distinct()), "source_id", "left_semi")
     return hits.join(meta, "source_id")
 
 

@@ -113,7 +113,7 @@ def evaluate_job(
         )
     )
     scores = evaluate.score_questions(ranked, questions)
-    summary = evaluate.summarize(scores, questions)
+    summary = staged(evaluate.summarize(scores, questions))  # one row per domain
     full = scores.join(evaluate.ndcg(ranked, questions), "question_id")
     return full, summary, evaluate.drift(evaluate.unpivot_means(summary), baseline)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attesta.operators.search import (
     citation_complete,
+    measure,
     min_trust,
     mmr_rerank,
     query_filters,
@@ -14,6 +15,7 @@ from attesta.operators.search import (
     with_source,
 )
 from attesta.rules import OVERSAMPLE, TOP_K
+from attesta.session import staged
 
 PAYLOAD = ["source_id", "trust_level", "subject", "confession_context", "chunk_text", "page_or_section", "content_hash"]
 
@@ -27,11 +29,13 @@ def retrieve_batch(
     ``k``, source join, completeness. Nothing after the limit moves below it.
     ``queries``: query_id, vector, display_subject (null = no restriction).
     """
-    candidates = search_payload(query_filters(queries), points, PAYLOAD, limit=k * OVERSAMPLE, **search_options)
+    asked = staged(query_filters(queries))  # measured and sent out from here on
+    size = measure(asked)
+    candidates = search_payload(asked, points, PAYLOAD, limit=k * OVERSAMPLE, measured=size, **search_options)
     if minimum is not None:
         candidates = min_trust(candidates, minimum)
-    picked = mmr_rerank(candidates, k, carry=PAYLOAD)
-    complete = citation_complete(with_source(picked, sources)).filter(F.col("reason").isNull())
+    picked = staged(mmr_rerank(candidates, k, carry=PAYLOAD))  # at most k rows per query
+    complete = citation_complete(with_source(picked, sources, at_most=size[0] * k)).filter(F.col("reason").isNull())
     # at most k rows per query
     order = Window.partitionBy("query_id").orderBy("mmr_rank")
     return complete.withColumn("rank", F.row_number().over(order)).select(
