@@ -9,6 +9,8 @@ from attesta.functions.governance import display_subject
 from attesta.functions.privacy import redacted
 from attesta.rules import DISPLAY_SUBJECTS, ERROR_RATE_LIMIT, LATENCY_P95_TARGET_MS, REDACTION, SUBJECT_LABELS
 
+COUNTED_ROWS = 1_000_000
+
 
 def percent(part: Column, whole: Column) -> Column:
     """Rounded percentage, 0 for an empty whole."""
@@ -226,13 +228,17 @@ def latency_report(
 ) -> DataFrame:
     """Count, p95 latency and error rate per (non-null) key, with flags over the limits.
 
-    ``method``: ``exact`` (two passes, batch only), ``approx`` (one pass, bounded
-    state, also for streams) or ``counted`` (one pass, exact, one counter per
-    distinct value of a group: for streams with short windows).
+    ``method``: ``approx`` (one pass, bounded state, also for streams), ``counted``
+    (one pass, exact, one counter per distinct value of a group: for streams with
+    short windows) or ``exact`` (batch): the largest group is measured first, up
+    to ``COUNTED_ROWS`` rows it is counted, beyond that bracketed.
     """
+    if method == "exact":
+        largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        method = "counted" if largest <= COUNTED_ROWS else "bracketed"
     error = is_error if is_error is not None else F.col("is_error")
     basics = [F.count("*").alias("events"), (F.count_if(error) / F.count("*")).alias("error_rate")]
-    if method == "exact":
+    if method == "bracketed":
         p95 = exact_percentile(df, keys, latency, 0.95).withColumnRenamed("percentile", "p95")
         out = df.groupBy(*keys).agg(*basics).join(p95, keys, "left")
     elif method == "approx":

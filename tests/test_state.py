@@ -142,6 +142,15 @@ def test_exact_percentile_equals_the_plain_one(spark, q):
         assert got[k] == pytest.approx(wanted[k])
 
 
+def test_latency_methods_agree(spark):
+    frame = spark.range(4000).selectExpr("id % 3 AS k", "cast(id * 37 % 1009 AS double) AS latency", "id % 50 = 0 AS is_error")
+    tables = [sorted(map(tuple, aggregates.latency_report(frame, ["k"], method=m).select("k", "events", "error_rate", "p95").collect()))
+              for m in ("exact", "bracketed", "counted")]
+    assert tables[0] == tables[2]
+    assert [r[:3] for r in tables[1]] == [r[:3] for r in tables[2]]
+    assert [r[3] for r in tables[1]] == pytest.approx([r[3] for r in tables[2]])
+
+
 def test_grants(spark):
     day = lambda d: f"2024-01-{d:02d}"
     grants = spark.createDataFrame(
