@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import exact_dedup, ngram_join, quality, sharding, url_filter
+from attesta.llm import decontam, exact_dedup, ngram_join, quality, sharding, url_filter
 from attesta.session import apply_settings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,6 +178,24 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
 
 
+@query(
+    "op9_decontamination",
+    f"""
+    WITH words AS MATERIALIZED (SELECT doc_id, {_WORDS} AS w FROM documents),
+    tests AS MATERIALIZED (SELECT item_id, w, least(len(w), 5) AS k FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+    grams AS MATERIALIZED (SELECT DISTINCT item_id, k, array_to_string(w[i : i + k - 1], ' ') AS s
+              FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM tests)),
+    sizes AS (SELECT item_id, count(*) AS n FROM grams GROUP BY item_id),
+    tokens AS (SELECT DISTINCT doc_id, k, array_to_string(w[i : i + k - 1], ' ') AS s
+               FROM (SELECT doc_id, w, k, unnest(range(1, greatest(len(w) - k + 2, 1))) AS i FROM words, (SELECT DISTINCT k FROM tests)))
+    SELECT doc_id, item_id, n::INT AS item_shingles, count(*)::INT AS shared, round(count(*) / n, 6) AS containment
+    FROM tokens JOIN grams USING (k, s) JOIN sizes USING (item_id) GROUP BY doc_id, item_id, n HAVING count(*) * 100 >= n * 80
+    """,
+)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query("op10_quality")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
