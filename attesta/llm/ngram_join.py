@@ -74,7 +74,7 @@ def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _frequency_classes(facts: DataFrame) -> np.ndarray:
     """Bits of the count of every bin of the shingle space: 2^18 numbers, however large the corpus is."""
-    parts = facts.filter(F.col("chunk").isNotNull()).select("chunk", "counts").repartition(1 << BIN_BITS >> 12, "chunk")
+    parts = facts.filter(F.col("chunk").isNotNull()).select("chunk", "counts").repartition(16, "chunk")
     classes = np.zeros(1 << BIN_BITS, dtype=np.uint64)
     for row in parts.mapInArrow(_sum_chunks, "chunk int, counts binary").collect():
         counts = np.frombuffer(row["counts"], dtype=np.int64)

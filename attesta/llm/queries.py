@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import decontam, exact_dedup, ngram_join, quality, sharding, url_filter
+from attesta.llm import decontam, exact_dedup, mixing, ngram_join, quality, sharding, url_filter
 from attesta.session import apply_settings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -15,6 +15,8 @@ ORACLES: dict[str, str] = {}
 
 SHARDS = 40
 QUALITY_CUT = 0.3
+MIX_SHARE = 0.6
+MIX_POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 
 
 def query(key: str, sql: str | None = None):
@@ -38,6 +40,12 @@ def crc_of_id(id_: str = "doc_id"):
     return F.crc32(F.col(id_).cast("string"))
 
 
+@query("op1_mixing")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, folder, "documents"), MIX_SHARE, MIX_POWERS, mixing.register("text"))
+    return mixed.select("row.doc_id", "tokens", *mixing.DIMENSIONS, "weight", "probability", "sampled")
+
+
 @query("op2_sharding")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     placed = sharding.shard_documents(table(spark, folder, "documents"), SHARDS)

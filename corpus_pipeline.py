@@ -1,8 +1,79 @@
-"""A corpus pipeline of five stages; each takes (spark, docs, sf_dir) and returns a DataFrame."""
+"""A corpus pipeline of five stages.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
+and read again as the next one's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from attesta.llm import decontam, mixing, ngram_join, quality, sharding
+from attesta.llm.queries import MIX_POWERS, MIX_SHARE, QUALITY_CUT, SHARDS, crc_of_id, table
+from attesta.session import apply_settings, staged
+
+BROADCAST_IDS = 1_000_000
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose doc_id is not among ``ids``; rows without one stay."""
+    ids = staged(ids.select("doc_id").distinct())
+    small = ids.count() <= BROADCAST_IDS  # 8 MB of ids
+    return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_anti")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    trees = quality.train(docs, table(spark, sf_dir, "labels").filter(crc_of_id() % 5 != 0))
+    scored = quality.score_documents(docs, trees, score="_quality_score")
+    return scored.filter(F.col("_quality_score") >= QUALITY_CUT).select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest doc_id, and one row of it.
+
+    Rows without a doc_id stay.
+    """
+    found = staged(ngram_join.near_duplicates(docs))
+    kept = _without(docs, found.filter(F.col("doc_id") != F.col("component_id")))
+    repeated = staged(found.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id"))
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return _without(kept, repeated).unionByName(once).select(*docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return _without(docs, decontam.contaminated(docs, table(spark, sf_dir, "benchmark"))).select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample with raked shares of sources, languages and topics."""
+    return mixing.mix(docs, MIX_SHARE, MIX_POWERS, mixing.register("text")).filter("sampled").select("row.*")
+
+
+def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document."""
+    return sharding.shard_documents(docs, SHARDS)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("mixing sources", mixing_stage),
+    ("sharding", sharding_stage),
+]
+
+# boosted trees have no SQL form; tests/llm checks every stage against a brute-force version
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the documents of ``sf_dir``."""
+    docs = table(apply_settings(spark), sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = staged(stage(spark, docs, sf_dir))
+    return docs
