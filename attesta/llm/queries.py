@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import decontam, exact_dedup, lm, mixing, ngram_join, quality, sharding, url_filter
+from attesta.llm import decontam, exact_dedup, lm, mixing, ngram_join, quality, sharding, substring, url_filter
 from attesta.session import apply_settings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,11 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op7_substring_dedup")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return substring.shared_passages(table(spark, folder, "documents"))
+
+
 @query("op8_lm_scoring")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return lm.score_documents(table(spark, folder, "documents"), "crc32(cast(doc_id AS string)) % 7 <> 2")
