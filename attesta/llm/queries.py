@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import decontam, exact_dedup, lm, mixing, ngram_join, quality, sharding, substring, url_filter
+from attesta.llm import decontam, exact_dedup, license_scan, lm, mixing, ngram_join, quality, sharding, substring, url_filter
 from attesta.session import apply_settings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +89,11 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, folder, "documents"))
 
 
+@query("op4_license_scan")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan(table(spark, folder, "documents"))
+
+
 FIRST_DAY = "2024-01-01"
 
 
