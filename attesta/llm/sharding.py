@@ -74,10 +74,10 @@ def shard_documents(docs: DataFrame, shards: int, id_: str = "doc_id", text: str
     the table holds; a shard is off an even share by about one group. One group larger than a
     share fills a shard of its own. Slots number the rows of a shard from 0 without gaps, in
     the order of group and id; repeated rows get a slot each; null ids come first. A null
-    text has checksum 0. An empty table gives no rows; extra columns are not read.
+    text counts as the empty one (checksum 0). An empty table gives no rows; extra columns are not read.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    atom = F.shiftrightunsigned(F.xxhash64(F.col(text).isNull(), body), 64 - atom_bits)
+    atom = F.shiftrightunsigned(F.xxhash64(body), 64 - atom_bits)
     # runs of ids and salts bound what one task sorts, also where one group holds many rows
     row = F.monotonically_increasing_id()
     run = F.coalesce(F.floor(F.col(id_) / F.lit(4096)), F.pmod(row, F.lit(64)) - 64).cast("bigint")
