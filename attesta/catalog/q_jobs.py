@@ -28,8 +28,8 @@ from attesta.streaming import jobs as streams
     f"""
     SELECT 'table' AS part, sheet_id, deleted_at IS NOT NULL OR sheet_id IN (SELECT l_orderkey FROM {{lineitem}} WHERE l_returnflag = 'R') AS deleted,
            CAST(NULL AS string) AS details FROM {{v_sheet}}
-    UNION ALL SELECT 'audit', sheet_id, true, '{{{{"worksheetId":"' || cast(sheet_id AS string) || '"}}}}' FROM {{v_sheet}}
-      WHERE sheet_id IN (SELECT l_orderkey FROM {{lineitem}} WHERE l_returnflag = 'R')
+    UNION ALL SELECT 'audit', sheet_id, true, l_suppkey || ' {{{{"worksheetId":"' || cast(sheet_id AS string) || '"}}}}'
+      FROM {{lineitem}} JOIN {{v_sheet}} ON sheet_id = l_orderkey WHERE l_returnflag = 'R'
     UNION ALL SELECT DISTINCT 'unknown', l_orderkey, false, NULL FROM {{lineitem}} WHERE l_returnflag = 'R' AND l_orderkey NOT IN (SELECT sheet_id FROM {{v_sheet}})
     """,
 )
@@ -44,7 +44,7 @@ def _(t):
                 F.lit("audit").alias("part"),
                 F.get_json_object("details", "$.worksheetId").cast("bigint").alias("sheet_id"),
                 F.lit(True).alias("deleted"),
-                "details",
+                F.concat_ws(" ", "actor_id", "details").alias("details"),
             )
         )
         .unionByName(unknown.select(F.lit("unknown").alias("part"), "sheet_id", F.lit(False).alias("deleted"), none.alias("details")))
@@ -56,9 +56,12 @@ def _(t):
     """
     WITH r AS (SELECT DISTINCT user_id AS source_id FROM {events} WHERE event_type = 'error' AND value > 150)
     SELECT 'table' AS part, source_id, CASE WHEN source_id IN (SELECT source_id FROM r) THEN 'REVOKED' ELSE lifecycle_status END AS note FROM {v_source}
-    UNION ALL SELECT 'audit', source_id, 'warning' FROM r WHERE source_id IN (SELECT source_id FROM {v_source})
+    UNION ALL SELECT 'revoked_at', source_id, cast(CASE WHEN source_id IN (SELECT source_id FROM r) THEN coalesce(revoked_at, TIMESTAMP 'AS_OF')
+        ELSE revoked_at END AS DATE)::string FROM {v_source}
+    UNION ALL SELECT 'audit', user_id, event_id || ' warning' FROM {events} WHERE event_type = 'error' AND value > 150
+        AND user_id IN (SELECT source_id FROM {v_source})
     UNION ALL SELECT 'unknown', source_id, NULL FROM r WHERE source_id NOT IN (SELECT source_id FROM {v_source})
-    """,
+    """.replace("AS_OF", AS_OF),
 )
 def _(t):
     asked = t("events").filter((F.col("event_type") == "error") & (F.col("value") > 150)).select(
@@ -67,8 +70,13 @@ def _(t):
     table, audit, unknown = retention.revoke_sources(t("v_source"), asked, AS_OF)
     return (
         table.select(F.lit("table").alias("part"), "source_id", F.col("lifecycle_status").alias("note"))
+        .unionByName(table.select(F.lit("revoked_at").alias("part"), "source_id", F.col("revoked_at").cast("date").cast("string").alias("note")))
         .unionByName(
-            audit.select(F.lit("audit").alias("part"), F.get_json_object("details", "$.sourceRefId").cast("bigint").alias("source_id"), F.col("severity").alias("note"))
+            audit.select(
+                F.lit("audit").alias("part"),
+                F.get_json_object("details", "$.sourceRefId").cast("bigint").alias("source_id"),
+                F.concat_ws(" ", "actor_id", "severity").alias("note"),
+            )
         )
         .unionByName(unknown.select(F.lit("unknown").alias("part"), "source_id", F.lit(None).cast("string").alias("note")))
     )
@@ -169,7 +177,7 @@ def stream_tables(t: Tables, name: str) -> Tables:
 
 _WINDOW_SQL = """
     SELECT window_start, event_type, count(*) AS events, round(count(*) FILTER (severity = 'critical') / count(*), 6) AS error_rate,
-           round(quantile_cont(latency, 0.95), 6) AS p95, quantile_cont(latency, 0.95) > 150 AS latency_alert,
+           round(quantile_cont(round(latency, 2), 0.95), 6) AS p95, quantile_cont(round(latency, 2), 0.95) > 150 AS latency_alert,
            count(*) FILTER (severity = 'critical') / count(*) > 0.01 AS error_alert
     FROM (SELECT *, date_trunc('hour', ts) AS window_start FROM {v_audit}) GROUP BY window_start, event_type
 """
@@ -191,7 +199,7 @@ def _(t):
 def _(t):
     base = _place(t, "windows")
     live = stream_tables(t, "events")("v_audit").withColumn("ts", F.col("ts").cast("timestamp"))
-    streams.stream_audit_windows(live, f"{base}/out", f"{base}/check", target=150.0, method="counted").awaitTermination()
+    streams.stream_audit_windows(live, f"{base}/out", f"{base}/check", target=150.0).awaitTermination()
     out = _windows(t.spark.read.parquet(f"{base}/out"))
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
@@ -217,14 +225,14 @@ def _(t):
 
 @query(
     "stream_lifecycle",
-    _FOLD_SQL + "SELECT source_id, max_by(st, n) AS lifecycle_status, count(*) FILTER (NOT ok) AS refused FROM r WHERE source_id IN (SELECT source_id FROM c) GROUP BY source_id",
+    _FOLD_SQL + """SELECT source_id, max_by(st, n) AS lifecycle_status, count(*) FILTER (NOT ok) AS refused FROM r WHERE source_id IN (SELECT source_id FROM c) GROUP BY source_id
+        UNION ALL SELECT source_id, NULL, count(*) FROM {v_command} WHERE source_id NOT IN (SELECT source_id FROM {v_source}) GROUP BY source_id""",
 )
 def _(t):
     base = _place(t, "lifecycle")
     live = stream_tables(t, "events")("v_command")
     streams.stream_lifecycle(live, t("v_source"), f"{base}/out", f"{base}/check").awaitTermination()
-    known = t("v_source").select("source_id")
-    out = t.spark.read.parquet(f"{base}/out").join(known, "source_id", "left_semi")
+    out = t.spark.read.parquet(f"{base}/out")
     return out.groupBy("source_id").agg(
         F.max_by("lifecycle_status", "seq").alias("lifecycle_status"), F.count_if(F.col("error").isNotNull()).alias("refused")
     )
@@ -258,7 +266,7 @@ def _(t):
 
 def _retrieved_sql(k: int, floor: str) -> str:
     return f"""
-    h AS MATERIALIZED (SELECT * FROM {{v_hit}} WHERE {floor}), {_mmr_rounds('h', k)},
+    h AS MATERIALIZED (SELECT * FROM {{v_hit_wide}} WHERE rank <= {3 * k} AND {floor}), {_mmr_rounds('h', k)},
     got AS (SELECT p.query_id, p.mmr_rank, p.point_id, p.score, h.source_id, h.trust_level, s.title
             FROM p{k} p JOIN h ON h.query_id = p.query_id AND h.point_id = p.point_id JOIN {{v_source}} s ON s.source_id = h.source_id
             WHERE coalesce(h.chunk_text, '') <> '' AND h.trust_level IS NOT NULL AND trim(coalesce(s.publisher, '')) <> '' AND trim(coalesce(s.license_info, '')) <> ''),
@@ -280,7 +288,7 @@ def _(t):
 @query(
     "evaluate",
     f"""
-    WITH {_retrieved_sql(5, "true")},
+    WITH {_retrieved_sql(10, "true")},
     hit AS (SELECT q.question_id, f.rank FROM final f JOIN {{v_question}} q ON q.question_id = f.query_id WHERE list_contains(q.expected_source_ids, f.source_id)),
     sc AS (SELECT q.question_id, q.domain, count(h.rank) FILTER (h.rank <= 5) / 5.0 AS p,
                   count(h.rank) FILTER (h.rank <= 10)::double / max(len(q.expected_source_ids)) AS r, coalesce(1.0::double / min(h.rank), 0) AS rr
@@ -294,7 +302,7 @@ def _(t):
 def _(t):
     targets = [(None, "mean_precision_at_5", 0.8), (None, "mean_recall_at_10", 0.75), (None, "mean_reciprocal_rank", 0.7)]
     baseline = t.spark.createDataFrame(targets, "domain string, metric string, value double")
-    _, summary, drifted = jobs.evaluate_job(t("v_question"), t("v_point"), t("v_source"), baseline, k=5)
+    _, summary, drifted = jobs.evaluate_job(t("v_question"), t("v_point"), t("v_source"), baseline, k=10)
     fallen = drifted.filter(F.col("metric") == "mean_precision_at_5").select(F.col("domain").alias("_d"), F.lit(True).alias("_f"))
     joined = summary.join(fallen, F.col("domain").eqNullSafe(F.col("_d")), "left")
     return joined.select(
@@ -326,7 +334,7 @@ def _(t):
     UNION ALL SELECT 'strand-rules', (SELECT count(*) FROM {v_strand} WHERE subject = 'DEUTSCH' AND confession_context <> 'NICHT_ANWENDBAR')
       + (SELECT count(*) FROM {v_strand} WHERE school_stage <> 'SEK_I' AND (school_form IS NOT NULL OR education_track IS NOT NULL))
       + (SELECT count(*) FROM {v_strand} WHERE education_track IS NOT NULL AND school_form IS NULL) + (SELECT count(*) FROM {v_strand} WHERE valid_to < valid_from)
-    UNION ALL SELECT 'orphan-chunks', cast(0 AS bigint)
+    UNION ALL SELECT 'orphan-chunks', count(*) FROM {v_chunk} WHERE source_id NOT IN (SELECT source_id FROM {v_source})
     UNION ALL SELECT 'version-conflicts', count(*) FROM (SELECT root FROM chain WHERE status = 'ACTIVE' GROUP BY root HAVING count(*) > 1)
     UNION ALL SELECT 'duplicate-content', count(*) FROM (SELECT count(*) OVER (PARTITION BY content_hash) AS k FROM {v_source}) WHERE k > 1
     """,

@@ -323,8 +323,8 @@ def _(t):
 
 @query(
     "latency_report",
-    """SELECT event_type, count(*) AS events, round(quantile_cont(latency, 0.95), 6) AS p95, round(count(*) FILTER (severity = 'critical') / count(*), 6) AS error_rate,
-              quantile_cont(latency, 0.95) > 150 AS latency_alert, count(*) FILTER (severity = 'critical') / count(*) > 0.01 AS error_alert
+    """SELECT event_type, count(*) AS events, round(quantile_cont(round(latency, 2), 0.95), 6) AS p95, round(count(*) FILTER (severity = 'critical') / count(*), 6) AS error_rate,
+              quantile_cont(round(latency, 2), 0.95) > 150 AS latency_alert, count(*) FILTER (severity = 'critical') / count(*) > 0.01 AS error_alert
        FROM {v_audit} GROUP BY event_type""",
 )
 def _(t):
@@ -345,11 +345,11 @@ def _(t):
 
 @query(
     "first_chunk_wins",
-    """SELECT source_id, chunk_index, SHA256(chunk_text) AS content_hash FROM {v_chunk} WHERE length(chunk_text) >= 50
+    """SELECT source_id, chunk_index, SHA256(chunk_text) AS content_hash FROM {v_piece} WHERE length(chunk_text) >= 50
        QUALIFY row_number() OVER (PARTITION BY source_id, SHA256(chunk_text) ORDER BY chunk_index) = 1""",
 )
 def _(t):
-    return ranking.first_chunk_wins(t("v_chunk")).select("source_id", "chunk_index", "content_hash")
+    return ranking.first_chunk_wins(t("v_piece")).select("source_id", "chunk_index", "content_hash")
 
 
 @query(

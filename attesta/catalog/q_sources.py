@@ -301,11 +301,12 @@ def _(t):
 @query(
     "lifecycle_errors",
     _FOLD_SQL + """SELECT source_id, seq, command, CASE WHEN command = 'approve' AND before = 'REGISTERED' THEN 'APPROVAL_REFUSED'
-                   ELSE 'WRONG_STATUS:' || before END AS error FROM r WHERE NOT ok""",
+                   ELSE 'WRONG_STATUS:' || before END AS error FROM r WHERE NOT ok
+                   UNION ALL SELECT source_id, seq, command, 'UNKNOWN_SOURCE' FROM {v_command}
+                   WHERE source_id NOT IN (SELECT source_id FROM {v_source})""",
 )
 def _(t):
-    known = t("v_command").join(t("v_source").select("source_id"), "source_id", "left_semi")
-    return lifecycle.apply_commands(t("v_source"), known)[1]
+    return lifecycle.apply_commands(t("v_source"), t("v_command"))[1]
 
 
 @query(
@@ -510,9 +511,9 @@ def _(t):
 @query(
     "table_constraints",
     """
-    SELECT 'chunk_text_min_len' AS rule, chunk_id AS violating_key, cast(1 AS bigint) AS n FROM {v_chunk} WHERE length(chunk_text) < 50
+    SELECT 'chunk_text_min_len' AS rule, chunk_id AS violating_key, cast(1 AS bigint) AS n FROM {v_piece} WHERE length(chunk_text) < 50
     UNION ALL SELECT 'chunk_unique', cast(source_id AS string) || '|' || SHA256(chunk_text) || '|' || cast(source_version AS string), count(*)
-      FROM {v_chunk} GROUP BY source_id, SHA256(chunk_text), source_version HAVING count(*) > 1
+      FROM {v_piece} GROUP BY source_id, SHA256(chunk_text), source_version HAVING count(*) > 1
     UNION ALL SELECT 'link_unique', cast(l_orderkey AS string) || '|' || cast(l_suppkey AS string), count(*)
       FROM {lineitem} GROUP BY l_orderkey, l_suppkey HAVING count(*) > 1
     UNION ALL SELECT 'node_code_per_strand', cast(strand_id AS string) || '|' || title, count(*)
@@ -520,7 +521,7 @@ def _(t):
     """,
 )
 def _(t):
-    rows = t("v_chunk").withColumn("content_hash", F.sha2("chunk_text", 256))
+    rows = t("v_piece").withColumn("content_hash", F.sha2("chunk_text", 256))
     return filters.constraint_violations(
         [
             filters.short_chunk_violations(rows),

@@ -9,7 +9,7 @@ from attesta.catalog.dialect import GUARD_CASE, redaction_ctes
 from attesta.catalog.views import AS_OF
 from attesta.functions import governance as gov
 from attesta.functions import privacy, text
-from attesta.functions.hooks import embed, extract_hook, hash_embedder
+from attesta.functions.hooks import embed, extract_hook
 from attesta.plans.gateway import PromptTexts, prompt_assemble, redact_then_gate
 from attesta.rules import WS
 
@@ -22,10 +22,10 @@ def _trim(x: str) -> str:
 
 @query(
     "chunk_text",
-    "SELECT source_id, chunk_index, page_or_section, length(chunk_text) AS characters, SHA256(chunk_text) AS content_hash FROM {v_chunk}",
+    "SELECT source_id, chunk_index, page_or_section, length(chunk_text) AS characters, SHA256(chunk_text) AS content_hash FROM {v_piece}",
 )
 def _(t):
-    return t("v_chunk").select(
+    return t("v_piece").select(
         "source_id", "chunk_index", "page_or_section", F.length("chunk_text").cast("bigint").alias("characters"), F.sha2("chunk_text", 256).alias("content_hash")
     )
 
@@ -294,15 +294,17 @@ def _(t):
     return gated(t)[1].select("request_id", "actor_id", "event_type", "severity")
 
 
-@query("embed")
+@query(
+    "embed",
+    """SELECT chunk_id, length(chunk_text)::double AS characters, (length(chunk_text) - length(replace(chunk_text, 'e', '')))::double AS letters_e,
+              (length(chunk_text) - length(replace(chunk_text, ' ', '')))::double AS blanks FROM {v_piece}""",
+)
 def _(t):
-    return embed(t("v_chunk").select("chunk_id", "chunk_text"), hash_embedder(16)).select("chunk_id", F.size("vector").alias("dimension"))
+    def make_client():  # stands for the caller's service: a vector that SQL can state as well
+        return lambda texts: [[len(x), x.count("e"), x.count(" ")] for x in texts]
 
-
-@query("test_embedder")
-def _(t):
-    vectors = embed(t("benchmark"), hash_embedder(64), text="text")
-    return vectors.select("item_id", F.round(F.col("vector")[0], 9).alias("first"), F.size("vector").alias("dimension"))
+    vectors = embed(t("v_piece").select("chunk_id", "chunk_text"), make_client)
+    return vectors.select("chunk_id", *[F.col("vector")[i].alias(n) for i, n in enumerate(("characters", "letters_e", "blanks"))])
 
 
 @query(

@@ -59,22 +59,29 @@ view(
 )
 
 
-def _chunks(t: Tables):
-    sources = t("v_source").filter(F.col("lifecycle_status") == "APPROVED")
-    rows = chunk_text(sources, keep=["source_id", "source_version"])
+def _pieces(t: Tables):
+    rows = chunk_text(t("v_source"), keep=["source_id", "source_version", "lifecycle_status"])
     return rows.withColumn("chunk_id", F.concat_ws(":", F.col("source_id").cast("string"), F.col("chunk_index").cast("string")))
 
 
-view(
-    "v_chunk",
+view(  # chunks of all sources, whatever their status
+    "v_piece",
     """
-    SELECT source_id, source_version, i AS chunk_index, substring(content, i * 800 + 1, 1000) AS chunk_text,
+    SELECT source_id, source_version, lifecycle_status, i AS chunk_index, substring(content, i * 800 + 1, 1000) AS chunk_text,
            'chunk:' || cast(i AS string) AS page_or_section,
            cast(source_id AS string) || ':' || cast(i AS string) AS chunk_id
     FROM (SELECT *, unnest(range(0, 1 + cast(ceil(greatest(length(content) - 1000, 0) / 800.0) AS int)))::int AS i
-          FROM {v_source} WHERE lifecycle_status = 'APPROVED' AND trim(content) <> '')
+          FROM {v_source} WHERE trim(content) <> '')
+    """,
+    _pieces,
+)
+
+view(  # chunks in the index: those of approved sources
+    "v_chunk",
+    """
+    SELECT source_id, source_version, chunk_index, chunk_text, page_or_section, chunk_id
+    FROM {v_piece} WHERE lifecycle_status = 'APPROVED'
     """,
-    _chunks,
 )
 
 view(
@@ -86,7 +93,8 @@ view(
            CASE WHEN e.vec_id % 31 = 0 THEN NULL ELSE s.content END AS chunk_text,
            'chunk:' || cast(e.vec_id AS string) AS page_or_section,
            CASE WHEN e.vec_id % 37 = 0 THEN NULL ELSE s.content_hash END AS content_hash
-    FROM {embeddings} e JOIN {v_source} s ON s.source_id = e.vec_id % 200
+    FROM (SELECT *, vec_id * 7919 % (SELECT max(doc_id) + 1 FROM {documents}) AS doc_id FROM {embeddings}) e
+    JOIN {v_source} s ON s.source_id = e.doc_id
     """,
 )
 
@@ -129,8 +137,12 @@ def _hits(t: Tables):
     return staged(search.search_payload(search.query_filters(t("v_query")), t("v_point"), PAYLOAD, limit=15))
 
 
-view(  # exact scores, the filter clauses of the display subject, best 15 per query
-    "v_hit",
+def _wide_hits(t: Tables):
+    return staged(search.search_payload(search.query_filters(t("v_query")), t("v_point"), PAYLOAD, limit=30))
+
+
+view(  # exact scores, the filter clauses of the display subject, best 30 per query
+    "v_hit_wide",
     """
     SELECT * FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM (
@@ -142,11 +154,13 @@ view(  # exact scores, the filter clauses of the display subject, best 15 per qu
                  AND p.confession_context IN ('EVANGELISCH', 'KONFESSIONSSENSIBEL_UEBERGREIFEND')
                WHEN 'ethik' THEN p.subject = 'ETHIK' AND p.confession_context = 'RELIGIONSKUNDLICH'
                ELSE true END))
-    WHERE rank <= 15
+    WHERE rank <= 30
     """,
-    _hits,
+    _wide_hits,
 )
 
+view("v_hit", "SELECT * FROM {v_hit_wide} WHERE rank <= 15", _hits)
+
 
 def _questions(t: Tables):
     expected = (
@@ -289,7 +303,8 @@ view(  # every turn offers one citation, ranked without gaps
     """
     SELECT c.conv_id AS artifact_id, cast(c.turn + 1 AS int) AS rank, s.source_id, s.title, s.trust_level,
            CASE WHEN s.trust_level IN ('OFFICIAL_BINDING', 'OFFICIAL_GUIDANCE') THEN 'GROUNDED' ELSE 'UNSUPPORTED_DRAFT' END AS confidence
-    FROM {conversations} c JOIN {v_source} s ON s.source_id = (c.conv_id * 7 + c.turn * 5) % 200
+    FROM (SELECT conv_id, turn, (conv_id * 7919 + turn * 5) % (SELECT max(doc_id) + 1 FROM {documents}) AS doc_id FROM {conversations}) c
+    JOIN {v_source} s ON s.source_id = c.doc_id
     """,
 )
 
@@ -325,7 +340,7 @@ view(
     """,
 )
 
-view(  # file paths made of the words of the documents; folders and types vary by key
+view(  # file paths made of the source, language and content of the documents; folders and types vary by key
     "v_path",
     """
     SELECT doc_id,
@@ -337,7 +352,7 @@ view(  # file paths made of the words of the documents; folders and types vary b
                 WHEN 4 THEN 'Klassenarbeiten' WHEN 5 THEN 'sek_kl9' ELSE 'Allgemein' END
            || '/' ||
            CASE doc_id % 11 WHEN 0 THEN 'KA_' WHEN 1 THEN 'Lektuereempfehlungen_' WHEN 2 THEN 'Noten-' WHEN 3 THEN 'Religion_' ELSE '' END
-           || replace(replace(substring(text, 1, 12), '/', '_'), '.', '_')
+           || source || '_' || lang || '-' || SHA256(text)
            || CASE doc_id % 8 WHEN 0 THEN '.pdf' WHEN 1 THEN '.TXT' WHEN 2 THEN '.docx' WHEN 3 THEN '.png' WHEN 4 THEN '.md'
                 WHEN 5 THEN '' ELSE '.txt' END AS rel_path
     FROM {documents}

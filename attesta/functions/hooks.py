@@ -42,28 +42,6 @@ def embed(
     return spread.mapInPandas(run, schema)
 
 
-def hash_embedder(dimension: int = 64) -> Callable[[], Callable[[list[str]], list]]:
-    """A deterministic stand-in for tests: a text hash seeds a small generator, result of length 1."""
-    # fixed values of the generator
-    factor, offset, modulus = 9301, 49297, 233280
-
-    def client(texts: list[str]) -> list:
-        seeds = np.empty(len(texts), dtype=np.int64)
-        for i, text in enumerate(texts):
-            units = np.frombuffer(text.encode("utf-16-le"), dtype=np.uint16).astype(np.uint64)
-            powers = np.power(np.uint64(31), np.arange(len(units) - 1, -1, -1, dtype=np.uint64))
-            low = int((units * powers).sum(dtype=np.uint64) & np.uint64(0xFFFFFFFF)) if len(units) else 0
-            seeds[i] = abs(low - (1 << 32) if low >= 1 << 31 else low)
-        out = np.empty((len(texts), dimension))
-        for d in range(dimension):
-            seeds = (seeds * factor + offset) % modulus
-            out[:, d] = seeds / modulus * 2 - 1
-        lengths = np.sqrt((out * out).sum(axis=1, keepdims=True))
-        return list(out / np.where(lengths == 0, 1, lengths))
-
-    return lambda: client
-
-
 def extract_hook(
     df: DataFrame, make_parser: Callable[[], Callable[[bytes, str], str]], content: str = "content", mime: str = "mime"
 ) -> DataFrame:

@@ -9,7 +9,7 @@ from attesta.functions.governance import display_subject
 from attesta.functions.privacy import redacted
 from attesta.rules import DISPLAY_SUBJECTS, ERROR_RATE_LIMIT, LATENCY_P95_TARGET_MS, REDACTION, SUBJECT_LABELS
 
-COUNTED_ROWS = 1_000_000
+LATENCY_DIGITS = 2
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -180,43 +180,6 @@ def duplicate_hash_report(sources: DataFrame, hash_: str = "content_hash") -> Da
     return held.select(hash_, "source_id").join(repeated, hash_)
 
 
-def exact_percentile(
-    df: DataFrame, keys: list[str], value: str, q: float, accuracy: int = 10_000, small: int = 100_000
-) -> DataFrame:
-    """Interpolated percentile per key, exact and without holding a large group in one task.
-
-    In groups of more than ``small`` rows an approximate percentile brackets the
-    wanted rank: its rank error is at most 1/accuracy, the bracket is twice as
-    wide. Rows below the bracket are only counted, and only the distinct values
-    inside it, a few of every ``accuracy`` rows, are put in order.
-    """
-    values = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    margin = 2.0 / accuracy
-    edges = F.array(F.lit(max(q - margin, 0.0)), F.lit(min(q + margin, 1.0)))
-    bracket = values.groupBy(*keys).agg(F.percentile_approx("_v", edges, accuracy).alias("_b"), F.count("*").alias("_n"))
-    few = F.col("_n") <= small
-    low = F.when(few | F.lit(q <= margin), F.lit(float("-inf"))).otherwise(F.col("_b")[0])
-    high = F.when(few | F.lit(q >= 1 - margin), F.lit(float("inf"))).otherwise(F.col("_b")[1])
-    placed = values.join(bracket, keys)
-    counted = placed.groupBy(*keys, F.when(F.col("_v").between(low, high), F.col("_v")).alias("_in"), (F.col("_v") < low).alias("_below")).agg(
-        F.count("*").alias("_c"), F.first("_n").alias("_n")
-    )
-    inside = counted.filter(F.col("_in").isNotNull())
-    below = counted.filter(F.col("_below")).select(*keys, F.col("_c").alias("_skip"))
-    order = Window.partitionBy(*keys).orderBy("_in").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = inside.join(below, keys, "left").withColumn(
-        "_end", F.coalesce("_skip", F.lit(0)) + F.sum("_c").over(order)
-    )
-    place = F.lit(q) * (F.col("_n") - 1)
-    start = F.col("_end") - F.col("_c")
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((start <= rank) & (rank < F.col("_end")), F.col("_in")))
-
-    found = ranked.groupBy(*keys).agg(at(F.floor(place)).alias("_lo"), at(F.ceil(place)).alias("_hi"), F.max(place - F.floor(place)).alias("_f"))
-    return found.select(*keys, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias("percentile"))
-
-
 def latency_report(
     df: DataFrame,
     keys: list[str],
@@ -224,27 +187,21 @@ def latency_report(
     is_error: Column | None = None,
     target: float = LATENCY_P95_TARGET_MS,
     error_limit: float = ERROR_RATE_LIMIT,
-    method: str = "exact",
 ) -> DataFrame:
-    """Count, p95 latency and error rate per (non-null) key, with flags over the limits.
+    """Count, interpolated p95 latency and error rate per key, with flags over the limits.
 
-    ``method``: ``approx`` (one pass, bounded state, also for streams), ``counted``
-    (one pass, exact, one counter per distinct value of a group: for streams with
-    short windows) or ``exact`` (batch): the largest group is measured first, up
-    to ``COUNTED_ROWS`` rows it is counted, beyond that bracketed.
+    Latencies count to a hundredth, so a group holds one counter per hundredth that occurs,
+    not one per row; batch and stream, small and large groups give the same number. Null and
+    NaN latencies are not measured values: they count as events only, and a group without
+    any other has a null p95. Null keys are a group of their own.
     """
-    if method == "exact":
-        largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-        method = "counted" if largest <= COUNTED_ROWS else "bracketed"
     error = is_error if is_error is not None else F.col("is_error")
-    basics = [F.count("*").alias("events"), (F.count_if(error) / F.count("*")).alias("error_rate")]
-    if method == "bracketed":
-        p95 = exact_percentile(df, keys, latency, 0.95).withColumnRenamed("percentile", "p95")
-        out = df.groupBy(*keys).agg(*basics).join(p95, keys, "left")
-    elif method == "approx":
-        out = df.groupBy(*keys).agg(*basics, F.percentile_approx(latency, 0.95, 10_000).cast("double").alias("p95"))
-    else:
-        out = df.groupBy(*keys).agg(*basics, F.percentile(latency, F.lit(0.95)).alias("p95"))
+    measured = F.round(F.when(~F.isnan(F.col(latency)), F.col(latency)), LATENCY_DIGITS)
+    out = df.groupBy(*keys).agg(
+        F.count("*").alias("events"),
+        (F.count_if(error) / F.count("*")).alias("error_rate"),
+        F.percentile(measured, F.lit(0.95)).alias("p95"),
+    )
     return out.withColumn("latency_alert", F.col("p95") > target).withColumn(
         "error_alert", F.col("error_rate") > error_limit
     )

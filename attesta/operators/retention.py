@@ -28,26 +28,33 @@ def soft_delete(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Set ``deleted_at`` for the listed ids: (table, audit rows, unknown ids).
 
-    ``deletes``: id and actor_id. Unknown ids leave no audit row.
+    ``deletes``: id and actor_id, one row per command. Every command on a known id leaves an
+    audit row, repeated ones too; unknown ids leave none.
     """
-    asked = deletes.groupBy(id_).agg(F.min("actor_id").alias("actor_id"))
-    marked = df.join(asked.select(id_, F.lit(True).alias("_hit")), id_, "left")
+    asked = deletes.select(id_).distinct()
+    marked = df.join(asked.withColumn("_hit", F.lit(True)), id_, "left")
     table = marked.withColumn(
         "deleted_at", F.when(F.col("_hit"), _ts(as_of)).otherwise(F.col("deleted_at"))
     ).drop("_hit")
-    known = asked.join(df.select(id_), id_, "left_semi")
-    audit = _audit(known, event, subject, id_, label, "info")
+    audit = _audit(deletes.join(df.select(id_), id_, "left_semi"), event, subject, id_, label, "info")
     return table, audit, asked.join(df.select(id_), id_, "left_anti")
 
 
 def revoke_sources(sources: DataFrame, revocations: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Revoke the listed sources: (table, audit rows, unknown ids)."""
-    asked = revocations.groupBy("source_id").agg(F.min("actor_id").alias("actor_id"))
-    marked = sources.join(asked.select("source_id", F.lit(True).alias("_hit")), "source_id", "left")
-    table = marked.withColumn(
-        "lifecycle_status", F.when(F.col("_hit"), F.lit("REVOKED")).otherwise(F.col("lifecycle_status"))
-    ).drop("_hit")
-    known = asked.join(sources.select("source_id"), "source_id", "left_semi")
+    """Revoke the listed sources: (table, audit rows, unknown ids).
+
+    The first revocation sets ``revoked_at``, from which the grace period before the purge
+    runs. Every command on a known source leaves an audit row.
+    """
+    asked = revocations.select("source_id").distinct()
+    hit = F.coalesce(F.col("_hit"), F.lit(False))
+    table = (
+        sources.join(asked.withColumn("_hit", F.lit(True)), "source_id", "left")
+        .withColumn("lifecycle_status", F.when(hit, F.lit("REVOKED")).otherwise(F.col("lifecycle_status")))
+        .withColumn("revoked_at", F.when(hit, F.coalesce("revoked_at", _ts(as_of))).otherwise(F.col("revoked_at")))
+        .drop("_hit")
+    )
+    known = revocations.join(sources.select("source_id"), "source_id", "left_semi")
     audit = _audit(known, "revoke_source_ref", "source_ref_revocation", "source_id", "sourceRefId", "warning")
     return table, audit, asked.join(sources.select("source_id"), "source_id", "left_anti")
 

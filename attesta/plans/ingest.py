@@ -110,9 +110,10 @@ def ingest_batch(
     chunks = rows.withColumn(
         "point_id", F.concat_ws(":", *[F.col(c).cast("string") for c in ("source_id", "source_version", "chunk_index")])
     )
+    # counted before the embedding step, so the outcomes never run it a second time
+    per_source = rows.groupBy("source_id").agg(F.count("*").alias("chunks"))
     if make_embedder is not None:
         chunks = embed(chunks, make_embedder, partitions=partitions)
-    per_source = chunks.groupBy("source_id").agg(F.count("*").alias("chunks"))
     outcomes = judged.join(per_source, "source_id", "left").select(
         "source_id", "outcome", "reason", F.coalesce("chunks", F.lit(0).cast("bigint")).alias("chunks")
     )

@@ -197,21 +197,20 @@ def stream_lifecycle(commands: DataFrame, state: DataFrame, path: str, checkpoin
 
 
 def audit_windows(
-    audit: DataFrame, window: str = "1 hour", target: float = 300.0, error_limit: float = 0.01, method: str = "exact"
+    audit: DataFrame, window: str = "1 hour", target: float = 300.0, error_limit: float = 0.01
 ) -> DataFrame:
     """Count, error rate, p95 and alert flags per window and event type (batch and stream alike)."""
     is_error: Column = F.col("severity") == "critical"
     placed = audit.withColumn("_w", F.window("ts", window))
-    report = latency_report(placed, ["_w", "event_type"], is_error=is_error, target=target, error_limit=error_limit, method=method)
+    report = latency_report(placed, ["_w", "event_type"], is_error=is_error, target=target, error_limit=error_limit)
     return report.select(F.col("_w.start").alias("window_start"), "event_type", "events", "error_rate", "p95", "latency_alert", "error_alert")
 
 
 def stream_audit_windows(
-    audit: DataFrame, path: str, checkpoint: str, window: str = "1 hour", delay: str = "10 minutes", once: bool = True,
-    method: str = "approx", **limits
+    audit: DataFrame, path: str, checkpoint: str, window: str = "1 hour", delay: str = "10 minutes", once: bool = True, **limits
 ) -> StreamingQuery:
     """Closed windows appended to ``path``; rows later than the watermark are dropped."""
-    report = audit_windows(audit.withWatermark("ts", delay), window, method=method, **limits)
+    report = audit_windows(audit.withWatermark("ts", delay), window, **limits)
     return start(report.writeStream.format("parquet").option("path", path).outputMode("append"), checkpoint, once)
 
 
