@@ -372,15 +372,12 @@ def _(t):
     return retention.strand_cascade(gone, t("v_strand"), t("v_strand_node"), t("v_unit"), t("v_task"))
 
 
-_HREF = 'href="([^"]*)"'
-
-
 @query(
     "dangling_links",
     f"""
     SELECT page_id, target, count(*) AS n FROM (
       SELECT page_id, regexp_extract(raw, '^[^#?\\s]*') AS target FROM (
-        SELECT page_id, trim(unnest(regexp_extract_all(regexp_replace(regexp_replace(html, '```[\\s\\S]*?```', '', 'g'), '`[^`]*`', '', 'g'), '{_HREF}', 1))) AS raw
+        SELECT page_id, trim(unnest(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(html, 'href="([^"]*)"', '[link](\\1)', 'g'), '```[\\s\\S]*?```', '', 'g'), '`[^`]*`', '', 'g'), '\\[[^\\]]*\\]\\(([^)]+)\\)', 1))) AS raw
         FROM {{pages}}) WHERE raw <> '' AND NOT regexp_matches(raw, '(?i)^(https?:|mailto:|tel:|#)'))
     WHERE target <> '' AND target NOT IN (SELECT regexp_extract(url, '^https?://[^/]*(/[^?#]*)', 1) FROM {{pages}})
     GROUP BY page_id, target
@@ -388,8 +385,10 @@ _HREF = 'href="([^"]*)"'
 )
 def _(t):
     targets = t("pages").select(F.regexp_extract("url", r"^https?://[^/]*(/[^?#]*)", 1).alias("target")).distinct()
-    pages = t("pages").select("page_id", F.col("html").alias("text"))
-    return joins.dangling_links(pages, targets, _HREF).groupBy("page_id", "target").agg(F.count("*").alias("n"))
+    # the pages are HTML: their links are written the way the operator's default pattern reads them
+    linked = F.regexp_replace("html", 'href="([^"]*)"', "[link]($1)")
+    pages = t("pages").select("page_id", linked.alias("text"))
+    return joins.dangling_links(pages, targets).groupBy("page_id", "target").agg(F.count("*").alias("n"))
 
 
 @query(

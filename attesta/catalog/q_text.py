@@ -258,7 +258,7 @@ _GATE_SQL = f"""
            AND (len(g.scope_subjects) = 0 OR list_contains(g.scope_subjects, r.subject))
            AND (len(g.scope_grade_bands) = 0 OR list_contains(g.scope_grade_bands, r.grade_band)) GROUP BY r.request_id),
     txt AS (SELECT doc_id AS request_id, x AS text, hit FROM m6),
-    d AS (SELECT r.request_id, r.user_id, r.provider, g.grant_id, t.text, t.hit, r.provider_kind,
+    d AS (SELECT r.request_id, r.user_id, r.provider, r.school_id, g.grant_id, t.text, t.hit, r.provider_kind,
                  CASE WHEN r.provider_kind = 'cloud' AND (r.school_id IS NULL OR g.grant_id IS NULL) THEN 'NO_ACTIVE_GRANT' END AS route,
                  ({GUARD_CASE.replace('text,', 't.text,')}) IS NOT NULL AS residual
           FROM {{v_request}} r JOIN txt t USING (request_id) LEFT JOIN g USING (request_id))
@@ -287,11 +287,17 @@ def _(t):
     "gate_audit",
     f"""WITH {redaction_ctes('{documents}', 'doc_id')}, {_GATE_SQL}
         SELECT request_id, user_id AS actor_id, CASE WHEN route IS NOT NULL THEN 'llm_gate_cloud_blocked' WHEN provider_kind = 'local' THEN 'llm_gate_local_call' ELSE 'llm_gate_cloud_call' END AS event_type,
-               CASE WHEN route IS NOT NULL THEN 'critical' ELSE 'info' END AS severity FROM d
-        UNION ALL SELECT request_id, user_id, 'llm_gate_pii_guard_fail', 'critical' FROM d WHERE route IS NULL AND residual""",
+               CASE WHEN route IS NOT NULL THEN 'critical' ELSE 'info' END AS severity,
+               CASE WHEN route IS NOT NULL THEN '{{{{"reason":"NO_ACTIVE_GRANT","provider":"' || provider || '","schoolId":'
+                      || CASE WHEN school_id IS NULL THEN 'null,"note":"context or schoolId missing — fail-closed"' ELSE school_id::string END || '}}}}'
+                    ELSE '{{{{"redactionApplied":' || CASE WHEN hit = '' THEN 'false' ELSE 'true' END || ',"categoriesHit":['
+                      || CASE WHEN hit = '' THEN '' ELSE '"' || replace(rtrim(hit, ','), ',', '","') || '"' END || '],"provider":"' || provider || '"'
+                      || CASE WHEN provider_kind = 'local' THEN '' ELSE ',"grantId":' || grant_id::string END || '}}}}' END AS detail FROM d
+        UNION ALL SELECT request_id, user_id, 'llm_gate_pii_guard_fail', 'critical', '{{{{"reason":"RESIDUAL_PII","provider":"' || provider || '"}}}}'
+        FROM d WHERE route IS NULL AND residual""",
 )
 def _(t):
-    return gated(t)[1].select("request_id", "actor_id", "event_type", "severity")
+    return gated(t)[1].select("request_id", "actor_id", "event_type", "severity", "detail")
 
 
 @query(

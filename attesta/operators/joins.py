@@ -208,12 +208,13 @@ def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str
     return child.filter(F.col(child_key).isNotNull()).join(keys, F.col(child_key) == F.col("_key"), "left_anti")
 
 
-def curriculum_paths(nodes: DataFrame, max_depth: int = 32) -> DataFrame:
+def curriculum_paths(nodes: DataFrame) -> DataFrame:
     """Every node with its depth and path of codes from the root, within its strand.
 
-    One join per tree level. ``max_depth`` guards against cycles: a tree deeper
-    than that raises instead of being cut.
+    One join per tree level, however deep the tree is. More levels than nodes can only
+    come from a cycle, which raises.
     """
+    nodes_in_all = nodes.count()
     shared = nodes.select("strand_id", "node_id", "parent_id", "code")
     level = shared.filter(F.col("parent_id").isNull()).select(
         "strand_id", "node_id", F.lit(0).cast("bigint").alias("depth"), F.col("code").alias("path")
@@ -233,8 +234,8 @@ def curriculum_paths(nodes: DataFrame, max_depth: int = 32) -> DataFrame:
         if level.isEmpty():
             return out
         depth += 1
-        if depth > max_depth:
-            raise ValueError(f"curriculum tree deeper than {max_depth} levels or cyclic")
+        if depth >= nodes_in_all:
+            raise ValueError("curriculum tree is cyclic")
         out = out.unionByName(level)
 
 
@@ -244,7 +245,7 @@ def strand_mismatch(nodes: DataFrame) -> DataFrame:
     return nodes.filter(F.col("parent_id").isNotNull()).join(parents, ["strand_id", "parent_id"], "left_anti")
 
 
-def version_heads(versions: DataFrame, max_rounds: int = 40) -> DataFrame:
+def version_heads(versions: DataFrame) -> DataFrame:
     """Root, head (current version) and number of active versions of every chain.
 
     ``versions``: id, supersedes_id (the version this one replaces), status.
@@ -256,7 +257,7 @@ def version_heads(versions: DataFrame, max_rounds: int = 40) -> DataFrame:
         F.coalesce("supersedes_id", "id").alias("root"),
         F.col("supersedes_id").isNotNull().cast("bigint").alias("position"),
     )
-    for _ in range(max_rounds):
+    for _ in range(versions.count().bit_length() + 2):
         up = links.select(F.col("id").alias("root"), F.col("root").alias("_next"), F.col("position").alias("_more"))
         moved = links.join(up, "root", "left").select(
             "id",

@@ -102,6 +102,9 @@ def _arrow_matrix(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return _matrix(column.to_pylist())
 
 
+SCORE_DIGITS = 12
+
+
 class QueryBlock:
     """Queries as matrices, with the codes of their payload clauses."""
 
@@ -129,7 +132,8 @@ class QueryBlock:
                 denominator = np.outer(norms[mine], np.sqrt((p * p).sum(axis=1)))
                 with np.errstate(divide="ignore", invalid="ignore"):
                     out[np.ix_(rows[mine] - first, where)] = np.where(denominator == 0, 0.0, (m[mine] @ p.T) / denominator)
-        return out
+        # the last bits of a block product depend on the block: rounded, equal vectors tie and the id decides
+        return np.round(out, SCORE_DIGITS)
 
     def best(self, ids: np.ndarray, points: dict, subject: np.ndarray, context: np.ndarray, kept: list) -> list:
         """Merge a batch of points into the best hits kept so far for every query.

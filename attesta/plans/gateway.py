@@ -84,6 +84,10 @@ def prompt_assemble(requests: DataFrame, texts: PromptTexts = PromptTexts()) ->
     return requests.withColumn("prompt", prompt).withColumn("prompt_hash", F.sha2("prompt", 256))
 
 
+# fixed value of the audit trail
+NO_SCHOOL_NOTE = "context or schoolId missing — fail-closed"
+
+
 def redact_then_gate(
     requests: DataFrame, grants: DataFrame, as_of: str, cloud_enabled: bool, text: str = "prompt"
 ) -> tuple[DataFrame, DataFrame]:
@@ -95,7 +99,10 @@ def redact_then_gate(
     order. Then the masked text is checked for residual personal data, which adds
     an audit row of its own when it blocks. Audit rows carry no request text.
     """
-    masked = redact(grants_for(requests, grants, F.expr(f"timestamp_ntz '{as_of}'")), text)
+    # a cloud call without a named provider asks for grants of "cloud"
+    asked = requests.withColumn("_named", F.col("provider")).withColumn("provider", F.coalesce("provider", F.lit("cloud")))
+    granted = grants_for(asked, grants, F.expr(f"timestamp_ntz '{as_of}'")).withColumn("provider", F.col("_named")).drop("_named")
+    masked = redact(granted, text)
     local = F.col("provider_kind") == "local"
     route = (
         F.when(local, F.lit(None).cast("string"))
@@ -118,8 +125,15 @@ def redact_then_gate(
     )
 
     provider = F.coalesce("provider", "provider_kind").alias("provider")
-    called = F.to_json(F.struct(F.col("redaction_applied").alias("redactionApplied"), F.col("categories_hit").alias("categoriesHit"), provider))
-    refused = F.to_json(F.struct(F.col("_route").alias("reason"), provider))
+    grant = F.when(~local, F.col("grant_id")).alias("grantId")
+    called = F.to_json(F.struct(F.col("redaction_applied").alias("redactionApplied"), F.col("categories_hit").alias("categoriesHit"), provider, grant))
+    # a missing school is written as null, with the note why no grant could be looked up
+    plain = F.to_json(F.struct(F.col("_route").alias("reason"), provider, F.when(F.col("_route") == "NO_ACTIVE_GRANT", F.col("school_id")).alias("schoolId")))
+    without = F.to_json(
+        F.struct(F.col("_route").alias("reason"), provider, F.col("school_id").alias("schoolId"), F.lit(NO_SCHOOL_NOTE).alias("note")),
+        {"ignoreNullFields": "false"},
+    )
+    refused = F.when((F.col("_route") == "NO_ACTIVE_GRANT") & F.col("school_id").isNull(), without).otherwise(plain)
     residual = F.to_json(F.struct(F.lit("RESIDUAL_PII").alias("reason"), provider))
     first = F.struct(
         F.when(F.col("_route").isNotNull(), F.lit("llm_gate_cloud_blocked"))

@@ -78,9 +78,12 @@ def stream_ingest(
 
 
 def served_chunks(spark: SparkSession, base: str) -> DataFrame:
-    """Chunks of completed batches whose source was not revoked."""
+    """Chunks of the newest completed batch of each source, unless it was revoked.
+
+    A source that came again with another content serves only what its last batch wrote.
+    """
     chunks = spark.read.parquet(f"{base}/chunks")
-    ledger = spark.read.parquet(f"{base}/ledger").select("source_id", "batch")
+    ledger = spark.read.parquet(f"{base}/ledger").groupBy("source_id").agg(F.max("batch").alias("batch"))
     out = chunks.join(ledger, ["source_id", "batch"], "left_semi")
     if exists(spark, f"{base}/revoked"):
         out = out.join(spark.read.parquet(f"{base}/revoked").select("source_id"), "source_id", "left_anti")
