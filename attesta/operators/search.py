@@ -17,13 +17,11 @@ from attesta.operators.ranking import top_k_per_query
 from attesta.rules import CONFESSIONS, MMR_LAMBDA, SEARCH_LIMIT, SUBJECTS, TOP_K
 from attesta.session import staged
 
-# A query block up to this size is sent to every executor; beyond it queries and
-# points meet in a grid of bounded cells instead.
+# Queries go to the points in blocks of at most this size, one pass over the points per block.
 BROADCAST_BYTES = 64 << 20
+QUERY_BYTES = 1_000  # of a query besides its vector: id, clauses, Python objects
 BROADCAST_ROWS = 1_000_000  # id and score of a hit: about 30 bytes
 QUERY_STRIP = 256  # queries scored at a time inside a task
-CELL_QUERIES = 2_000
-CELL_POINTS = 50_000
 
 
 def _hit_schema(queries: DataFrame, points: DataFrame) -> T.StructType:
@@ -193,37 +191,16 @@ def _broadcast_search(queries: DataFrame, points: DataFrame, limit: int) -> Data
     return points.mapInArrow(scan, schema)
 
 
-def _grid_search(queries: DataFrame, points: DataFrame, limit: int, n_queries: int, cell_q: int, cell_p: int) -> DataFrame:
-    """Queries too many for one broadcast: every (query block, point split) pair is one bounded cell."""
-    blocks = max(1, -(-n_queries // cell_q))
-    splits = max(1, -(-points.count() // cell_p))
-    def part(id_: str, n: int):
-        return F.pmod(F.xxhash64(id_), F.lit(n)).cast("bigint")
-
-    def every(n: int):
-        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
-
-    spread_q = queries.withColumn("_b", part("query_id", blocks)).withColumn("_s", every(splits))
-    spread_p = points.withColumn("_s", part("point_id", splits)).withColumn("_b", every(blocks))
-
-    schema = _hit_schema(queries, points)
-    types = [to_arrow_type(f.dataType) for f in schema]
-
-    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "point_id": [], "score": []})
-        block = QueryBlock(left.reset_index(drop=True), limit)
-        subject, context = (right[c].where(right[c].notna(), None) for c in ("subject", "confession_context"))
-        kept = block.best(
-            right["point_id"].to_numpy(),
-            _matrix(list(right["vector"])),
-            _codes(subject, SUBJECTS),
-            _codes(context, CONFESSIONS),
-            [None] * len(block.ids),
-        )
-        return block.hits(kept, types).to_pandas()
-
-    return spread_q.groupBy("_b", "_s").cogroup(spread_p.groupBy("_b", "_s")).applyInPandas(cell, schema)
+def _block_search(queries: DataFrame, points: DataFrame, limit: int, blocks: int) -> DataFrame:
+    """Best hits of every task for all queries, block by block; only these short lists are written."""
+    if blocks == 1:
+        return _broadcast_search(queries, points, limit)
+    number = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    out = None
+    for i in range(blocks):
+        part = staged(top_k_per_query(_broadcast_search(queries.filter(number == i), points, limit), limit).drop("rank"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def search(
@@ -232,8 +209,6 @@ def search(
     limit: int = SEARCH_LIMIT,
     trust_not: str | None = "UNVERIFIED",
     broadcast_bytes: int = BROADCAST_BYTES,
-    cell_queries: int = CELL_QUERIES,
-    cell_points: int = CELL_POINTS,
     measured: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Exact filtered cosine search: the best ``limit`` points for every query.
@@ -241,9 +216,9 @@ def search(
     ``queries``: query_id, vector, subject (null = any), contexts (null or empty = any).
     ``points``: point_id, vector, trust_level, subject, confession_context.
 
-    Vectors are never shuffled: the query block goes to the data after its size
-    was measured, each scan task keeps ``limit`` hits per query, and only those
-    reach the final ranking. Ties go to the smaller id.
+    Vectors are not shuffled: the measured queries go to the data in blocks of at most
+    ``broadcast_bytes``, each scan task keeps ``limit`` hits per query, and only those
+    reach the final ranking. Scores count to 12 digits; ties go to the smaller id.
     """
     q = queries.select(
         "query_id",
@@ -255,11 +230,9 @@ def search(
         "point_id", "vector", "subject", "confession_context"
     )
     n, dims = measured or measure(q)
-    if n * max(dims, 1) * 8 <= broadcast_bytes:
-        partial = _broadcast_search(q, p, limit)
-    else:
-        partial = _grid_search(q, p, limit, n, cell_queries, cell_points)
-    return top_k_per_query(partial, limit)
+    # a vector is held as a list on its way into the matrix, so it counts several times
+    blocks = max(1, -(-n * (dims * 32 + QUERY_BYTES) // max(broadcast_bytes, 1)))
+    return top_k_per_query(_block_search(q, p, limit, min(blocks, max(n, 1))), limit)
 
 
 def measure(queries: DataFrame) -> tuple[int, int]:

@@ -48,7 +48,7 @@ def brute_force(rows, queries, limit):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 0, "cell_queries": 7, "cell_points": 60}])
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 20_000}])
 def test_exact_search(spark, random_points, options):
     rows, queries = random_points
     points = spark.createDataFrame(rows, POINT).repartition(5)
@@ -58,10 +58,7 @@ def test_exact_search(spark, random_points, options):
         got.setdefault(r.query_id, []).append((r.point_id, round(r.score, 9)))
     wanted = brute_force(rows, queries, 12)
     for q, hits in wanted.items():
-        assert [s for _, s in got.get(q, [])] == [s for _, s in hits]
-        # equal scores may differ in the last bit between engines; ids must agree per score
-        for score in {s for _, s in hits[:-1]} - {hits[-1][1]} if hits else set():
-            assert {i for i, s in got[q] if s == score} == {i for i, s in hits if s == score}
+        assert got.get(q, []) == hits  # ties at the limit included: the smaller id wins
 
 
 def test_string_ids(spark):

@@ -251,7 +251,17 @@ def test_corpus_listing_reads_files(spark, tmp_path):
 def test_cyclic_tree_raises(spark):
     versions = spark.createDataFrame([(1, 2, "ACTIVE"), (2, 1, "ACTIVE")], "id bigint, supersedes_id bigint, status string")
     with pytest.raises(ValueError):
-        joins.version_heads(versions, max_rounds=4)
+        joins.version_heads(versions)
+
+
+def test_deep_trees_are_followed_and_cycles_raise(spark):
+    kinds = "strand_id bigint, node_id bigint, parent_id bigint, code string"
+    deep = spark.createDataFrame([(0, i, i - 1 if i else None, str(i)) for i in range(40)], kinds).coalesce(1)
+    assert joins.curriculum_paths(deep).agg(F.max("depth")).first()[0] == 39
+    # node 1 is listed twice, once under its own child
+    circle = spark.createDataFrame([(0, 0, None, "a"), (0, 1, 0, "b"), (0, 2, 1, "c"), (0, 1, 2, "d")], kinds)
+    with pytest.raises(ValueError, match="cyclic"):
+        joins.curriculum_paths(circle)
 
 
 def test_retention_audit(spark):
