@@ -15,10 +15,21 @@ from attesta.operators.aggregates import ingest_report
 from attesta.operators.filters import gate, live
 from attesta.rules import MIN_CHUNK
 from attesta.session import staged
+from attesta.sources import chunks as chunk_table
 
 BROADCAST_IDS = 2_000_000
 
 
+@dataclass
+class Committed:
+    """State after a run that was committed."""
+
+    index: DataFrame
+    sources: DataFrame
+    outcomes: DataFrame
+    report: DataFrame
+
+
 @dataclass
 class Ingested:
     """Results of one run; all lazy."""
@@ -48,6 +59,7 @@ def judge(sources: DataFrame, held: DataFrame | None = None) -> DataFrame:
         content_hash("content").alias("document_hash"),
         F.length("extracted").alias("n_extracted"),
     )
+    facts = staged(facts)  # ids, hashes and lengths: the texts are read and hashed once
     # the first chunk is the longest one, so it decides whether any is long enough
     facts = facts.withColumn(
         "failure",
@@ -118,3 +130,46 @@ def ingest_batch(
         "source_id", "outcome", "reason", F.coalesce("chunks", F.lit(0).cast("bigint")).alias("chunks")
     )
     return Ingested(chunks, outcomes, ingest_report(outcomes))
+
+
+def ingest_and_commit(
+    sources: DataFrame,
+    index: DataFrame,
+    sources_now: DataFrame,
+    held: DataFrame | None = None,
+    known_keys: DataFrame | None = None,
+    make_embedder: Callable | None = None,
+) -> Committed:
+    """Known keys, gate, duplicates, chunks, embedding, upsert, commit.
+
+    ``known_keys`` (ingest_key) are left out before anything is read of their texts.
+    ``index`` holds the chunks served so far (columns of the new ones). ``sources_now`` is the
+    registry at the time of the commit: a source that is no longer APPROVED in it leaves
+    nothing behind. A committed source is marked INGESTED with its content hash, and all its
+    older chunks make way for the new ones. Chunks are embedded once and written before the
+    commit is decided.
+    """
+    fresh, skipped = sources, None
+    if known_keys is not None:
+        keys = known_keys.select("ingest_key").distinct()
+        skipped = sources.join(keys, "ingest_key", "left_semi").select(
+            "source_id", F.lit("skipped").alias("outcome"), F.lit("KNOWN_KEY").alias("reason"), F.lit(0).cast("bigint").alias("chunks")
+        )
+        fresh = sources.join(keys, "ingest_key", "left_anti")
+    run = ingest_batch(fresh, held, make_embedder)
+    written = staged(run.chunks)
+    hashes = fresh.select("source_id", content_hash("content").alias("content_hash"))
+    visible, updated, undone = chunk_table.commit(written, sources_now, hashes)
+    late = undone.join(written.select("point_id", "source_id"), "point_id").select("source_id").distinct()
+    kept = index.join(visible.select("source_id").distinct(), "source_id", "left_anti").join(late, "source_id", "left_anti")
+    marked = run.outcomes.join(late.withColumn("_late", F.lit(True)), "source_id", "left")
+    outcomes = marked.select(
+        "source_id",
+        F.when(F.col("_late"), F.lit("failed")).otherwise(F.col("outcome")).alias("outcome"),
+        F.when(F.col("_late"), F.lit("NOT_APPROVED_ANY_MORE")).otherwise(F.col("reason")).alias("reason"),
+        F.when(F.col("_late"), F.lit(0).cast("bigint")).otherwise(F.col("chunks")).alias("chunks"),
+    )
+    if skipped is not None:
+        outcomes = outcomes.unionByName(skipped)
+    outcomes = staged(outcomes)
+    return Committed(kept.unionByName(visible, allowMissingColumns=True), updated, outcomes, ingest_report(outcomes))

@@ -1,9 +1,4 @@
-"""The chunk table on plain Parquet: upsert, deletes and commits as new versions.
-
-Without a transactional table format a path must not be overwritten while it is
-read. So every change writes ``v=<n+1>`` beside the current version, and readers
-take the newest version whose write finished.
-"""
+"""The chunk table on plain Parquet: upsert, deletes and commits."""
 
 from __future__ import annotations
 
@@ -11,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attesta.operators.search import filter_condition
+from attesta.session import staged
 
 
 def upsert(base: DataFrame, delta: DataFrame, key: str = "point_id", batch: str = "batch") -> DataFrame:
@@ -45,17 +41,17 @@ def delete_ids(points: DataFrame, ids: DataFrame, key: str = "point_id") -> Data
     return points.join(ids.select(key), key, "left_anti")
 
 
-def commit(staged: DataFrame, sources: DataFrame, hashes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def commit(written: DataFrame, sources: DataFrame, hashes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(chunks that become visible, sources after the commit, point ids to remove again).
 
-    ``staged`` holds the chunks of one run. A source that is no longer APPROVED
+    ``written`` holds the chunks of one run. A source that is no longer APPROVED
     when the commit runs keeps its status, and its staged points are removed.
     """
-    staged_ids = staged.select("source_id").distinct()
+    written_ids = written.select("source_id").distinct()
     approved = sources.filter(F.col("lifecycle_status") == "APPROVED").select("source_id")
-    good = staged_ids.join(approved, "source_id", "left_semi")
-    visible = staged.join(good, "source_id", "left_semi")
-    undone = staged.select("point_id", "source_id").join(good, "source_id", "left_anti").select("point_id")
+    good = written_ids.join(approved, "source_id", "left_semi")
+    visible = written.join(good, "source_id", "left_semi")
+    undone = written.select("point_id", "source_id").join(good, "source_id", "left_anti").select("point_id")
     marks = good.join(hashes.select("source_id", F.col("content_hash").alias("_hash")), "source_id", "left").withColumn(
         "_done", F.lit(True)
     )
@@ -68,39 +64,33 @@ def commit(staged: DataFrame, sources: DataFrame, hashes: DataFrame) -> tuple[Da
     return visible, updated, undone
 
 
-# ---- versions on a shared folder -------------------------------------------------
-
-
-def _versions(spark: SparkSession, base: str) -> list[int]:
-    """Numbers of the finished versions (a write leaves its success marker last)."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(base)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    found = []
-    for status in fs.listStatus(path):
-        name = status.getPath().getName()
-        marker = jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if name.startswith("v=") and fs.exists(marker):
-            found.append(int(name[2:]))
-    return sorted(found)
-
-
-def write_version(df: DataFrame, base: str, partition_by: list[str] | None = None) -> int:
-    """Write the next version and return its number; the current one stays readable."""
-    done = _versions(df.sparkSession, base)
-    version = (done[-1] if done else 0) + 1
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(f"{base}/v={version}")
-    return version
-
-
-def read_version(spark: SparkSession, base: str, version: int | None = None) -> DataFrame | None:
-    """The newest finished version (or the given one), None when there is none."""
-    done = _versions(spark, base)
-    if not done:
-        return None
-    return spark.read.parquet(f"{base}/v={version if version is not None else done[-1]}")
+# ---- the table on a shared folder --------------------------------------------------
+
+PARTS = 64
+
+
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a chunk table."""
+    return spark.read.parquet(path).filter(F.col("source_id").isNotNull()).drop("part")
+
+
+def replace_sources(path: str, delta: DataFrame, gone: DataFrame, parts: int = PARTS, exists: bool = True) -> None:
+    """All chunks of the sources in ``delta`` and ``gone`` (source_id) are replaced by ``delta``.
+
+    The table is partitioned by a hash of the source; only partitions of those sources are
+    read and overwritten, the rest stays as it is. New contents are written out first, so a
+    partition is never read while it is replaced, and a repeated run gives the same table.
+    One writer at a time. Every written partition holds a row without a source, so one that
+    loses its last chunk is overwritten too.
+    """
+    place = F.pmod(F.xxhash64("source_id"), F.lit(parts)).cast("int")
+    new = delta.withColumn("part", place)
+    ids = new.select("source_id", "part").unionByName(gone.select("source_id").withColumn("part", place)).distinct()
+    touched = F.broadcast(ids.select("part").distinct())  # at most ``parts`` rows
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in delta.schema]
+    rows = new.unionByName(ids.select("part").distinct().select(*blank, "part"))
+    if exists:
+        old = delta.sparkSession.read.parquet(path).join(touched, "part", "left_semi").filter(F.col("source_id").isNotNull())
+        rows = rows.unionByName(old.join(ids.select("source_id"), "source_id", "left_anti"))
+    ready = staged(rows)
+    ready.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
