@@ -116,40 +116,54 @@ def _(t):
     return retention.hard_delete_due(t("v_source"), _holds(t), AS_OF).select("source_id")
 
 
-@query(
-    "pseudonym_expiry",
-    """
+_EXPIRED_SQL = """
     SELECT c_custkey AS student_id, CASE WHEN asked THEN 'REQUEST' ELSE 'EXPIRED' END AS reason FROM (
       SELECT c.c_custkey, c.c_custkey IN (SELECT o_custkey FROM {orders} WHERE o_orderpriority = '1-URGENT') AS asked, l.left_on
       FROM {customer} c LEFT JOIN (SELECT o_custkey, cast(max(o_orderdate) AS date) AS left_on FROM {orders} GROUP BY 1) l ON l.o_custkey = c.c_custkey)
-    WHERE asked OR left_on + INTERVAL 12 MONTH < DATE '2001-07-30'
-    """,
-)
-def _(t):
+    WHERE asked OR left_on + INTERVAL 12 MONTH < DATE 'AT'
+"""
+
+
+def _pseudonyms(t):
+    """(mappings with the last day of activity, requests to forget)."""
     last = t("orders").groupBy(F.col("o_custkey").alias("student_id")).agg(F.max("o_orderdate").cast("date").alias("left_on"))
     mappings = t("customer").select(F.col("c_custkey").alias("student_id")).join(last, "student_id", "left")
-    asked = t("orders").filter(F.col("o_orderpriority") == "1-URGENT").select(F.col("o_custkey").alias("student_id"))
-    return retention.pseudonym_expiry(mappings, asked, ORDERS_AS_OF).select("student_id", "reason")
+    return mappings, t("orders").filter(F.col("o_orderpriority") == "1-URGENT").select(F.col("o_custkey").alias("student_id"))
+
+
+@query("pseudonym_expiry", _EXPIRED_SQL.replace("AT'", ORDERS_AS_OF[:10] + "'"))
+def _(t):
+    return retention.pseudonym_expiry(*_pseudonyms(t), ORDERS_AS_OF).select("student_id", "reason")
 
 
 @query(
     "purge",
     f"""
-    WITH due AS ({_DUE_SQL})
+    WITH old AS (SELECT source_id, 'RETENTION' AS reason FROM {{v_source}}
+                 WHERE source_id NOT IN (SELECT doc_id FROM {{labels}} WHERE toxic = 1)
+                   AND cast(valid_from AS date) + CASE data_class WHEN 'INTERNAL' THEN INTERVAL 84 MONTH WHEN 'SENSITIVE_STUDENT' THEN INTERVAL 24 MONTH
+                     WHEN 'SENSITIVE_STUDENT_RELIGION' THEN INTERVAL 12 MONTH WHEN 'PERSONAL_TEACHER' THEN INTERVAL 12 MONTH
+                     WHEN 'INTERNAL_USER_UPLOAD' THEN INTERVAL 36 MONTH END < DATE '{AS_OF[:10]}'),
+    due AS (SELECT source_id, min(reason) AS reason FROM (SELECT * FROM old UNION ALL SELECT source_id, 'GRACE_OVER' FROM ({_DUE_SQL})) GROUP BY source_id),
+    gone AS ({_EXPIRED_SQL.replace("AT'", AS_OF[:10] + "'")})
     SELECT 'source' AS part, cast(source_id AS string) AS row_id FROM {{v_source}} WHERE source_id NOT IN (SELECT source_id FROM due)
     UNION ALL SELECT 'chunk', chunk_id FROM {{v_chunk}} WHERE source_id NOT IN (SELECT source_id FROM due)
     UNION ALL SELECT 'plan', chunk_id FROM {{v_chunk}} WHERE source_id IN (SELECT source_id FROM due)
     UNION ALL SELECT 'plan', cast(sheet_id AS string) || '|' || cast(source_id AS string) FROM {{v_link}} WHERE source_id IN (SELECT source_id FROM due)
-    UNION ALL SELECT 'audit', cast(source_id AS string) FROM due
+    UNION ALL SELECT 'mapping', cast(c_custkey AS string) FROM {{customer}} WHERE c_custkey NOT IN (SELECT student_id FROM gone)
+    UNION ALL SELECT 'audit', reason || ':' || cast(source_id AS string) FROM due
+    UNION ALL SELECT 'audit', reason || ':' || cast(student_id AS string) FROM gone
     """,
 )
 def _(t):
-    sources, chunks, plan, audit = jobs.purge(t("v_source"), t("v_chunk"), t("v_link"), _holds(t), AS_OF, "retention-job")
+    mappings, asked = _pseudonyms(t)
+    done = jobs.purge(t("v_source"), t("v_chunk"), t("v_link"), _holds(t), mappings, asked, AS_OF, "retention-job", since="valid_from")
     parts = [
-        sources.select(F.lit("source").alias("part"), F.col("source_id").cast("string").alias("row_id")),
-        chunks.select(F.lit("chunk").alias("part"), F.col("chunk_id").alias("row_id")),
-        plan.select(F.lit("plan").alias("part"), "row_id"),
-        audit.select(F.lit("audit").alias("part"), F.get_json_object("details", "$.detail").alias("row_id")),
+        done.sources.select(F.lit("source").alias("part"), F.col("source_id").cast("string").alias("row_id")),
+        done.chunks.select(F.lit("chunk").alias("part"), F.col("chunk_id").alias("row_id")),
+        done.mappings.select(F.lit("mapping").alias("part"), F.col("student_id").cast("string").alias("row_id")),
+        done.plan.select(F.lit("plan").alias("part"), "row_id"),
+        done.audit.select(F.lit("audit").alias("part"), F.get_json_object("details", "$.detail").alias("row_id")),
     ]
     out = parts[0]
     for part in parts[1:]:

@@ -152,25 +152,54 @@ def govern_report(
     return out.withColumn("n", F.coalesce("n", zero))
 
 
+@dataclass
+class Purged:
+    """What is left after a purge, what it did, and its audit rows (the audit log itself stays)."""
+
+    sources: DataFrame
+    chunks: DataFrame
+    mappings: DataFrame
+    plan: DataFrame
+    audit: DataFrame
+
+
 def purge(
-    sources: DataFrame, chunks: DataFrame, links: DataFrame, holds: DataFrame, as_of: str, actor: str
-) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(sources left, chunks left, cascade plan, audit rows) of a due purge. The audit log itself stays."""
-    due = retention.hard_delete_due(sources, holds, as_of)
+    sources: DataFrame, chunks: DataFrame, links: DataFrame, holds: DataFrame, mappings: DataFrame, requests: DataFrame,
+    as_of: str, actor: str, since: str = "retained_from",
+) -> Purged:
+    """Everything that is due at ``as_of``: kept longer than its data class allows (counted from ``since``),
+    or deleted or revoked longer than the grace period, unless on legal hold; and expired or
+    withdrawn pseudonym mappings. Chunks and links go with their source.
+
+    The due ids and their reasons are stored once; texts of sources are not read.
+    """
+    facts = sources.select("source_id", "data_class", "deleted_at", "revoked_at", F.col(since).alias("_since"))
+    held = holds.select("source_id")
+    old = retention.retention_due(facts, as_of, since="_since").join(held, "source_id", "left_anti")
+    dead = retention.hard_delete_due(facts, holds, as_of)
+    reasons = old.select("source_id", F.lit("RETENTION").alias("reason")).unionByName(dead.select("source_id", F.lit("GRACE_OVER").alias("reason")))
+    due = staged(reasons.groupBy("source_id").agg(F.min("reason").alias("reason")))
+    expired = staged(retention.pseudonym_expiry(mappings, requests, as_of).select("student_id", "reason"))
     gone = due.select("source_id")
-    plan = retention.source_cascade(gone, chunks, links)
-    audit = audit_events(
-        gone.select(
-            F.lit("purge_source_ref").alias("event_type"),
+
+    def events(rows: DataFrame, event: str, subject: str, id_: str) -> DataFrame:
+        return rows.select(
+            F.lit(event).alias("event_type"),
             F.lit(actor).alias("actor_id"),
-            F.lit("source_ref_purge").alias("subject"),
-            F.col("source_id").cast("string").alias("detail"),
+            F.lit(subject).alias("subject"),
+            F.concat_ws(":", "reason", F.col(id_).cast("string")).alias("detail"),
             F.lit("info").alias("severity"),
         )
+
+    audit = audit_events(
+        events(due, "purge_source_ref", "source_ref_purge", "source_id").unionByName(
+            events(expired, "purge_pseudonym", "pseudonym_purge", "student_id")
+        )
     )
-    return (
+    return Purged(
         sources.join(gone, "source_id", "left_anti"),
         chunks.join(gone, "source_id", "left_anti"),
-        plan,
+        mappings.join(expired.select("student_id"), "student_id", "left_anti"),
+        retention.source_cascade(gone, chunks, links),
         audit,
     )

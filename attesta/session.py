@@ -18,6 +18,9 @@ SETTINGS = {
 }
 
 
+_stages: list[str] = []
+
+
 def apply_settings(spark: SparkSession) -> SparkSession:
     """Set the runtime options the operators rely on."""
     for key, value in SETTINGS.items():
@@ -64,10 +67,24 @@ def staged(df: DataFrame) -> DataFrame:
     the plan it came from, which grow with every turn of a loop.
     """
     path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    _stages.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_stages(spark: SparkSession) -> int:
+    """Delete the tables that ``staged`` has written in this process; returns how many.
+
+    To be called when the results that were built on them have been written or read.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    count = 0
+    while _stages:
+        path = hadoop(_stages.pop())
+        count += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return count
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows over at least as many tasks as there are cores, for steps that cost much CPU per row.
 
