@@ -13,6 +13,7 @@ from attesta.catalog.q_reports import INGEST_SQL
 from attesta.catalog.q_sources import _FOLD_SQL, GROUNDED_SQL
 
 from attesta.catalog.views import AS_OF, ORDERS_AS_OF
+from attesta.functions import text
 from attesta.operators import retention
 from attesta.plans import jobs
 from attesta.plans.gateway import PromptTexts
@@ -379,10 +380,11 @@ def _(t):
     """,
 )
 def _(t):
-    vectors = t("v_query").filter(F.col("display_subject").isNotNull()).select("label", F.col("display_subject").alias("_d"), "vector")
-    requests = t("v_request").withColumn("constraints", F.array().cast("array<string>")).withColumn("label", (F.col("request_id") % 10).cast("int"))
-    # the query text of a request is embedded by the caller; here each label's mean stands for it
-    joined = requests.join(vectors.filter(F.col("_d") == "deutsch").drop("_d"), "label")
+    # the query text of a request is embedded by the caller; here the mean of a label and subject stands for it
+    own = F.coalesce("display_subject", F.lit("katholische-religion"))
+    vectors = t("v_query").select("label", own.alias("subject"), "vector")
+    requests = t("v_request").withColumn("constraints", text.parse_constraints("constraints_raw"))
+    joined = requests.withColumn("label", (F.col("request_id") % 10).cast("int")).join(vectors, ["label", "subject"])
     ready, blocked, audit = jobs.generate_inputs_batch(
         joined, t("v_strand"), t("v_point"), t("v_source"), t("v_grant"), AS_OF, cloud_enabled=True, texts=PromptTexts()
     )
