@@ -10,6 +10,7 @@ from attesta.catalog.q_sources import GROUNDED_SQL, grounded
 from attesta.catalog.views import AS_OF, ORDERS_AS_OF
 from attesta.operators import aggregates, evaluate, grounding, ranking
 from attesta.plans.ingest import ingest_batch
+from attesta.rules import REDACTION
 from attesta.sources import corpus
 
 
@@ -240,11 +241,14 @@ def _(t):
 
 @query(
     "redaction_stats",
-    f"WITH {redaction_ctes('{documents}', 'doc_id')} SELECT category, count(*) AS texts FROM "
-    "(SELECT unnest(string_split(rtrim(hit, ','), ',')) AS category FROM m6 WHERE hit <> '') GROUP BY category",
+    f"""WITH {redaction_ctes('{v_personal}', 'doc_id')},
+    masks AS (SELECT * FROM (VALUES {", ".join(f"('{c}', '{m}')" for c, m, _ in REDACTION)}) AS v(category, mask)),
+    found AS (SELECT x, unnest(string_split(rtrim(hit, ','), ',')) AS category FROM m6 WHERE hit <> '')
+    SELECT category, count(*) AS texts, sum((length(x) - length(replace(x, mask, ''))) // length(mask))::bigint AS masks
+    FROM found JOIN masks USING (category) GROUP BY category""",
 )
 def _(t):
-    return aggregates.redaction_stats(t("documents"))
+    return aggregates.redaction_stats(t("v_personal"))
 
 
 @query(

@@ -420,9 +420,9 @@ def _(t):
     )
 
 
-@query("residual_pii_guard", f"SELECT doc_id, {GUARD_CASE} AS pattern FROM {{documents}}")
+@query("residual_pii_guard", f"SELECT doc_id, {GUARD_CASE} AS pattern FROM {{v_personal}}")
 def _(t):
-    return t("documents").select("doc_id", residual_pattern("text").alias("pattern"))
+    return t("v_personal").select("doc_id", residual_pattern("text").alias("pattern"))
 
 
 @query(

@@ -80,10 +80,10 @@ def _(t):
 
 @query(
     "redact_pii",
-    f"WITH {redaction_ctes('{documents}', 'doc_id')} SELECT doc_id, SHA256(x) AS text_hash, rtrim(hit, ',') AS categories, hit <> '' AS applied FROM m6",
+    f"WITH {redaction_ctes('{v_personal}', 'doc_id')} SELECT doc_id, SHA256(x) AS text_hash, rtrim(hit, ',') AS categories, hit <> '' AS applied FROM m6",
 )
 def _(t):
-    out = privacy.redact(t("documents").select("doc_id", "text"))
+    out = privacy.redact(t("v_personal"))
     return out.select(
         "doc_id", F.sha2("redacted_text", 256).alias("text_hash"), F.array_join("categories_hit", ",").alias("categories"), F.col("redaction_applied").alias("applied")
     )
@@ -266,13 +266,13 @@ _GATE_SQL = f"""
 
 
 def gated(t):
-    requests = t("v_request").join(t("documents").select(F.col("doc_id").alias("request_id"), F.col("text").alias("prompt")), "request_id")
+    requests = t("v_request").join(t("v_personal").select(F.col("doc_id").alias("request_id"), F.col("text").alias("prompt")), "request_id")
     return redact_then_gate(requests, t("v_grant"), AS_OF, cloud_enabled=True)
 
 
 @query(
     "redact_then_gate",
-    f"""WITH {redaction_ctes('{documents}', 'doc_id')}, {_GATE_SQL}
+    f"""WITH {redaction_ctes('{v_personal}', 'doc_id')}, {_GATE_SQL}
         SELECT request_id, coalesce(route, CASE WHEN residual THEN 'RESIDUAL_PII' END) AS reason, route IS NULL AND NOT residual AS allowed, rtrim(hit, ',') AS categories,
                CASE WHEN route IS NULL AND NOT residual THEN SHA256(text) END AS text_hash FROM d""",
 )
@@ -285,7 +285,7 @@ def _(t):
 
 @query(
     "gate_audit",
-    f"""WITH {redaction_ctes('{documents}', 'doc_id')}, {_GATE_SQL}
+    f"""WITH {redaction_ctes('{v_personal}', 'doc_id')}, {_GATE_SQL}
         SELECT request_id, user_id AS actor_id, CASE WHEN route IS NOT NULL THEN 'llm_gate_cloud_blocked' WHEN provider_kind = 'local' THEN 'llm_gate_local_call' ELSE 'llm_gate_cloud_call' END AS event_type,
                CASE WHEN route IS NOT NULL THEN 'critical' ELSE 'info' END AS severity,
                CASE WHEN route IS NOT NULL THEN '{{{{"reason":"NO_ACTIVE_GRANT","provider":"' || provider || '","schoolId":'

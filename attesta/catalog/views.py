@@ -59,6 +59,22 @@ view(
 )
 
 
+# one phrase for each pattern of personal data, planted by document
+PERSONAL = [
+    "Kennung SN-12345.", "ID: 123456.", "Matrikelnummer: 12345678.", "Mail an anna@schule.example.de.", "Telefon 0391 555 66 77 88.",
+    "Tel +43 (1) 555 667788.", "am 01.02.2010.", "am 2010-02-01.", "am 01/02/2010.", "geboren am 1.2.2010.", "in 39104 Magdeburg.",
+    "Lindenstraße 5.", "wohnhaft in Halle an der Saale.", "hat LRS.", "ist katholisch.", "ein Asylantrag.", "Schülerin: Anna Muster.",
+    "Vorname: Max, dann [SCHÜLER_PSEUDONYM] Meier.",
+]
+view(  # whole texts; two in three carry a phrase at the end
+    "v_personal",
+    f"""
+    SELECT doc_id, text || CASE doc_id % {len(PERSONAL) * 3 // 2} {" ".join(f"WHEN {i} THEN ' {p}'" for i, p in enumerate(PERSONAL))} ELSE '' END AS text
+    FROM {{documents}}
+    """,
+)
+
+
 def _pieces(t: Tables):
     rows = chunk_text(t("v_source"), keep=["source_id", "source_version", "lifecycle_status"])
     return rows.withColumn("chunk_id", F.concat_ws(":", F.col("source_id").cast("string"), F.col("chunk_index").cast("string")))

@@ -88,11 +88,16 @@ def ingest_report(outcomes: DataFrame) -> DataFrame:
 
 
 def redaction_stats(df: DataFrame, text: str = "text") -> DataFrame:
-    """Texts hit per redaction category."""
-    names = [category for category, _, _ in REDACTION]
-    hits = df.select(redacted(text)["categories"].alias("_hit"))
-    counts = hits.agg(*[F.count_if(F.array_contains("_hit", F.lit(n))).alias(n) for n in names])
-    return counts.unpivot([], names, "category", "texts").filter(F.col("texts") > 0)
+    """Texts hit per redaction category, and its masks in them afterwards."""
+    found = df.select(redacted(text).alias("_r"))
+    rows = []
+    for category, mask, _ in REDACTION:
+        left = F.length("_r.text") - F.length(F.replace(F.col("_r.text"), F.lit(mask), F.lit("")))
+        hit = F.array_contains("_r.categories", F.lit(category))
+        rows.append(F.struct(F.lit(category).alias("category"), hit.alias("hit"), F.floor(left / len(mask)).alias("masks")))
+    # one row per text and category hit; combined before the shuffle
+    each = found.select(F.explode(F.array(*rows)).alias("_c")).filter("_c.hit")
+    return each.groupBy("_c.category").agg(F.count("*").alias("texts"), F.sum("_c.masks").alias("masks"))
 
 
 def available_subjects(strands: DataFrame) -> DataFrame:
