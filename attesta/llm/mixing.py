@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attesta.llm.decontam import word_list
 from attesta.session import staged
 
 DIMENSIONS = ("source", "lang", "topic")
@@ -115,29 +114,44 @@ def draw(seed: int, id_: Column, text: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
 
 
-def mix(docs: DataFrame, share: float, powers: dict[str, float], topic: Column, id_: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", seed: int = 1) -> DataFrame:
-    """One row per document: ``row`` (its columns), tokens, source, lang, topic, weight, probability, sampled.
-
-    Token shares of sources, languages and topics are raked to their shares raised to the
-    given powers; ``weight`` is the target share of the document's cell. Documents are then
-    sampled by probabilities calibrated to keep ``share`` of the tokens. Null is a value of
-    its own in every dimension. Documents of a cell without tokens are not sampled.
-    Repeated rows share their fate. An empty table gives no rows; columns of the input only
-    appear inside ``row``, so none can clash.
-    """
-    rows = docs.select(
-        F.struct("*").alias("row"),
+def _facts(docs: DataFrame, topic: Column, id_: str, text: str, source: str, lang: str, seed: int, *keep: Column) -> DataFrame:
+    words = F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), "")
+    return docs.select(
+        *keep,
         F.col(id_).alias("id"),
-        F.col(text).alias("body"),
+        draw(seed, F.col(id_), F.col(text)).alias("draw"),
         F.col(source).alias("source"),
         F.col(lang).alias("lang"),
         topic.alias("topic"),
-        F.size(word_list(F.col(text))).cast("bigint").alias("tokens"),
+        F.size(words).cast("bigint").alias("tokens"),
     ).withColumn("cell", _cell_id(list(DIMENSIONS)))
-    cells = staged(token_cells(rows.select("cell", *DIMENSIONS, "tokens")))
+
+
+def _fitted(facts: DataFrame, share: float, powers: dict[str, float]) -> DataFrame:
+    """(cell, weight, probability), to be joined to documents; broadcast where the counted cells are few."""
+    cells = staged(token_cells(facts.select("cell", *DIMENSIONS, "tokens")))
     targets = {d: tempered_targets(cells, d, powers[d]) for d in DIMENSIONS}
     fitted = staged(calibrate(rake(cells, targets), share).select("cell", "weight", "probability"))
-    small = fitted.count() <= BROADCAST_CELLS
-    joined = rows.join(F.broadcast(fitted) if small else fitted, "cell", "left").fillna(0.0, ["weight", "probability"])
-    sampled = draw(seed, F.col("id"), F.col("body")) < F.col("probability")
-    return joined.select("row", "tokens", *DIMENSIONS, "weight", "probability", sampled.alias("sampled"))
+    return F.broadcast(fitted) if fitted.count() <= BROADCAST_CELLS else fitted
+
+
+def mix(docs: DataFrame, share: float, powers: dict[str, float], topic: Column, id_: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", seed: int = 1) -> DataFrame:
+    """One row per document: id, tokens, source, lang, topic, weight, probability, sampled.
+
+    Token shares of sources, languages and topics are raked to their shares raised to the
+    given powers; ``weight`` is the target share of the document's cell. Documents are then
+    sampled by probabilities calibrated to keep ``share`` of the tokens. Null is a value of
+    its own in every dimension. Documents of a cell without tokens are not sampled.
+    Repeated rows share their fate. An empty table gives no rows; extra columns are not read.
+    """
+    facts = staged(_facts(docs, topic, id_, text, source, lang, seed))
+    joined = facts.join(_fitted(facts, share, powers), "cell", "left").fillna(0.0, ["weight", "probability"])
+    sampled = F.col("draw") < F.col("probability")
+    return joined.select(F.col("id").alias(id_), "tokens", *DIMENSIONS, "weight", "probability", sampled.alias("sampled"))
+
+
+def sample(docs: DataFrame, share: float, powers: dict[str, float], topic: Column, id_: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", seed: int = 1) -> DataFrame:
+    """The rows of ``docs`` that ``mix`` samples, all their columns kept."""
+    facts = staged(_facts(docs, topic, id_, text, source, lang, seed))
+    rows = _facts(docs, topic, id_, text, source, lang, seed, F.struct("*").alias("row")).select("row", "draw", "cell")
+    return rows.join(_fitted(facts, share, powers), "cell").filter("draw < probability").select("row.*")

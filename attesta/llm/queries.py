@@ -43,7 +43,7 @@ def crc_of_id(id_: str = "doc_id"):
 @query("op1_mixing")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(table(spark, folder, "documents"), MIX_SHARE, MIX_POWERS, mixing.register("text"))
-    return mixed.select("row.doc_id", "tokens", *mixing.DIMENSIONS, "weight", "probability", "sampled")
+    return mixed.select("doc_id", "tokens", *mixing.DIMENSIONS, "weight", "probability", "sampled")
 
 
 @query("op2_sharding")

@@ -51,7 +51,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample with raked shares of sources, languages and topics."""
-    return mixing.mix(docs, MIX_SHARE, MIX_POWERS, mixing.register("text")).filter("sampled").select("row.*")
+    return mixing.sample(docs, MIX_SHARE, MIX_POWERS, mixing.register("text"))
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
