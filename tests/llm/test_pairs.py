@@ -1,6 +1,7 @@
 """Deduplication, near duplicates, passages and decontamination against plain versions."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -101,6 +102,21 @@ def test_shared_passages(docs, nothing):
     assert substring.shared_passages(nothing).count() == 0
 
 
+@pytest.mark.parametrize("copies", [1, 30])
+def test_passages_whose_parts_lie_in_other_documents(spark, copies):
+    """Documents that hold only the first or the last words of a passage come first for all of its seeds."""
+    rng = random.Random(copies)
+    names = brute.vocabulary(rng, 5000)
+    passage = brute.prose(rng, 60, names).split(" ")
+    own = lambda words: brute.prose(rng, 40, names) + " " + " ".join(words) + " " + brute.prose(rng, 40, names)
+    texts = [own(part) for _ in range(copies) for part in (passage[:30], passage[-30:], passage[:45], passage[-45:])]
+    whole = range(len(texts), len(texts) + 2)
+    texts += [own(passage), own(passage)]
+    found = substring.shared_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)).collect()
+    assert {(*whole,), (*whole[::-1],)} <= {(r.doc_id, r.other_doc_id) for r in found}
+    assert all(r.end_word - r.start_word >= 60 for r in found if {r.doc_id, r.other_doc_id} == set(whole))
+
+
 def test_chains_follow_both_texts():
     np = substring.np
     x = np.array([0, 10, 20, 30, 40, 15, 200, 210])
