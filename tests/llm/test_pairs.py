@@ -117,6 +117,33 @@ def test_passages_whose_parts_lie_in_other_documents(spark, copies):
     assert all(r.end_word - r.start_word >= 60 for r in found if {r.doc_id, r.other_doc_id} == set(whole))
 
 
+def test_recall_of_edited_passages(spark):
+    """Copies of 60 to 90 words with changed, left out and added words, down to an identity of 0.8; and of less."""
+    rng = random.Random(11)
+    names = brute.vocabulary(rng, 5000)
+    new = lambda: "x" + str(rng.randrange(10**9))
+    rows, close, far = [], set(), set()
+    for case in range(120):
+        one = brute.prose(rng, rng.randint(60, 90), names).split(" ")
+        kind, two = case % 4, list(one)
+        if kind == 0:
+            two = [new() if i % 6 == 5 else w for i, w in enumerate(one)]
+        elif kind == 1:
+            two = [new() if i % 5 == 4 and i < len(one) - 1 else w for i, w in enumerate(one)]
+        elif kind == 2:
+            for i in sorted(rng.sample(range(1, len(one) - 1), len(one) // 7), reverse=True):
+                two[i : i + 1] = rng.choice([[], [new()], [one[i], new()]])
+        else:
+            two = [new() if i % 3 == 2 else w for i, w in enumerate(one)]
+        (far if kind == 3 else close).add(case)
+        for side, words in enumerate((one, two)):
+            text = f"{brute.prose(rng, 30, names)} {' '.join(words)} {brute.prose(rng, 30, names)}"
+            rows.append((2 * case + side, text))
+    found = substring.shared_passages(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert {(r.doc_id, r.other_doc_id) for r in found} == {p for c in close for p in ((2 * c, 2 * c + 1), (2 * c + 1, 2 * c))}
+    assert all(r.identity >= 0.8 for r in found)
+
+
 def test_chains_follow_both_texts():
     np = substring.np
     x = np.array([0, 10, 20, 30, 40, 15, 200, 210])
