@@ -112,6 +112,42 @@ def test_license_scan(spark, docs, nothing):
     assert license_scan.scan(nothing).count() == 0
 
 
+GPL = """{0} This program is free software: you can redistribute it and/or modify
+{0} it under the terms of the GNU{1} General Public License as published by
+{0} the Free Software Foundation, either version {2} of the License, or
+{0} (at your option) any later version.
+{0}
+"""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software
+"""
+BSD = """/*
+ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions
+ * are met:
+ */
+"""
+
+
+def test_wrapped_notices(spark):
+    cases = [
+        ("Some text\n\n" + MIT + "\nMore text", ["mit"]),
+        (BSD, ["bsd"]),
+        (GPL.format("#", "", "3"), ["gpl-3.0"]),
+        (GPL.format(" *", "", "2"), ["gpl-2.0"]),
+        (GPL.format("//", " Affero", "3"), ["agpl-3.0"]),
+        ("Prose without an end\nReleased under the MIT License.", ["mit"]),
+        ("and all rights\nreserved by", []),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id bigint, text string")
+    rows = {r.doc_id: r for r in license_scan.scan(docs).collect()}
+    assert {i: r.families for i, r in rows.items() if i < 6} == {i: f for i, (_, f) in enumerate(cases) if i < 6}
+    assert rows[6].paragraphs == 1
+
+
 def test_url_filter(spark):
     d = lambda n: date(2024, 1, n)
     entries = [
