@@ -148,6 +148,24 @@ def test_wrapped_notices(spark):
     assert rows[6].paragraphs == 1
 
 
+def test_families_are_told_apart(spark):
+    cases = [
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", ["lgpl-3.0"]),
+        ("This work is licensed under the GNU Lesser General Public License, version 2.1.", ["lgpl-2.1"]),
+        ("Released under the ISC License.", ["isc"]),
+        ("SPDX-License-Identifier: EPL-2.0", ["epl-2.0"]),
+        ("Released under the Unlicense.", ["unlicense"]),
+        ("it under the terms of the GNU General Public License as published by", []),
+        ("either version 3 of the License, or", []),
+        ("This work is licensed under the Quux General Reciprocal License, version 3.", []),
+    ]
+    cues = [(100 + i, f"Paper {i} asks for a license to {w} under the terms of the office.") for i in range(60) for w in ("fish", "build")]
+    docs = spark.createDataFrame([*[(i, t) for i, (t, _) in enumerate(cases)], *cues], "doc_id bigint, text string")
+    rows = license_scan.scan(docs).collect()
+    assert {r.doc_id: r.families for r in rows if r.doc_id < 100} == {i: f for i, (_, f) in enumerate(cases)}
+    assert sum(len(r.families) + r.unconfirmed for r in rows if r.doc_id >= 100) == 0
+
+
 def test_url_filter(spark):
     d = lambda n: date(2024, 1, n)
     entries = [
