@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.session import staged
@@ -154,17 +154,28 @@ def empty_index(spark) -> DataFrame:
     return spark.createDataFrame([], INDEX)
 
 
+def _place(segments: int) -> Column:
+    return F.pmod(F.conv(F.substring(F.hex("digest"), 1, 8), 16, 10).cast("bigint"), F.lit(segments)).cast("int")
+
+
+def divide_index(index: DataFrame, segments: int) -> DataFrame:
+    """The live digests of an index in another number of segments; the next change rebuilds the filters."""
+    live = index.filter(F.col("digest").isNotNull())
+    empty = [F.lit(None).cast("binary").alias("slots"), F.lit(None).cast("int").alias("resizes")]
+    return live.select(_place(segments).alias("segment"), "digest", "keep_id", "copies", *empty)
+
+
 def change_index(index: DataFrame, changes: DataFrame, segments: int) -> DataFrame:
     """The index after insertions and deletions (``CHANGES``); all inserts come before the deletes.
 
     Of a live digest the index keeps the smallest id ever inserted and the number of
     copies; a digest whose last copy is deleted is forgotten. Deleting an unknown digest
-    does nothing. ``segments`` has to stay the same for the life of an index; one for
+    does nothing. ``segments`` has to stay the same for the life of an index, or
+    ``divide_index`` comes first; one for
     each SEGMENT_KEYS expected digests bounds what a task holds.
     """
-    place = F.pmod(F.conv(F.substring(F.hex("digest"), 1, 8), 16, 10).cast("bigint"), F.lit(segments)).cast("int")
     rows = index.select("*", F.lit(None).cast("boolean").alias("insert")).unionByName(
-        changes.withColumn("segment", place), allowMissingColumns=True
+        changes.withColumn("segment", _place(segments)), allowMissingColumns=True
     )
     ordered = rows.groupBy("segment")
     return ordered.applyInPandas(lambda part: _change_segment(part.sort_values("insert", ascending=False)), INDEX)
@@ -202,9 +213,11 @@ def exact_duplicates(docs: DataFrame, id_: str = "doc_id", text: str = "text", i
     empty table gives no rows. Extra columns are not read.
     """
     rows = staged(digests(docs, id_, text))
-    segments = max(1, -(-rows.count() // SEGMENT_KEYS))
+    segments = max(1, -(-(rows.count() + (0 if index is None else index.count())) // SEGMENT_KEYS))
     changes = rows.mapInArrow(_combine, CHANGES)
-    known = staged(change_index(empty_index(docs.sparkSession) if index is None else index, changes, segments))
+    # segments without digests have no rows, so the number that an index was made with cannot be read from it
+    old = empty_index(docs.sparkSession) if index is None else divide_index(index, segments)
+    known = staged(change_index(old, changes, segments))
     classes = known.filter(F.col("digest").isNotNull()).select("digest", "keep_id", F.col("copies").alias("group_size"))
     # a hot digest lies on the left only; Spark splits it, the right side has one row per digest
     return rows.join(classes, "digest").select(

@@ -53,6 +53,18 @@ def test_index_insert_delete_resize(spark):
     assert all(filters[r.segment].find(bytes(r.digest)) >= 0 for r in rows if r.digest is not None)
 
 
+@pytest.mark.parametrize("made, keys", [(25, 200_000), (1, 40), (7, 40)])
+def test_index_of_other_segments(spark, monkeypatch, made, keys):
+    """Repeats of older documents are found whatever number of segments the index and the batch have."""
+    monkeypatch.setattr(exact_dedup, "SEGMENT_KEYS", keys)
+    key = lambda t: hashlib.sha256(t.encode()).digest()
+    changes = spark.createDataFrame([(key(f"text {i}"), i, 1, True) for i in range(300)], exact_dedup.CHANGES)
+    index = exact_dedup.change_index(exact_dedup.empty_index(spark), changes, made)
+    batch = spark.createDataFrame([(1000 + i, f"text {i}") for i in range(200, 400)], "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(batch, index=index).collect())
+    assert got == [(1000 + i, i, 2, False) if i < 300 else (1000 + i, 1000 + i, 1, True) for i in range(200, 400)]
+
+
 def _components(rows):
     sets = [brute.shingles(r[1]) for r in rows]
     parent = list(range(len(rows)))
