@@ -19,6 +19,7 @@ SETTINGS = {
 
 
 _stages: list[str] = []
+_made: list[str] = []  # the folder of this process where none is configured
 
 
 def apply_settings(spark: SparkSession) -> SparkSession:
@@ -44,7 +45,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach.
 
     A cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (local tests) a temporary folder is made and set.
+    (local tests) a temporary folder is made, one for the process.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
@@ -53,9 +54,16 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    made = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if not _made:
+        _made.append(tempfile.mkdtemp(prefix="spark-"))
+    return _made[0]
+
+
+def stage_folder(spark: SparkSession) -> str:
+    """A new path in the shared folder, which ``clear_stages`` deletes."""
+    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    _stages.append(path)
+    return path
 
 
 def staged(df: DataFrame) -> DataFrame:
@@ -66,8 +74,7 @@ def staged(df: DataFrame) -> DataFrame:
     choose joins by fact; unlike a checkpoint it does not carry the constraints of
     the plan it came from, which grow with every turn of a loop.
     """
-    path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
-    _stages.append(path)
+    path = stage_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
