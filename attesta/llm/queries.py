@@ -7,8 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import decontam, exact_dedup, license_scan, lm, mixing, ngram_join, quality, sharding, substring, url_filter
-from attesta.session import apply_settings
+from attesta.llm import (
+    decontam,
+    exact_dedup,
+    license_scan,
+    lm,
+    mixing,
+    ngram_join,
+    quality,
+    sharding,
+    substring,
+    url_filter,
+    vector_codes,
+    warc,
+    whitening,
+)
+from attesta.session import apply_settings, stage_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -227,3 +241,81 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     rows = docs.select("doc_id", "text", held.alias("held_out"))
     scored = quality.score_documents(rows, trees)
     return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= QUALITY_CUT, 1).otherwise(0).alias("predicted"))
+
+
+@query("op11_whitening")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, folder, "embeddings"))
+    return rows.withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
+def _codes_sql(parts: int, entries: int, rounds: int, width: int = 64) -> str:
+    """The product codes as SQL: a named table per round of codebooks, one row per vector, part and position."""
+    length = width // parts
+
+    def nearest(book: str) -> str:
+        return f"""
+        SELECT vec_id, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (
+          SELECT p.vec_id, p.part, b.entry, list_sum(list_transform(range(1, {length + 1}),
+                 lambda i: (p.piece[i] - b.piece[i]) * (p.piece[i] - b.piece[i])))::BIGINT AS d
+          FROM pieces p JOIN {book} b USING (part)) GROUP BY vec_id, part"""
+
+    # DuckDB's // truncates: the floor of a negative quotient needs the remainder
+    mean = "(sum(piece[pos]) - ((sum(piece[pos]) % count(*)) + count(*)) % count(*)) // count(*)"
+    steps = []
+    for i in range(rounds):
+        steps.append(f"""
+        near{i} AS MATERIALIZED ({nearest(f"book{i}")}),
+        book{i + 1} AS MATERIALIZED (
+          SELECT b.part, b.entry, coalesce(m.piece, b.piece) AS piece FROM book{i} b LEFT JOIN (
+            SELECT part, entry, list(v ORDER BY pos) AS piece FROM (
+              SELECT part, entry, pos, ({mean})::BIGINT AS v
+              FROM near{i} JOIN pieces USING (vec_id, part), (SELECT unnest(range(1, {length + 1})) AS pos)
+              GROUP BY part, entry, pos) GROUP BY part, entry) m ON m.part = b.part AND m.entry = b.entry)""")
+    body = ",".join(steps)
+    return f"""
+    WITH kept AS MATERIALIZED (
+      SELECT vec_id, label, list_transform(embedding, lambda c: floor(4096 * c::DOUBLE)::BIGINT) AS x FROM embeddings
+      WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+    pieces AS MATERIALIZED (
+      SELECT vec_id, part, x[part * {length} + 1 : part * {length} + {length}] AS piece
+      FROM kept, (SELECT unnest(range(0, {parts})) AS part)),
+    book0 AS MATERIALIZED (
+      SELECT part, entry, piece FROM pieces
+      JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT {entries}) USING (vec_id)),
+    {body},
+    last AS MATERIALIZED ({nearest(f"book{rounds}")}),
+    coded AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM last GROUP BY vec_id),
+    digest AS (SELECT sha256(string_agg(array_to_string(piece, ','), ',' ORDER BY part, entry)) AS h FROM book{rounds})
+    SELECT c.vec_id, c.code, c.error, sum(c.error) OVER (PARTITION BY k.label)::BIGINT AS label_error, h AS codebooks_sha256
+    FROM coded c JOIN kept k ON k.vec_id = c.vec_id, digest
+    """
+
+
+@query("op12_vector_codes", _codes_sql(vector_codes.PARTS, vector_codes.ENTRIES, vector_codes.ROUNDS))
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.compress(table(spark, folder, "embeddings"))
+
+
+@query(
+    "op13_warc",
+    """
+    SELECT page_id, bytes AS payload_bytes, sha1(body) AS payload_digest,
+           CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> keep THEN keep END AS refers_to
+    FROM (SELECT page_id, body, bytes, CASE WHEN bytes >= 1000 THEN max(page_id) OVER (PARTITION BY body) ELSE page_id END AS keep
+          FROM (SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS bytes FROM pages))
+    """,
+)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    path = stage_folder(spark)
+    warc.archive_pages(table(spark, folder, "pages"), f"{path}/archive")
+    warc.write_warc(warc.restore(spark, f"{path}/archive"), f"{path}/files")
+    rows = warc.resolved(warc.read_warc(spark, f"{path}/files"))
+    return rows.select(
+        F.col("source_id").cast("bigint").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast("bigint").alias("refers_to"),
+    )
