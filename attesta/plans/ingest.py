@@ -15,7 +15,7 @@ from attesta.operators.aggregates import ingest_report
 from attesta.operators.filters import gate, live
 from attesta.rules import MIN_CHUNK
 from attesta.session import staged
-from attesta.sources import chunks as chunk_table
+from attesta.sources.index import ChunkIndex
 
 BROADCAST_IDS = 2_000_000
 
@@ -24,7 +24,6 @@ BROADCAST_IDS = 2_000_000
 class Committed:
     """State after a run that was committed."""
 
-    index: DataFrame
     sources: DataFrame
     outcomes: DataFrame
     report: DataFrame
@@ -32,11 +31,12 @@ class Committed:
 
 @dataclass
 class Ingested:
-    """Results of one run; all lazy."""
+    """Results of one run; all lazy. ``hashes`` has the content_hash of every source_id that was ingested."""
 
     chunks: DataFrame
     outcomes: DataFrame
     report: DataFrame
+    hashes: DataFrame
 
 
 def extract_text(df: DataFrame, content: str = "content", mime: str = "mime") -> DataFrame:
@@ -45,12 +45,14 @@ def extract_text(df: DataFrame, content: str = "content", mime: str = "mime") ->
     return df.withColumn("extracted", let(text, lambda x: F.when(~is_blank(x), x)))
 
 
-def judge(sources: DataFrame, held: DataFrame | None = None) -> DataFrame:
-    """(source_id, outcome, reason) of every live source.
+def judge(sources: DataFrame, held: DataFrame | None = None, index: ChunkIndex | None = None) -> DataFrame:
+    """(source_id, content_hash, outcome, reason) of every live source.
 
-    ``held`` (content_hash, held_by) names contents already in the index. In one
-    run the smallest id that can be ingested holds a content; the others are
-    skipped. Only ids, hashes and lengths leave the scan of the texts.
+    ``held`` (content_hash, held_by) names contents already served; from an ``index`` only the
+    rows of this run's contents and sources are read. A source that serves this very content
+    is skipped. In one run the smallest id that can be ingested holds a content; the others
+    are skipped, and so are those whose content another source serves as the run begins.
+    Only ids, hashes and lengths leave the scan of the texts.
     """
     gated = gate(live(sources)).withColumn("mime", mime_of("uri"))
     facts = extract_text(gated).select(
@@ -71,16 +73,22 @@ def judge(sources: DataFrame, held: DataFrame | None = None) -> DataFrame:
     holders = facts.groupBy("document_hash").agg(F.min(F.when(usable, F.col("source_id"))).alias("held_by"))
     joined = facts.join(holders, "document_hash", "left")
     earlier = F.col("held_by") < F.col("source_id")
+    unchanged = F.lit(None).cast("string")
+    if index is not None:
+        held = index.holders(facts.select(F.col("document_hash").alias("content_hash")))
+        same = index.current(facts).select("source_id", F.col("content_hash").alias("_current"))
+        joined = joined.join(same, "source_id", "left")
+        unchanged = F.when(F.col("_current") == F.col("document_hash"), F.lit("UNCHANGED_CONTENT"))
     if held is not None:
         stored = held.select(F.col("content_hash").alias("document_hash"), F.col("held_by").alias("_stored"))
         joined = joined.join(stored, "document_hash", "left")
         earlier = F.when(F.col("_stored").isNotNull(), F.col("_stored") != F.col("source_id")).otherwise(earlier)
     duplicate = F.when(F.coalesce(earlier, F.lit(False)), F.lit("DUPLICATE_CONTENT"))
-    reason = F.coalesce("gate_reason", duplicate, "failure")
-    return joined.select("source_id", reason.alias("reason")).withColumn(
+    reason = F.coalesce("gate_reason", unchanged, duplicate, "failure")
+    return joined.select("source_id", F.col("document_hash").alias("content_hash"), reason.alias("reason")).withColumn(
         "outcome",
         F.when(F.col("reason").isNull(), F.lit("ingested"))
-        .when(F.col("reason") == "DUPLICATE_CONTENT", F.lit("skipped"))
+        .when(F.col("reason").isin("DUPLICATE_CONTENT", "UNCHANGED_CONTENT"), F.lit("skipped"))
         .otherwise(F.lit("failed")),
     )
 
@@ -106,6 +114,7 @@ def ingest_batch(
     held: DataFrame | None = None,
     make_embedder: Callable | None = None,
     partitions: int | None = None,
+    index: ChunkIndex | None = None,
 ) -> Ingested:
     """All sources in one run.
 
@@ -115,7 +124,7 @@ def ingest_batch(
     Point ids derive from source, version and position: a repeated run writes the
     same points again.
     """
-    judged = staged(judge(sources, held))
+    judged = staged(judge(sources, held, index))
     payload = ["source_id", "source_version", "trust_level", "subject", "confession_context", "license_info", "retrieved_at"]
     texts = extract_text(accepted_only(live(sources), judged).withColumn("mime", mime_of("uri")))
     rows = explode_chunks(texts, distinct_chunks(chunk_array("extracted")), payload)
@@ -129,25 +138,28 @@ def ingest_batch(
     outcomes = judged.join(per_source, "source_id", "left").select(
         "source_id", "outcome", "reason", F.coalesce("chunks", F.lit(0).cast("bigint")).alias("chunks")
     )
-    return Ingested(chunks, outcomes, ingest_report(outcomes))
+    hashes = judged.filter(F.col("outcome") == "ingested").select("source_id", "content_hash")
+    return Ingested(chunks, outcomes, ingest_report(outcomes), hashes)
 
 
 def ingest_and_commit(
     sources: DataFrame,
-    index: DataFrame,
-    sources_now: DataFrame,
-    held: DataFrame | None = None,
+    index: ChunkIndex,
+    registry: DataFrame,
+    number: int,
+    writer: str = "ingest",
     known_keys: DataFrame | None = None,
     make_embedder: Callable | None = None,
+    keep: Callable[[DataFrame], None] | None = None,
 ) -> Committed:
-    """Known keys, gate, duplicates, chunks, embedding, upsert, commit.
-
-    ``known_keys`` (ingest_key) are left out before anything is read of their texts.
-    ``index`` holds the chunks served so far (columns of the new ones). ``sources_now`` is the
-    registry at the time of the commit: a source that is no longer APPROVED in it leaves
-    nothing behind. A committed source is marked INGESTED with its content hash, and all its
-    older chunks make way for the new ones. Chunks are embedded once and written before the
-    commit is decided.
+    """Known keys, gate, duplicates, chunks, embedding, and one commit that publishes all of it.
+
+    ``known_keys`` (ingest_key) are left out before anything is read of their texts. Chunks are embedded
+    and written once, to a folder that nobody reads yet. Then ``registry`` is read: of a source
+    that is no longer APPROVED in it the chunks of this run are withdrawn, and what it
+    served before is left to the revocation. A committed source is marked INGESTED with its content hash,
+    and its older chunks make way for the new ones. ``keep`` gets the outcomes before the commit.
+    Runs of a writer are numbered; one that was committed before changes nothing.
     """
     fresh, skipped = sources, None
     if known_keys is not None:
@@ -156,13 +168,10 @@ def ingest_and_commit(
             "source_id", F.lit("skipped").alias("outcome"), F.lit("KNOWN_KEY").alias("reason"), F.lit(0).cast("bigint").alias("chunks")
         )
         fresh = sources.join(keys, "ingest_key", "left_anti")
-    run = ingest_batch(fresh, held, make_embedder)
-    written = staged(run.chunks)
-    hashes = fresh.select("source_id", content_hash("content").alias("content_hash"))
-    visible, updated, undone = chunk_table.commit(written, sources_now, hashes)
-    late = undone.join(written.select("point_id", "source_id"), "point_id").select("source_id").distinct()
-    kept = index.join(visible.select("source_id").distinct(), "source_id", "left_anti").join(late, "source_id", "left_anti")
-    marked = run.outcomes.join(late.withColumn("_late", F.lit(True)), "source_id", "left")
+    run = ingest_batch(fresh, make_embedder=make_embedder, index=index)
+    written = index.stage(run.chunks, writer, number)
+    prepared = index.prepare(writer, number, written, run.hashes, registry)
+    marked = run.outcomes.join(prepared.withdrawn.withColumn("_late", F.lit(True)), "source_id", "left")
     outcomes = marked.select(
         "source_id",
         F.when(F.col("_late"), F.lit("failed")).otherwise(F.col("outcome")).alias("outcome"),
@@ -172,4 +181,18 @@ def ingest_and_commit(
     if skipped is not None:
         outcomes = outcomes.unionByName(skipped)
     outcomes = staged(outcomes)
-    return Committed(kept.unionByName(visible, allowMissingColumns=True), updated, outcomes, ingest_report(outcomes))
+    if keep is not None:
+        keep(outcomes)
+    index.commit(writer, number, prepared)
+    marks = prepared.done.select("source_id", F.col("content_hash").alias("_hash"))
+    updated = registry.join(marks, "source_id", "left").select(
+        *(
+            F.when(F.col("_hash").isNotNull(), F.lit("INGESTED")).otherwise(F.col(c)).alias(c)
+            if c == "lifecycle_status"
+            else F.coalesce("_hash", c).alias(c)
+            if c == "content_hash"
+            else F.col(c)
+            for c in registry.columns
+        )
+    )
+    return Committed(updated, outcomes, ingest_report(outcomes))

@@ -1,12 +1,11 @@
-"""The chunk table on plain Parquet: upsert, deletes and commits."""
+"""Upserts, deletes and commits of chunk rows as plain table operations (``sources.index`` stores them)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.operators.search import filter_condition
-from attesta.session import staged
 
 
 def upsert(base: DataFrame, delta: DataFrame, key: str = "point_id", batch: str = "batch") -> DataFrame:
@@ -62,35 +61,3 @@ def commit(written: DataFrame, sources: DataFrame, hashes: DataFrame) -> tuple[D
         .drop("_done", "_hash")
     )
     return visible, updated, undone
-
-
-# ---- the table on a shared folder --------------------------------------------------
-
-PARTS = 64
-
-
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of a chunk table."""
-    return spark.read.parquet(path).filter(F.col("source_id").isNotNull()).drop("part")
-
-
-def replace_sources(path: str, delta: DataFrame, gone: DataFrame, parts: int = PARTS, exists: bool = True) -> None:
-    """All chunks of the sources in ``delta`` and ``gone`` (source_id) are replaced by ``delta``.
-
-    The table is partitioned by a hash of the source; only partitions of those sources are
-    read and overwritten, the rest stays as it is. New contents are written out first, so a
-    partition is never read while it is replaced, and a repeated run gives the same table.
-    One writer at a time. Every written partition holds a row without a source, so one that
-    loses its last chunk is overwritten too.
-    """
-    place = F.pmod(F.xxhash64("source_id"), F.lit(parts)).cast("int")
-    new = delta.withColumn("part", place)
-    ids = new.select("source_id", "part").unionByName(gone.select("source_id").withColumn("part", place)).distinct()
-    touched = F.broadcast(ids.select("part").distinct())  # at most ``parts`` rows
-    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in delta.schema]
-    rows = new.unionByName(ids.select("part").distinct().select(*blank, "part"))
-    if exists:
-        old = delta.sparkSession.read.parquet(path).join(touched, "part", "left_semi").filter(F.col("source_id").isNotNull())
-        rows = rows.unionByName(old.join(ids.select("source_id"), "source_id", "left_anti"))
-    ready = staged(rows)
-    ready.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)

@@ -1,8 +1,8 @@
 """Structured Streaming versions of ingestion, deduplication, life cycle and monitoring.
 
-Every job keeps its results in folders per micro-batch (``batch=<id>``), written
-with overwrite: a replayed batch replaces exactly its own rows. Within a job the
-ledger folder is written last, so readers see a batch once it is complete.
+Chunks go through the committed index, one commit per micro-batch. Other jobs keep their
+results in folders per micro-batch (``batch=<id>``), written with overwrite: a replayed batch
+replaces exactly its own rows.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from attesta.operators.aggregates import latency_report
-from attesta.plans.ingest import ingest_batch
+from attesta.plans.ingest import ingest_and_commit
 from attesta.session import staged
+from attesta.sources.index import ChunkIndex
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -49,45 +50,56 @@ def _put(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
+def newest(batch: DataFrame, order: str = "source_version") -> DataFrame:
+    """One row per source: of several in a batch the one of the highest ``order``, of equal ones the greatest content.
+
+    Only the texts of sources that occur more than once are compared and shuffled.
+    """
+    repeated = staged(batch.groupBy("source_id").count().filter("count > 1").select("source_id"))
+    if repeated.isEmpty():
+        return batch
+    several = batch.join(repeated, "source_id", "left_semi").withColumn("_hash", F.sha2("content", 256))
+    best = several.groupBy("source_id").agg(F.max(F.struct(F.col(order).alias("o"), F.col("_hash").alias("h"))).alias("_best"))
+    same = (F.col(order).eqNullSafe(F.col("_best.o"))) & (F.col("_hash").eqNullSafe(F.col("_best.h")))
+    once = several.join(best, "source_id").filter(same).dropDuplicates(["source_id"]).select(*batch.columns)
+    return batch.join(repeated, "source_id", "left_anti").unionByName(once)
+
+
 def stream_ingest(
-    sources: DataFrame, base: str, checkpoint: str, make_embedder: Callable | None = None, once: bool = True
+    sources: DataFrame, base: str, checkpoint: str, make_embedder: Callable | None = None, once: bool = True,
+    registry: Callable[[], DataFrame] | None = None, order: str = "source_version",
 ) -> StreamingQuery:
-    """Ingest newly arrived sources with the batch operators.
+    """Ingest newly arrived sources with the batch job, one commit per micro-batch.
 
-    Ledger rows (source, hash) carry what is already in: a source that arrives
-    again unchanged is left out, other sources with a held content are skipped.
+    What a source serves is its newest content: one that arrives unchanged is left out, one that
+    returns to an earlier content serves that again, and a content that its source has left
+    blocks nobody from the next batch on. ``registry`` reads source_id and lifecycle_status when
+    a batch is committed (default: the status the batch brought). A replayed batch changes nothing.
+    Outcomes lie in one folder per batch.
     """
 
     def take(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        ledger = written_before(spark, f"{base}/ledger", batch_id)
-        fresh, held = batch, None
-        if ledger is not None:
-            hashed = batch.withColumn("content_hash", F.sha2("content", 256))
-            touched = staged(only_touched(ledger.select("source_id", "content_hash"), hashed, "content_hash"))
-            fresh = hashed.join(touched, ["source_id", "content_hash"], "left_anti")
-            held = touched.groupBy("content_hash").agg(F.min("source_id").alias("held_by"))
-        run = ingest_batch(fresh, held, make_embedder)
-        _put(run.chunks, f"{base}/chunks", batch_id)
-        _put(run.outcomes, f"{base}/outcomes", batch_id)
-        hashes = fresh.select("source_id", F.sha2("content", 256).alias("content_hash"))
-        done = spark.read.parquet(f"{base}/outcomes/batch={batch_id}").filter(F.col("outcome") == "ingested")
-        _put(hashes.join(done.select("source_id"), "source_id", "left_semi"), f"{base}/ledger", batch_id)
+        index = chunk_index(batch.sparkSession, base)
+        if index.done("stream", batch_id):
+            return
+        rows = newest(batch, order)
+        now = registry() if registry is not None else rows.select("source_id", "lifecycle_status")
+        ingest_and_commit(
+            rows, index, now, batch_id, "stream", make_embedder=make_embedder,
+            keep=lambda outcomes: _put(outcomes, f"{base}/outcomes", batch_id),
+        )
 
     return start(sources.writeStream.foreachBatch(take), checkpoint, once)
 
 
-def served_chunks(spark: SparkSession, base: str) -> DataFrame:
-    """Chunks of the newest completed batch of each source, unless it was revoked.
+def chunk_index(spark: SparkSession, base: str) -> ChunkIndex:
+    """The index that the ingestion and revocation streams under ``base`` share."""
+    return ChunkIndex(spark, f"{base}/index")
 
-    A source that came again with another content serves only what its last batch wrote.
-    """
-    chunks = spark.read.parquet(f"{base}/chunks")
-    ledger = spark.read.parquet(f"{base}/ledger").groupBy("source_id").agg(F.max("batch").alias("batch"))
-    out = chunks.join(ledger, ["source_id", "batch"], "left_semi")
-    if exists(spark, f"{base}/revoked"):
-        out = out.join(spark.read.parquet(f"{base}/revoked").select("source_id"), "source_id", "left_anti")
-    return out
+
+def served_chunks(spark: SparkSession, base: str) -> DataFrame:
+    """The chunks that are served as of the newest commit."""
+    return chunk_index(spark, base).served().drop("run")
 
 
 def stream_dedup(
@@ -218,13 +230,13 @@ def stream_audit_windows(
 
 
 def stream_revocation(revocations: DataFrame, base: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Revoked sources leave the served chunks with the batch that brings them.
+    """Revoked sources leave the served chunks with the commit of the batch that brings them, and do not come back.
 
-    Only ids are written; ``served_chunks`` leaves them out from then on, and the
-    purge job deletes the chunks physically after the grace period.
+    Only ledger rows are written; the purge job deletes the chunks physically after the
+    grace period.
     """
 
     def take(batch: DataFrame, batch_id: int) -> None:
-        _put(batch.select("source_id").distinct(), f"{base}/revoked", batch_id)
+        chunk_index(batch.sparkSession, base).revoke("revocation", batch_id, batch)
 
     return start(revocations.writeStream.foreachBatch(take), checkpoint, once)

@@ -168,53 +168,6 @@ def test_upsert_and_deletes(spark):
     assert {r.point_id for r in C.delete_ids(base, spark.createDataFrame([(1,), (9,)], "point_id int")).collect()} == {2, 3}
 
 
-def test_replacing_sources_touches_their_partitions_only(spark, tmp_path):
-    path, kinds = str(tmp_path / "chunks"), "source_id bigint, chunk_text string"
-    none = spark.createDataFrame([], "source_id bigint")
-    C.replace_sources(path, spark.createDataFrame([(i, f"old {i}") for i in range(20)], kinds), none, parts=8, exists=False)
-    before = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
-    C.replace_sources(path, spark.createDataFrame([(3, "new a"), (3, "new b"), (99, "new")], kinds), spark.createDataFrame([(5,)], "source_id bigint"), parts=8)
-    rows = {(r.source_id, r.chunk_text) for r in C.read_chunks(spark, path).collect()}
-    assert rows == {(i, f"old {i}") for i in range(20) if i not in (3, 5)} | {(3, "new a"), (3, "new b"), (99, "new")}
-    assert sum(p.exists() for p in before) >= len(before) - 3
-    everything = C.read_chunks(spark, path).select("source_id").distinct()
-    C.replace_sources(path, spark.createDataFrame([], kinds), everything, parts=8)
-    assert C.read_chunks(spark, path).count() == 0
-
-
-def test_ingest_and_commit(spark):
-    from attesta.plans.ingest import ingest_and_commit
-
-    texts = ["eins " * 40, "zwei " * 40, "zwei " * 40, "drei " * 40, "vier " * 40]
-    rows, columns = source_rows([(i, "a.txt", t, "OPEN_CURATED", "APPROVED", True) for i, t in enumerate(texts)])
-    sources = spark.createDataFrame(rows, columns).withColumn("ingest_key", F.concat(F.lit("k"), "source_id"))
-    now = sources.select(
-        "source_id", F.lit(None).cast("string").alias("content_hash"), F.when(F.col("source_id") == 3, "REVOKED").otherwise("APPROVED").alias("lifecycle_status")
-    )
-    calls = spark.sparkContext.accumulator(0)
-
-    def make_client():
-        def client(batch):
-            calls.add(len(batch))
-            return [[1.0] for _ in batch]
-
-        return client
-
-    first = ingest_batch(sources.filter("source_id = 0").withColumn("content", F.lit("alt " * 60)), make_embedder=lambda: lambda b: [[0.0] for _ in b])
-    known = spark.createDataFrame([("k4",)], "ingest_key string")
-    done = ingest_and_commit(sources, first.chunks, now, known_keys=known, make_embedder=make_client)
-    assert {(r.source_id, r.outcome, r.reason) for r in done.outcomes.collect()} == {
-        (0, "ingested", None), (1, "ingested", None), (2, "skipped", "DUPLICATE_CONTENT"), (3, "failed", "NOT_APPROVED_ANY_MORE"), (4, "skipped", "KNOWN_KEY"),
-    }
-    served = done.index.collect()
-    assert {r.source_id for r in served} == {0, 1} and not any("alt" in r.chunk_text for r in served)
-    assert {r.source_id: (r.lifecycle_status, r.content_hash is not None) for r in done.sources.collect()} == {
-        0: ("INGESTED", True), 1: ("INGESTED", True), 2: ("APPROVED", False), 3: ("REVOKED", False), 4: ("APPROVED", False),
-    }
-    assert calls.value == 3 and sum(r.n for r in done.report.selectExpr("count(*) AS n").collect()) > 0
-
-
-
 def source_rows(contents):
     columns = "source_id bigint, uri string, content string, trust_level string, lifecycle_status string, license_verified boolean, subject string, confession_context string, license_info string, source_version int, retrieved_at string, deleted_at timestamp_ntz"
     rows = [(i, uri, content, trust, status, ok, None, None, "frei", 1, None, None) for i, uri, content, trust, status, ok in contents]
