@@ -87,44 +87,48 @@ class ChunkIndex:
         """
         folder, rows = written
         run = F.lit(f"{writer}/{number}").alias("run")
-        approved = registry.filter(F.col("lifecycle_status") == "APPROVED").select("source_id")
-        ids = staged(rows.select("source_id").distinct())
-        ready = ids.join(approved, "source_id", "left_semi")
-        revoked = self.tables.touched("revoked", ids)
+        state = self.tables.snapshot()
+        approved = registry.filter(F.col("lifecycle_status") == "APPROVED").select("source_id").distinct()
+        ids = rows.select("source_id").distinct().join(hashes.select("source_id", "content_hash"), "source_id", "left")
+        judged = ids.join(approved.withColumn("_ok", F.lit(True)), "source_id", "left")
+        judged = staged(judged.select("source_id", "content_hash", run, F.coalesce("_ok", F.lit(False)).alias("_ok")))
+        revoked = self.tables.touched("revoked", judged, state)
         if revoked is not None:
-            ready = ready.join(revoked.select("source_id"), "source_id", "left_anti")
-        good = staged(ready.join(hashes.select("source_id", "content_hash"), "source_id").select("source_id", "content_hash", run))
-        withdrawn = staged(ids.join(good, "source_id", "left_anti"))
-        changes = self._leave(staged(self.current(good)), withdrawn.select("source_id", run))
+            judged = judged.join(revoked.select("source_id", F.lit(True).alias("_never")), "source_id", "left")
+            judged = staged(judged.withColumn("_ok", F.col("_ok") & F.col("_never").isNull()).drop("_never"))
+        good = judged.filter("_ok").drop("_ok")
+        withdrawn = judged.filter("NOT _ok").select("source_id", "run")
+        changes = self._leave(staged(self.current(good, state)), withdrawn, state)
         changes["current"] = Replace(good)
         changes["contents"] = Replace(good.select("content_hash", "source_id"), changes["contents"].gone)
-        return Prepared(good, withdrawn, changes | {"chunks": Append(folder, rows.schema)})
+        return Prepared(good, withdrawn.select("source_id"), changes | {"chunks": Append(folder, rows.schema)})
 
     def commit(self, writer: str, number: int, prepared: Prepared) -> bool:
         """Publish a prepared run; False, and nothing happens, if this run of the writer has been published."""
         return self.tables.commit(writer, number, prepared.changes)
 
-    def _leave(self, before: DataFrame, more: DataFrame | None = None) -> dict[str, Replace]:
-        """Changes by which the ledger rows ``before`` end: their contents are free, their chunks dead."""
+    def _leave(self, before: DataFrame, more: DataFrame | None, state: Snapshot) -> dict[str, Replace]:
+        """Changes by which the ledger rows ``before`` end: their contents are free, their chunks dead, as are those of ``more``."""
         pairs = before.select("source_id", "run")
-        pairs = staged(pairs if more is None else pairs.unionByName(more.select("source_id", "run")))
-        known = self.tables.touched("dead", pairs)
+        pairs = pairs if more is None else pairs.unionByName(more)
+        known = self.tables.touched("dead", pairs, state)
         dead = pairs if known is None else pairs.unionByName(known.select("source_id", "run")).distinct()
-        held = self.tables.touched("contents", before)
+        held = self.tables.touched("contents", before, state)
         freed = before.select("content_hash", "source_id")
         if held is not None:
             freed = freed.join(held, ["content_hash", "source_id"], "left_semi")
         none = before.filter("false")
         return {
             "current": Replace(none, before.select("source_id")),
-            "contents": Replace(none.select("content_hash", "source_id"), staged(freed)),
-            "dead": Replace(staged(dead)),
+            "contents": Replace(none.select("content_hash", "source_id"), freed),
+            "dead": Replace(dead),
         }
 
     def revoke(self, writer: str, number: int, ids: DataFrame) -> bool:
         """The sources (source_id) are never served again. Their chunks stay stored until ``purge`` or ``compact``."""
         ids = staged(ids.select("source_id").distinct())
-        changes = self._leave(staged(self.current(ids)))
+        state = self.tables.snapshot()
+        changes = self._leave(staged(self.current(ids, state)), None, state)
         return self.tables.commit(writer, number, changes | {"revoked": Replace(ids)})
 
     def purge(self, writer: str, number: int, ids: DataFrame) -> bool:

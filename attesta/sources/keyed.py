@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,6 +79,12 @@ def small_side(df: DataFrame, bytes_: int) -> DataFrame:
     return F.broadcast(df) if bytes_ <= BROADCAST_BYTES else df
 
 
+def _reach(key: str, parts: int) -> list:
+    """Bytes of the keys, at most, and the parts they lie in (a null key lies in none)."""
+    some = F.col(key).isNotNull()
+    return [F.sum(F.octet_length(F.col(key).cast("string")) + F.lit(24)), F.collect_set(F.when(some, place(key, parts)))]
+
+
 class KeyedTables:
     """The tables under ``path``; ``keys`` names the key column of each, or None for an appended one."""
 
@@ -99,7 +106,13 @@ class KeyedTables:
         number = max((int(n) for n in self._names("commits") if n.isdigit()), default=0)
         if number == 0:
             return Snapshot(0, {}, {})
-        rows = [json.loads(r.value) for r in self.spark.read.text(f"{self.path}/commits/{number}").collect()]
+        fs, where = self._fs(f"commits/{number}")
+        stream = fs.open(where)
+        try:
+            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        rows = [json.loads(line) for line in text.split("\n")]
         tables = {r["table"]: TableState(r["key"], StructType.fromJson(r["schema"]), r["parts"], {}) for r in rows if "schema" in r}
         for r in rows:
             if "folder" in r:
@@ -156,15 +169,8 @@ class KeyedTables:
         if name not in state.tables:
             return None
         t = state.tables[name]
-        ids, size, parts = self._keys(t.key, t.parts, keys)
-        return self.rows_of(t, parts).join(small_side(ids, size), t.key, "left_semi")
-
-    def _keys(self, key: str, parts: int, keys: DataFrame) -> tuple[DataFrame, int, list[int]]:
-        """(distinct keys, their bytes, their parts)."""
-        ids = keys.select(key).filter(F.col(key).isNotNull()).distinct()
-        size = F.sum(F.octet_length(F.col(key).cast("string")) + F.lit(24))
-        n, touched = ids.agg(size, F.collect_set(place(key, parts))).first()
-        return ids, n or 0, touched
+        size, parts = keys.agg(*_reach(t.key, t.parts)).first()
+        return self.rows_of(t, parts).join(small_side(keys.select(t.key).distinct(), size or 0), t.key, "left_semi")
 
     # ---- writing -------------------------------------------------------------------
 
@@ -185,14 +191,17 @@ class KeyedTables:
             state = self.snapshot()
             if state.writers.get(writer, -1) >= change:
                 return False
-            tables = dict(state.tables)
-            for name, one in changes.items():
-                new = self._appended if isinstance(one, Append) else self._replaced
-                tables[name] = new(name, tables.get(name), one)
+            # the tables are small jobs that do not depend on each other
+            with ThreadPoolExecutor(max(len(changes), 1)) as pool:
+                jobs = {name: pool.submit(self._changed, name, state.tables.get(name), one) for name, one in changes.items()}
+            tables = state.tables | {name: job.result() for name, job in jobs.items()}
             if self._publish(Snapshot(state.number + 1, tables, state.writers | {writer: change})):
                 return True
         raise Conflict(f"{MOST_TRIES} other commits came first")
 
+    def _changed(self, name: str, t: TableState | None, one: Replace | Append) -> TableState:
+        return self._appended(name, t, one) if isinstance(one, Append) else self._replaced(name, t, one)
+
     def _appended(self, name: str, t: TableState | None, one: Append) -> TableState:
         t = t or TableState(None, one.schema, 0)
         at = {p: v for p, v in t.at.items() if p not in one.drop}
@@ -205,11 +214,14 @@ class KeyedTables:
         key = self.keys[name]
         t = t or TableState(key, one.delta.schema, 1)
         columns = t.schema.fieldNames()
-        n_new, lost = one.delta.agg(F.count("*"), F.count_if(F.col(key).isNull())).first()
+        named = one.delta.select(key, F.lit(True).alias("_new"))
+        if one.gone is not None:
+            named = named.unionByName(one.gone.select(key, F.lit(False).alias("_new")))
+        size, touched, n_new, lost = named.agg(
+            *_reach(key, t.parts), F.count_if("_new"), F.count_if(F.col("_new") & F.col(key).isNull())
+        ).first()
         if lost:
             raise ValueError(f"{lost} rows for {name} have no {key}")
-        named = one.delta.select(key) if one.gone is None else one.delta.select(key).unionByName(one.gone.select(key))
-        ids, size, touched = self._keys(key, t.parts, named)
         parts = t.parts
         while t.rows + n_new > parts * self.part_rows:
             parts *= 2
@@ -218,7 +230,7 @@ class KeyedTables:
         touched = [p for p in touched if p in t.at]
         if not touched and not n_new:
             return t
-        old = self.rows_of(t, touched).join(small_side(ids, size), key, "left_anti")
+        old = self.rows_of(t, touched).join(small_side(named.select(key).distinct(), size or 0), key, "left_anti")
         rows = one.delta.select(*columns).unionByName(old.select(*columns)).withColumn("part", place(key, parts))
         folder = f"{name}/{uuid.uuid4().hex}"
         # parts of many rows are split over tasks, small ones share a task
