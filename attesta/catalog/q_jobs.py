@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from attesta.catalog.core import Tables, query
@@ -16,9 +14,11 @@ from attesta.catalog.views import AS_OF, ORDERS_AS_OF
 from attesta.functions import text
 from attesta.operators import retention
 from attesta.plans import jobs
+from attesta.plans.ingest import ingest_and_commit
 from attesta.plans.gateway import PromptTexts
 from attesta.plans.retrieve import retrieve_batch
-from attesta.session import shared_dir
+from attesta.session import stage_folder
+from attesta.sources.index import ChunkIndex
 from attesta.streaming import jobs as streams
 
 # ---- retention ---------------------------------------------------------------------
@@ -182,7 +182,7 @@ def _stream(t: Tables, name: str):
 
 
 def _place(t: Tables, name: str) -> str:
-    return f"{shared_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{stage_folder(t.spark)}/{name}"
 
 
 def stream_tables(t: Tables, name: str) -> Tables:
@@ -271,6 +271,124 @@ def _ingested(t: Tables, name: str):
     return streams.served_chunks(t.spark, base).select("source_id", "chunk_index", "content_hash", "trust_level")
 
 
+def _run_sql(n: int, rows: str, held: str | None, late: str) -> str:
+    """Common tables of one committed run over ``rows``: verdict{n}, and cur{n} with what each source serves after it."""
+    texts = INGEST_SQL[: INGEST_SQL.index("holder AS")].replace("{v_source} s", f"run{n} s")
+    texts = texts.replace("pages_text", f"pages{n}").replace("judged0", f"facts{n}")
+    before = held or "none"
+    return f"""
+    run{n} AS ({rows}), {texts}
+    holder{n} AS (SELECT content_hash, min(source_id) AS held_by FROM facts{n} WHERE gate IS NULL AND failure IS NULL GROUP BY 1),
+    judged{n} AS (
+      SELECT f.source_id, f.trust_level, f.content_hash, f.extracted,
+             CASE WHEN gate IS NOT NULL THEN gate WHEN own.content_hash = f.content_hash THEN 'UNCHANGED_CONTENT'
+                  WHEN coalesce(other.source_id <> f.source_id, held_by < f.source_id) THEN 'DUPLICATE_CONTENT' ELSE failure END AS reason
+      FROM facts{n} f LEFT JOIN holder{n} h ON h.content_hash = f.content_hash LEFT JOIN {before} own ON own.source_id = f.source_id
+      LEFT JOIN {before} other ON other.content_hash = f.content_hash),
+    verdict{n} AS (SELECT * REPLACE (CASE WHEN reason IS NULL AND {late} THEN 'NOT_APPROVED_ANY_MORE' ELSE reason END AS reason) FROM judged{n}),
+    cur{n} AS (SELECT source_id, trust_level, content_hash, extracted FROM verdict{n} WHERE reason IS NULL
+               UNION ALL SELECT * FROM {before} WHERE source_id NOT IN (SELECT source_id FROM verdict{n} WHERE reason IS NULL)),
+    pieces{n} AS (
+      SELECT source_id, i, substring(extracted, i * 800 + 1, 1000) AS chunk_text
+      FROM (SELECT *, unnest(range(0, 1 + cast(ceil(greatest(length(extracted) - 1000, 0) / 800.0) AS int)))::int AS i FROM cur{n})),
+    kept{n} AS (SELECT source_id, i, chunk_text FROM pieces{n} WHERE length(chunk_text) >= 50
+                QUALIFY row_number() OVER (PARTITION BY source_id, SHA256(chunk_text) ORDER BY i) = 1),
+    size{n} AS (SELECT source_id, count(*) AS chunks FROM kept{n} GROUP BY source_id)"""
+
+
+_NONE_SQL = "none AS (SELECT source_id, trust_level, content_hash, content AS extracted FROM {v_source} WHERE false)"
+
+
+def _changed(content: str) -> str:
+    return f"SELECT * REPLACE ({content} AS content, SHA256({content}) AS content_hash) FROM {{v_source}}"
+
+
+def _outcome_sql(n: int, run: str) -> str:
+    return f"""SELECT '{run}' AS part, source_id, CASE WHEN reason IS NULL THEN 'ingested'
+                      WHEN reason IN ('DUPLICATE_CONTENT', 'UNCHANGED_CONTENT') THEN 'skipped' ELSE 'failed' END AS outcome, reason,
+                      CASE WHEN reason IS NULL THEN chunks ELSE 0 END AS chunks
+               FROM verdict{n} LEFT JOIN size{n} USING (source_id)"""
+
+
+_NEW_TEXT = "CASE WHEN source_id % 4 = 0 THEN content || ' neu' ELSE content END"
+
+
+@query(
+    "ingest_and_commit",
+    f"""
+    WITH {_NONE_SQL}, {_run_sql(0, "SELECT * FROM {v_source} WHERE source_id % 2 = 0", None, "source_id % 18 = 2")},
+    {_run_sql(1, _changed(_NEW_TEXT) + " WHERE source_id % 10 <> 9", "cur0", "source_id % 6 = 1")}
+    {_outcome_sql(0, "run 0")}
+    UNION ALL {_outcome_sql(1, "run 1")}
+    UNION ALL SELECT 'run 1', source_id, 'skipped', 'KNOWN_KEY', 0 FROM {{v_source}} WHERE source_id % 10 = 9
+    UNION ALL SELECT 'registry', source_id, 'INGESTED', content_hash, 0 FROM verdict1 WHERE reason IS NULL
+    UNION ALL SELECT 'served', source_id, NULL, content_hash, chunks FROM cur1 JOIN size1 USING (source_id)
+    """,
+)
+def _(t):
+    """Two runs over the same sources: changed, unchanged, repeated and known contents, and revocations before the commit."""
+    index = ChunkIndex(t.spark, _place(t, "index"))
+    sources = t("v_source").withColumn("ingest_key", F.concat(F.lit("key-"), F.col("source_id").cast("string")))
+    changed = sources.withColumn("content", F.expr(_NEW_TEXT))
+    known = sources.filter("source_id % 10 = 9").select("ingest_key")
+
+    def registry(late: str):
+        status = F.when(F.expr(late), F.lit("REVOKED")).otherwise(F.col("lifecycle_status")).alias("lifecycle_status")
+        return t("v_source").select("source_id", F.lit(None).cast("string").alias("content_hash"), status)
+
+    first = ingest_and_commit(sources.filter("source_id % 2 = 0"), index, registry("source_id % 18 = 2"), 0)
+    second = ingest_and_commit(changed, index, registry("source_id % 6 = 1"), 1, known_keys=known)
+    chunks = index.served().groupBy("source_id").agg(F.count("*").alias("chunks"))
+    marked = second.sources.filter(F.col("content_hash").isNotNull())
+    zero, none = F.lit(0).cast("bigint"), F.lit(None).cast("string")
+
+    def part(name: str, rows, outcome="outcome", reason="reason", chunks="chunks"):
+        outcome = F.col(outcome) if isinstance(outcome, str) else outcome
+        chunks = F.col(chunks) if isinstance(chunks, str) else chunks
+        return rows.select(F.lit(name).alias("part"), "source_id", outcome.alias("outcome"), F.col(reason).alias("reason"), chunks.alias("chunks"))
+
+    return (
+        part("run 0", first.outcomes)
+        .unionByName(part("run 1", second.outcomes))
+        .unionByName(part("registry", marked, "lifecycle_status", "content_hash", zero))
+        .unionByName(part("served", index.current(chunks).join(chunks, "source_id"), none, "content_hash"))
+    )
+
+
+_BACK_SQL = """SELECT * FROM {v_source} WHERE source_id % 8 = 0 UNION ALL
+               SELECT s.* REPLACE (left_text AS content, SHA256(left_text) AS content_hash)
+               FROM {v_source} s JOIN neighbour ON id = source_id WHERE source_id % 2 = 1"""
+
+
+@query(
+    "stream_ingest_returns",
+    f"""
+    WITH {_NONE_SQL}, {_run_sql(0, "SELECT * FROM {v_source} WHERE source_id % 2 = 0", None, "source_id % 10 = 6")},
+    {_run_sql(1, _changed("'neu ' || content") + " WHERE source_id % 4 = 0", "cur0", "source_id % 10 = 6")},
+    neighbour AS (SELECT source_id + 1 AS id, content AS left_text FROM {{v_source}}),
+    {_run_sql(2, _BACK_SQL, "cur1", "source_id % 10 = 6")}
+    SELECT source_id, i AS chunk_index, SHA256(chunk_text) AS content_hash FROM kept2
+    """,
+)
+def _(t):
+    """Sources that change and come back over three batches, and others that bring what these have left."""
+    base = _place(t, "returns")
+    sources = t("v_source")
+    text = sources.select((F.col("source_id") + 1).alias("source_id"), F.col("content").alias("_text"))
+    neighbours = sources.filter("source_id % 2 = 1").join(text, "source_id").withColumn("content", F.col("_text")).drop("_text")
+    batches = [
+        sources.filter("source_id % 2 = 0"),
+        sources.filter("source_id % 4 = 0").withColumn("content", F.concat(F.lit("neu "), "content")),
+        sources.filter("source_id % 8 = 0").unionByName(neighbours),
+    ]
+    status = F.when(F.col("source_id") % 10 == 6, F.lit("REVOKED")).otherwise(F.col("lifecycle_status")).alias("lifecycle_status")
+    for batch in batches:
+        batch.write.mode("append").parquet(f"{base}/in")
+        live = t.spark.readStream.schema(sources.schema).parquet(f"{base}/in")
+        streams.stream_ingest(live, base, f"{base}/check", registry=lambda: sources.select("source_id", status)).awaitTermination()
+    return streams.served_chunks(t.spark, base).select("source_id", "chunk_index", "content_hash")
+
+
 @query("stream_revocation", _KEPT_SQL + " WHERE source_id NOT IN (SELECT doc_id FROM {labels} WHERE toxic = 1)")
 def _(t):
     return _ingested(t, "revocation")
