@@ -192,11 +192,14 @@ def stream_tables(t: Tables, name: str) -> Tables:
 
 _WINDOW_SQL = """
     SELECT window_start, event_type, count(*) AS events, round(count(*) FILTER (severity = 'critical') / count(*), 6) AS error_rate,
-           round(quantile_cont(round(latency, 2), 0.95), 6) AS p95, quantile_cont(round(latency, 2), 0.95) > 150 AS latency_alert,
+           round(quantile_cont(latency, 0.95), 6) AS p95, quantile_cont(latency, 0.95) > 150 AS latency_alert,
            count(*) FILTER (severity = 'critical') / count(*) > 0.01 AS error_alert
     FROM (SELECT *, date_trunc('hour', ts) AS window_start FROM {v_audit}) GROUP BY window_start, event_type
 """
 
+# the stream's sketches give the nearest rank instead of an interpolated value
+_RANK_WINDOW_SQL = _WINDOW_SQL.replace("quantile_cont(latency, 0.95)", "list_sort(list(latency))[cast(ceil(0.95 * count(latency)) AS int)]")
+
 
 def _windows(df):
     return df.withColumn("error_rate", F.round("error_rate", 6)).withColumn("p95", F.round("p95", 6))
@@ -209,7 +212,7 @@ def _(t):
 
 @query(
     "stream_audit_windows",
-    f"SELECT * FROM ({_WINDOW_SQL}) WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM {{events}}) - INTERVAL 10 MINUTE",
+    f"SELECT * FROM ({_RANK_WINDOW_SQL}) WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM {{events}}) - INTERVAL 10 MINUTE",
 )
 def _(t):
     base = _place(t, "windows")
@@ -246,7 +249,7 @@ def _(t):
 def _(t):
     base = _place(t, "lifecycle")
     live = stream_tables(t, "events")("v_command")
-    streams.stream_lifecycle(live, t("v_source"), f"{base}/out", f"{base}/check").awaitTermination()
+    streams.stream_lifecycle(live, t("v_source"), base, f"{base}/check").awaitTermination()
     out = t.spark.read.parquet(f"{base}/out")
     return out.groupBy("source_id").agg(
         F.max_by("lifecycle_status", "seq").alias("lifecycle_status"), F.count_if(F.col("error").isNotNull()).alias("refused")

@@ -14,7 +14,14 @@ from pyspark.sql import functions as F
 
 
 def apply_commands(state: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """New state per source and one row per refused command.
+    """New state per source and one row per refused command; arguments as for ``judge_commands``."""
+    new_state, judged = judge_commands(state, commands)
+    errors = judged.filter(F.col("error").isNotNull()).select("source_id", "seq", "command", "error")
+    return new_state.select("source_id", "lifecycle_status", "license_verified"), errors
+
+
+def judge_commands(state: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(new state per source, every command with the status after it and its error, null if it was legal).
 
     ``state``: source_id, lifecycle_status, license_verified, trust_level.
     ``commands``: source_id, seq (unique order in the source), command in
@@ -77,6 +84,7 @@ def apply_commands(state: DataFrame, commands: DataFrame) -> tuple[DataFrame, Da
         F.coalesce(F.when(F.col("t_register").isNotNull(), F.col("_meta_first")), F.col("_verified")).alias(
             "license_verified"
         ),
+        "trust_level",
     )
 
     marks = times.select(
@@ -106,5 +114,12 @@ def apply_commands(state: DataFrame, commands: DataFrame) -> tuple[DataFrame, Da
         .when((F.col("command") == "approve") & (before == "REGISTERED"), F.lit("APPROVAL_REFUSED"))
         .otherwise(F.concat(F.lit("WRONG_STATUS:"), before))
     )
-    errors = judged.filter(~legal).select("source_id", "seq", "command", error.alias("error"))
-    return new_state, errors
+    after = (
+        F.when(~legal, before)
+        .when(F.col("command") == "register", F.lit("REGISTERED"))
+        .when(F.col("command") == "approve", F.lit("APPROVED"))
+        .when(F.col("command") == "ingest", F.lit("INGESTED"))
+        .otherwise(F.lit("REVOKED"))
+    )
+    rows = judged.select("source_id", "seq", "command", after.alias("lifecycle_status"), F.when(~legal, error).alias("error"))
+    return new_state, rows

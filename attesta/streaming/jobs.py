@@ -7,20 +7,18 @@ replaces exactly its own rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from attesta.operators.aggregates import latency_report
+from attesta.operators.aggregates import latency_report, latency_sketch_report
+from attesta.operators.lifecycle import judge_commands
 from attesta.plans.ingest import ingest_and_commit
 from attesta.session import staged
 from attesta.sources.index import ChunkIndex
-
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+from attesta.sources.keyed import KeyedTables, Replace
 
 
 def start(writer, checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -140,92 +138,68 @@ def stream_dedup_exact(
 
 # ---- life cycle --------------------------------------------------------------------
 
-LIFECYCLE_OUTPUT = "source_id bigint, seq bigint, command string, lifecycle_status string, error string"
+def stream_lifecycle(commands: DataFrame, state: DataFrame, base: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """The life cycle over a command stream: every command with the status after it, and an error if it was refused.
 
+    ``commands``: source_id, seq, command, license_verified; a source's commands come in the order of
+    seq, those of one batch in any order. ``state`` holds the stored sources (source_id, lifecycle_status,
+    license_verified, trust_level). A source's state is a row of a keyed table, from its first
+    command on. A batch reads the rows of its sources, is judged by the batch operator (a few first
+    positions per source, so many commands of one source cost no more), and commits the new rows;
+    a batch that comes again changes nothing. Judged commands lie in ``base``/out, one folder per batch.
+    """
 
-class LifecycleProcessor(StatefulProcessor):
-    """Keeps status, licence flag and trust of one source."""
+    def take(batch: DataFrame, batch_id: int) -> None:
+        states = lifecycle_states(batch.sparkSession, base)
+        if states.done("lifecycle", batch_id):
+            return
+        ids = staged(batch.select("source_id").distinct())
+        known = states.touched("state", ids)
+        new = ids if known is None else ids.join(known.select("source_id"), "source_id", "left_anti")
+        columns = ["source_id", "lifecycle_status", "license_verified", "trust_level"]
+        first = state.select(*columns).join(new, "source_id", "left_semi")
+        before = staged(first if known is None else known.select(*columns).unionByName(first))
+        after, judged = judge_commands(before, batch)
+        _put(judged, f"{base}/out", batch_id)
+        states.commit("lifecycle", batch_id, {"state": Replace(staged(after))})
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("source", "status string, verified boolean, trust string")
+    return start(commands.writeStream.foreachBatch(take), checkpoint, once)
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        row = initialState.iloc[0]
-        self.state.update((row["lifecycle_status"], bool(row["license_verified"]), row["trust_level"]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # commands of one trigger are small tuples; the trigger's size limit bounds them
-        commands = sorted(
-            ((int(r.seq), r.command, r.license_verified) for frame in rows for r in frame.itertuples(index=False)),
-            key=lambda c: c[0],
-        )
-        status, verified, trust = self.state.get() if self.state.exists() else (None, False, None)
-        out = []
-        for seq, command, flag in commands:
-            error = None
-            if status is None:
-                error = "UNKNOWN_SOURCE"
-            elif command == "revoke":
-                status = "REVOKED"
-            elif command == "register" and status in ("DISCOVERED", "UNDER_REVIEW"):
-                status, verified = "REGISTERED", verified if pd.isna(flag) else bool(flag)
-            elif command == "approve" and status == "REGISTERED" and verified and trust != "UNVERIFIED":
-                status = "APPROVED"
-            elif command == "ingest" and status == "APPROVED":
-                status = "INGESTED"
-            elif command not in ("register", "approve", "ingest"):
-                error = "UNKNOWN_COMMAND"
-            elif command == "approve" and status == "REGISTERED":
-                error = "APPROVAL_REFUSED"
-            else:
-                error = f"WRONG_STATUS:{status}"
-            out.append((key[0], seq, command, status, error))
-        if status is not None:
-            self.state.update((status, verified, trust))
-        yield pd.DataFrame(out, columns=["source_id", "seq", "command", "lifecycle_status", "error"])
-
-    def close(self) -> None:
-        pass
-
-
-def stream_lifecycle(commands: DataFrame, state: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """State machine per source over a command stream; refused commands carry an error.
-
-    ``commands``: source_id, seq, command, license_verified. ``state`` holds the
-    stored sources (source_id, lifecycle_status, license_verified, trust_level)
-    and enters the state store before the first command.
-    """
-    commands.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    stored = state.select("source_id", "lifecycle_status", "license_verified", "trust_level").groupBy("source_id")
-    judged = commands.groupBy("source_id").transformWithStateInPandas(
-        statefulProcessor=LifecycleProcessor(),
-        outputStructType=LIFECYCLE_OUTPUT,
-        outputMode="Update",
-        timeMode="None",
-        initialState=stored,
-    )
-    keep = judged.writeStream.outputMode("update").foreachBatch(lambda batch, batch_id: _put(batch, path, batch_id))
-    return start(keep, checkpoint, once)
+def lifecycle_states(spark: SparkSession, base: str) -> KeyedTables:
+    """The states that the life-cycle stream under ``base`` keeps."""
+    return KeyedTables(spark, f"{base}/states", {"state": "source_id"})
 
 
 # ---- monitoring --------------------------------------------------------------------
 
 
-def audit_windows(
-    audit: DataFrame, window: str = "1 hour", target: float = 300.0, error_limit: float = 0.01
-) -> DataFrame:
-    """Count, error rate, p95 and alert flags per window and event type (batch and stream alike)."""
-    is_error: Column = F.col("severity") == "critical"
-    placed = audit.withColumn("_w", F.window("ts", window))
-    report = latency_report(placed, ["_w", "event_type"], is_error=is_error, target=target, error_limit=error_limit)
-    return report.select(F.col("_w.start").alias("window_start"), "event_type", "events", "error_rate", "p95", "latency_alert", "error_alert")
+def _windowed(audit: DataFrame, window: str) -> DataFrame:
+    return audit.withColumn("_w", F.window("ts", window)).withColumn("_critical", F.col("severity") == "critical")
+
+
+_WINDOW_COLUMNS = ["event_type", "events", "error_rate", "p95", "latency_alert", "error_alert"]
+
+
+def audit_windows(audit: DataFrame, window: str = "1 hour", target: float = 300.0, error_limit: float = 0.01) -> DataFrame:
+    """Count, error rate, exact p95 and alert flags per window and event type."""
+    report = latency_report(
+        _windowed(audit, window), ["_w", "event_type"], is_error=F.col("_critical"), target=target, error_limit=error_limit
+    )
+    return report.select(F.col("_w.start").alias("window_start"), *_WINDOW_COLUMNS)
 
 
 def stream_audit_windows(
-    audit: DataFrame, path: str, checkpoint: str, window: str = "1 hour", delay: str = "10 minutes", once: bool = True, **limits
+    audit: DataFrame, path: str, checkpoint: str, window: str = "1 hour", delay: str = "10 minutes", once: bool = True,
+    target: float = 300.0, error_limit: float = 0.01,
 ) -> StreamingQuery:
-    """Closed windows appended to ``path``; rows later than the watermark are dropped."""
-    report = audit_windows(audit.withWatermark("ts", delay), window, **limits)
+    """Closed windows appended to ``path``; rows later than the watermark are dropped.
+
+    The state of a window is one quantile sketch of bounded size, see ``latency_sketch_report``.
+    """
+    placed = _windowed(audit.withWatermark("ts", delay), window)
+    report = latency_sketch_report(placed, ["_w", "event_type"], F.col("_critical"), target=target, error_limit=error_limit)
+    report = report.select(F.col("_w.start").alias("window_start"), *_WINDOW_COLUMNS)
     return start(report.writeStream.format("parquet").option("path", path).outputMode("append"), checkpoint, once)
 
 

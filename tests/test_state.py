@@ -1,5 +1,6 @@
 """Life cycle, positions, grounding, evaluation, storage, ingestion."""
 
+import math
 import random
 
 import pytest
@@ -129,7 +130,7 @@ def test_drift_is_one_sided(spark):
     assert [r.metric for r in fallen] == ["m0"]
 
 
-def test_latency_report_is_one_method(spark):
+def test_latency_report_is_exact(spark):
     rows = [("a", float(i)) for i in range(1, 101)] + [("a", float("nan"))] * 10 + [(None, float(i)) for i in range(50)]
     rows += [("none", None), ("nan", float("nan")), ("b", 1.004), ("b", 1.001)]
     frame = spark.createDataFrame(rows, "k string, latency double").withColumn("is_error", F.lit(False))
@@ -138,7 +139,33 @@ def test_latency_report_is_one_method(spark):
         got = {r.k: (r.events, r.p95) for r in aggregates.latency_report(table, ["k"]).collect()}
         assert got["a"][0] == 110 * times and got["a"][1] == pytest.approx(95.05)
         assert got[None][0] == 50 * times and got[None][1] == pytest.approx(46.55 if times == 1 else 47.0)
-        assert got["none"][1] is None and got["nan"][1] is None and got["b"][1] == pytest.approx(1.0)
+        assert got["none"][1] is None and got["nan"][1] is None and got["b"][1] == pytest.approx(1.00385 if times == 1 else 1.004)
+
+
+@pytest.mark.parametrize("accuracy", [100, 10_000])
+def test_percentiles_of_large_and_small_groups(spark, accuracy):
+    rng = random.Random(4)
+    rows = [("hot", rng.lognormvariate(0, 3)) for _ in range(6000)] + [("few", float(rng.randrange(4))) for _ in range(3000)]
+    rows += [(f"k{n}", rng.gauss(0, 1)) for n in range(1, 60) for _ in range(n)] + [("hot", math.inf), ("hot", -math.inf)]
+    frame = spark.createDataFrame(rows, "k string, latency double").withColumn("is_error", F.col("latency") > 9)
+    wanted = frame.groupBy("k").agg(F.percentile("latency", F.lit(0.95)).alias("p")).collect()
+    got = {r.k: r for r in aggregates.latency_report(frame, ["k"], accuracy=accuracy, target=2.0).collect()}
+    for r in wanted:
+        assert got[r.k].p95 == pytest.approx(r.p, rel=1e-12), r.k
+        assert got[r.k].latency_alert == (r.p > 2.0)
+
+
+def test_sketches_are_exact_where_small_and_bounded_where_large(spark):
+    rng = random.Random(6)
+    groups = {"small": [rng.gauss(0, 1) for _ in range(500)], "one": [7.5], "large": [rng.lognormvariate(0, 3) for _ in range(60_000)]}
+    rows = [(k, v) for k, vs in groups.items() for v in vs] + [("none", None), ("none", math.nan)]
+    frame = spark.createDataFrame(rows, "k string, latency double")
+    got = {r.k: r for r in aggregates.latency_sketch_report(frame, ["k"], F.lit(False)).collect()}
+    assert got["small"].p95 == sorted(groups["small"])[474] and got["one"].p95 == 7.5 and got["none"].p95 is None
+    rank = sum(v <= got["large"].p95 for v in groups["large"]) / len(groups["large"])
+    assert 0.945 < rank < 0.955
+    sketch = frame.groupBy("k").agg(F.octet_length(F.kll_sketch_agg_double("latency", aggregates.SKETCH_K)).alias("n")).collect()
+    assert max(r.n for r in sketch) < 40_000
 
 
 def test_grants(spark):
