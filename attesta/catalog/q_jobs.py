@@ -137,15 +137,19 @@ def _(t):
     return retention.pseudonym_expiry(*_pseudonyms(t), ORDERS_AS_OF).select("student_id", "reason")
 
 
-@query(
-    "purge",
-    f"""
-    WITH old AS (SELECT source_id, 'RETENTION' AS reason FROM {{v_source}}
+_PURGE_SQL = f"""
+    old AS (SELECT source_id, 'RETENTION' AS reason FROM {{v_source}}
                  WHERE source_id NOT IN (SELECT doc_id FROM {{labels}} WHERE toxic = 1)
                    AND cast(valid_from AS date) + CASE data_class WHEN 'INTERNAL' THEN INTERVAL 84 MONTH WHEN 'SENSITIVE_STUDENT' THEN INTERVAL 24 MONTH
                      WHEN 'SENSITIVE_STUDENT_RELIGION' THEN INTERVAL 12 MONTH WHEN 'PERSONAL_TEACHER' THEN INTERVAL 12 MONTH
                      WHEN 'INTERNAL_USER_UPLOAD' THEN INTERVAL 36 MONTH END < DATE '{AS_OF[:10]}'),
-    due AS (SELECT source_id, min(reason) AS reason FROM (SELECT * FROM old UNION ALL SELECT source_id, 'GRACE_OVER' FROM ({_DUE_SQL})) GROUP BY source_id),
+    due AS (SELECT source_id, min(reason) AS reason FROM (SELECT * FROM old UNION ALL SELECT source_id, 'GRACE_OVER' FROM ({_DUE_SQL})) GROUP BY source_id)"""
+
+
+@query(
+    "purge",
+    f"""
+    WITH {_PURGE_SQL},
     gone AS ({_EXPIRED_SQL.replace("AT'", AS_OF[:10] + "'")})
     SELECT 'source' AS part, cast(source_id AS string) AS row_id FROM {{v_source}} WHERE source_id NOT IN (SELECT source_id FROM due)
     UNION ALL SELECT 'chunk', chunk_id FROM {{v_chunk}} WHERE source_id NOT IN (SELECT source_id FROM due)
@@ -172,6 +176,28 @@ def _(t):
     return out
 
 
+@query(
+    "purge_index",
+    f"""
+    WITH {INGEST_SQL}, {_PURGE_SQL}
+    SELECT part, source_id, cast(i AS int) AS chunk_index FROM kept, (SELECT unnest(['served', 'stored']) AS part)
+    WHERE source_id NOT IN (SELECT source_id FROM due)
+    UNION ALL SELECT 'plan', source_id, cast(i AS int) FROM kept WHERE source_id IN (SELECT source_id FROM due)
+    """,
+)
+def _(t):
+    """Everything ingested, then what is due deleted from the files of the index."""
+    index = ChunkIndex(t.spark, _place(t, "index"))
+    ingest_and_commit(t("v_source"), index, t("v_source").select("source_id", "content_hash", "lifecycle_status"), 0)
+    mappings, asked = _pseudonyms(t)
+    chunks = index.served().withColumn("chunk_id", F.col("point_id"))
+    done = jobs.purge(t("v_source"), chunks, t("v_link"), _holds(t), mappings, asked, AS_OF, "retention-job", since="valid_from", index=index)
+    planned = done.plan.select("row_id").join(chunks.select(F.col("chunk_id").alias("row_id"), "source_id", "chunk_index"), "row_id")
+    parts = {"served": done.chunks, "stored": index.tables.read("chunks"), "plan": planned}
+    out = [rows.select(F.lit(name).alias("part"), "source_id", "chunk_index") for name, rows in parts.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 # ---- streaming ---------------------------------------------------------------------
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from attesta.functions.governance import (
@@ -208,35 +208,33 @@ def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str
     return child.filter(F.col(child_key).isNotNull()).join(keys, F.col(child_key) == F.col("_key"), "left_anti")
 
 
+DOUBLINGS_PER_STEP = 2
+
+
 def curriculum_paths(nodes: DataFrame) -> DataFrame:
     """Every node with its depth and path of codes from the root, within its strand.
 
-    One join per tree level, however deep the tree is. More levels than nodes can only
-    come from a cycle, which raises.
+    Pointer doubling: a node knows an ancestor and the codes from there down to itself, and
+    takes over what that ancestor knows, so the jump doubles. A chain of L nodes takes log2(L)
+    joins, two of them in each stored step. Nodes whose ancestors end at a missing one have no path;
+    a cycle raises.
     """
-    nodes_in_all = nodes.count()
-    shared = nodes.select("strand_id", "node_id", "parent_id", "code")
-    level = shared.filter(F.col("parent_id").isNull()).select(
-        "strand_id", "node_id", F.lit(0).cast("bigint").alias("depth"), F.col("code").alias("path")
-    )
-    out, depth = level, 0
-    children = shared.filter(F.col("parent_id").isNotNull()).select(
-        "strand_id", F.col("node_id").alias("_id"), F.col("parent_id").alias("node_id"), "code"
-    )
-    while True:
-        level = level.join(children, ["strand_id", "node_id"]).select(
-            "strand_id",
-            F.col("_id").alias("node_id"),
-            (F.col("depth") + 1).alias("depth"),
-            F.concat("path", F.lit("/"), "code").alias("path"),
-        )
-        level = staged(level)  # each level is stored once, so the lineage stays one join long
-        if level.isEmpty():
-            return out
-        depth += 1
-        if depth >= nodes_in_all:
-            raise ValueError("curriculum tree is cyclic")
-        out = out.unionByName(level)
+    shared = nodes.select("strand_id", "node_id", F.col("parent_id").alias("up"), F.col("code").alias("path"))
+    rows = shared.withColumn("depth", F.col("up").isNotNull().cast("bigint"))
+    for _ in range(-(-(nodes.count().bit_length() + 1) // DOUBLINGS_PER_STEP)):
+        for _ in range(DOUBLINGS_PER_STEP):
+            known = rows.select(
+                "strand_id", F.col("node_id").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"), F.col("depth").alias("_depth")
+            )
+            moved = rows.filter(F.col("up").isNotNull()).join(known, ["strand_id", "up"]).select(
+                "strand_id", "node_id", F.col("_up").alias("up"), F.concat("_path", F.lit("/"), "path").alias("path"), (F.col("depth") + F.col("_depth")).alias("depth")
+            )
+            rows = rows.filter(F.col("up").isNull()).unionByName(moved)
+        seen = Observation()
+        rows = staged(rows.observe(seen, F.count_if(F.col("up").isNotNull()).alias("open")))
+        if not seen.get["open"]:
+            return rows.select("strand_id", "node_id", "depth", "path")
+    raise ValueError("curriculum tree is cyclic")
 
 
 def strand_mismatch(nodes: DataFrame) -> DataFrame:

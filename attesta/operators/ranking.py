@@ -38,17 +38,39 @@ def _joined_on(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(other, condition, "left").drop(*[other[k] for k in keys])
 
 
+QUANTILES = 64
+
+
+def _run_of(df: DataFrame, order: str, bucket: int) -> Column:
+    """Number of the run that an order value falls in: it grows with the value, and runs hold about ``bucket`` rows."""
+    at = [i / QUANTILES for i in range(QUANTILES + 1)]
+    rows, bounds = df.agg(F.count(order), F.percentile_approx(F.col(order), at, 20 * QUANTILES)).first()
+    if rows <= bucket or bounds is None:
+        return F.lit(0).cast("bigint")
+    bounds = sorted(set(bounds))
+    each = max(1, -(-rows // (bucket * max(1, len(bounds) - 1))))
+    value = F.col(order)
+    place = reduce(lambda a, b: a + b, [(value >= b).cast("bigint") for b in bounds[1:]], F.lit(0).cast("bigint"))
+    table = F.array(*map(F.lit, bounds))
+    low = F.element_at(table, (place + 1).cast("int")).cast("double")
+    high = F.element_at(table, F.least(place + 2, F.lit(len(bounds))).cast("int")).cast("double")
+    share = F.when(high > low, (value.cast("double") - low) / (high - low)).otherwise(0.0)
+    inner = F.greatest(F.least(F.floor(share * each), F.lit(each - 1)), F.lit(0))
+    return place * F.lit(each) + inner.cast("bigint")
+
+
 def positions(
     df: DataFrame, keys: list[str], order: str, index: str = "idx", total: str = "n", bucket: int = BUCKET
 ) -> DataFrame:
     """Zero-based position of every row in its group and the size of the group.
 
-    ``order`` is an integer that is unique in the group. A group is cut into runs
-    of ``bucket`` consecutive order values, the runs are counted (map-side
-    combined), and only the counts are summed up over the whole group. No task
-    ever sorts more than one run, however large a group is.
+    ``order`` is an integer that is unique in the group and may be sparse. All order values together
+    are cut into runs of about ``bucket`` rows: at their quantiles, and evenly between two of these.
+    The runs of each group are counted (map-side combined), and only the counts are summed up over the
+    whole group. So no task sorts a whole group that is large. Where the values between two
+    quantiles are very uneven, a run holds at most 1/64 of all rows.
     """
-    run = F.floor(F.col(order) / F.lit(bucket)).cast("bigint")
+    run = _run_of(df, order, bucket)
     rows = df.withColumn("_run", run)
     counts = rows.groupBy(*keys, "_run").agg(F.count("*").alias("_size"))
     ordered = Window.partitionBy(*keys).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)

@@ -59,12 +59,29 @@ def revoke_sources(sources: DataFrame, revocations: DataFrame, as_of: str) -> tu
     return table, audit, asked.join(sources.select("source_id"), "source_id", "left_anti")
 
 
-def retention_due(df: DataFrame, as_of: str, data_class: str = "data_class", since: str = "retained_from") -> DataFrame:
-    """Rows older than the retention of their data class; classes without a limit never are."""
+def _months_kept(data_class: str) -> Column:
     months = F.lit(None).cast("int")
     for name, limit in RETENTION_MONTHS.items():
         months = F.when(F.col(data_class) == name, F.lit(limit)).otherwise(months)
-    due_from = F.add_months(F.col(since).cast("date"), months)
+    return months
+
+
+def _grace_over(as_of: str, grace_days: int) -> Column:
+    limit = _ts(as_of) - F.make_dt_interval(days=F.lit(grace_days))
+    return (F.col("deleted_at") < limit) | (F.col("revoked_at") < limit)
+
+
+def deletion_reason(
+    as_of: str, data_class: str = "data_class", since: str = "retained_from", grace_days: int = GRACE_DAYS
+) -> Column:
+    """Why a row is to be deleted at ``as_of``: GRACE_OVER, RETENTION, or null."""
+    old = F.add_months(F.col(since).cast("date"), _months_kept(data_class)) < _ts(as_of).cast("date")
+    return F.when(_grace_over(as_of, grace_days), F.lit("GRACE_OVER")).when(old, F.lit("RETENTION"))
+
+
+def retention_due(df: DataFrame, as_of: str, data_class: str = "data_class", since: str = "retained_from") -> DataFrame:
+    """Rows older than the retention of their data class; classes without a limit never are."""
+    due_from = F.add_months(F.col(since).cast("date"), _months_kept(data_class))
     return df.withColumn("due_from", due_from).filter(F.col("due_from") < _ts(as_of).cast("date"))
 
 
@@ -72,9 +89,7 @@ def hard_delete_due(
     df: DataFrame, holds: DataFrame, as_of: str, id_: str = "source_id", grace_days: int = GRACE_DAYS
 ) -> DataFrame:
     """Rows soft-deleted or revoked longer than the grace period, unless on legal hold."""
-    limit = _ts(as_of) - F.make_dt_interval(days=F.lit(grace_days))
-    due = df.filter((F.col("deleted_at") < limit) | (F.col("revoked_at") < limit))
-    return due.join(holds.select(id_), id_, "left_anti")
+    return df.filter(_grace_over(as_of, grace_days)).join(holds.select(id_), id_, "left_anti")
 
 
 def pseudonym_expiry(

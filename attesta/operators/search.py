@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -21,6 +23,7 @@ from attesta.session import staged
 BROADCAST_BYTES = 64 << 20
 QUERY_BYTES = 1_000  # of a query besides its vector: id, clauses, Python objects
 BROADCAST_ROWS = 1_000_000  # id and score of a hit: about 30 bytes
+PASS_BLOCKS = 8  # blocks that one pass over the points serves
 QUERY_STRIP = 256  # queries scored at a time inside a task
 
 
@@ -169,38 +172,41 @@ class QueryBlock:
         )
 
 
-def _broadcast_search(queries: DataFrame, points: DataFrame, limit: int) -> DataFrame:
-    schema = _hit_schema(queries, points)
+def _shared_pass(blocks: list[DataFrame], points: DataFrame, limit: int, schema) -> DataFrame:
+    """The best hits of every scan task for all queries of some blocks, in one pass over the points."""
     types = [to_arrow_type(f.dataType) for f in schema]
-    block = points.sparkSession.sparkContext.broadcast(QueryBlock(queries.toPandas(), limit))
+    context = points.sparkSession.sparkContext
+    # one block at a time is on the driver
+    sent = [context.broadcast(QueryBlock(block.toPandas(), limit)) for block in blocks]
 
     def scan(batches):
-        mine = block.value
-        kept = [None] * len(mine.ids)
+        mine = [b.value for b in sent]
+        kept = [[None] * len(m.ids) for m in mine]
         for batch in batches:
             if batch.num_rows:
-                kept = mine.best(
-                    batch.column("point_id").to_numpy(zero_copy_only=False),
-                    _arrow_matrix(batch.column("vector")),
-                    _codes(batch.column("subject"), SUBJECTS),
-                    _codes(batch.column("confession_context"), CONFESSIONS),
-                    kept,
-                )
-        yield mine.hits(kept, types)
+                ids = batch.column("point_id").to_numpy(zero_copy_only=False)
+                vectors = _arrow_matrix(batch.column("vector"))
+                subject, context = _codes(batch.column("subject"), SUBJECTS), _codes(batch.column("confession_context"), CONFESSIONS)
+                kept = [m.best(ids, vectors, subject, context, k) for m, k in zip(mine, kept, strict=True)]
+        for m, k in zip(mine, kept, strict=True):
+            yield m.hits(k, types)
 
     return points.mapInArrow(scan, schema)
 
 
 def _block_search(queries: DataFrame, points: DataFrame, limit: int, blocks: int) -> DataFrame:
-    """Best hits of every task for all queries, block by block; only these short lists are written."""
+    """Best hits of every task for all queries. Up to ``PASS_BLOCKS`` blocks share a pass over the points;
+    where more passes are needed, only the short lists of each are written."""
+    schema = _hit_schema(queries, points)
     if blocks == 1:
-        return _broadcast_search(queries, points, limit)
+        return _shared_pass([queries], points, limit, schema)
     number = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    out = None
-    for i in range(blocks):
-        part = staged(top_k_per_query(_broadcast_search(queries.filter(number == i), points, limit), limit).drop("rank"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    parts = [queries.filter(number == i) for i in range(blocks)]
+    passes = [parts[i : i + PASS_BLOCKS] for i in range(0, blocks, PASS_BLOCKS)]
+    if len(passes) == 1:
+        return _shared_pass(parts, points, limit, schema)
+    found = [staged(top_k_per_query(_shared_pass(p, points, limit, schema), limit).drop("rank")) for p in passes]
+    return reduce(DataFrame.unionByName, found)
 
 
 def search(
@@ -243,20 +249,47 @@ def measure(queries: DataFrame) -> tuple[int, int]:
 def attach(hits: DataFrame, points: DataFrame, at_most: int | None = None) -> DataFrame:
     """Payload and vector of the hits, read back by id.
 
-    ``at_most`` is a proven bound on the number of hits; below ``BROADCAST_ROWS``
-    the hits go to the points, so the points are scanned and not shuffled.
+    ``at_most`` is a proven bound on the number of hits; below ``BROADCAST_ROWS`` the hits go
+    to the points, so the points are scanned and not shuffled. Beyond, a bit map of the
+    ids of the hits goes there first, so only points that were hit, and about one in ``BITS_PER_ID``
+    of the others, leave the scan for the join.
+    """
+    if at_most is not None and at_most <= BROADCAST_ROWS:
+        return points.join(F.broadcast(hits), "point_id")
+    hits = staged(hits)
+    return points_hit(points, hits, hits.count()).join(hits, "point_id")
+
+
+BITS_PER_ID = 32
+MAP_BYTES = 256 << 20
+_BUCKET_BITS = 32_768  # of one row of Spark's bitmap aggregate
+
+
+def points_hit(points: DataFrame, hits: DataFrame, n: int, key: str = "point_id") -> DataFrame:
+    """The points whose id is, or may be, among those of ``n`` hits: no point of a hit is lost.
+
+    One bit for each hash of an id, in rows of 4 KB. These are broadcast: at most
+    ``MAP_BYTES`` whatever ``n`` is, with more false hits where that bounds the bits of an id.
     """
-    small = at_most is not None and at_most <= BROADCAST_ROWS
-    return points.join(F.broadcast(hits) if small else hits, "point_id")
+    bits = min(max(n, 1) * BITS_PER_ID, MAP_BYTES * 8)
+    buckets = -(-bits // _BUCKET_BITS)
+    spot = F.pmod(F.xxhash64(key), F.lit(buckets * _BUCKET_BITS))
+    rows = hits.select(F.floor(spot / _BUCKET_BITS).alias("_bucket"), F.pmod(spot, F.lit(_BUCKET_BITS)).alias("_bit"))
+    maps = rows.groupBy("_bucket").agg(F.bitmap_construct_agg(F.col("_bit")).alias("_map"))
+    placed = points.withColumn("_bucket", F.floor(spot / _BUCKET_BITS)).withColumn("_bit", F.pmod(spot, F.lit(_BUCKET_BITS)))
+    # bit b of a row is bit b % 8 of its byte b / 8
+    byte = F.conv(F.hex(F.substring(F.col("_map"), (F.floor(F.col("_bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    is_set = F.getbit(byte.cast("bigint"), F.pmod(F.col("_bit"), F.lit(8)).cast("int")) == 1
+    return placed.join(F.broadcast(maps), "_bucket").filter(is_set).select(*points.columns)
 
 
 def search_payload(
-    queries: DataFrame, points: DataFrame, columns: list[str], limit: int = SEARCH_LIMIT, measured=None, **options
+    queries: DataFrame, points: DataFrame, columns: list[str], limit: int = SEARCH_LIMIT, measured=None, vectors: bool = True, **options
 ) -> DataFrame:
-    """``search`` with vector and payload columns of every hit (at most queries x limit rows)."""
+    """``search`` with payload columns of every hit (at most queries x limit rows), and its vector unless ``vectors`` is false."""
     size = measured or measure(queries)
     hits = search(queries, points, limit, measured=size, **options)
-    return attach(hits, points.select("point_id", "vector", *columns), at_most=size[0] * limit)
+    return attach(hits, points.select("point_id", *(["vector"] if vectors else []), *columns), at_most=size[0] * limit)
 
 
 # ---- diversity rerank ----------------------------------------------------------

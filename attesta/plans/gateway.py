@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from attesta.functions.privacy import redact, residual_pattern
 from attesta.functions.text import trim_ws
 from attesta.operators.joins import grants_for
+from attesta.session import staged
 
 
 @dataclass(frozen=True)
@@ -89,7 +90,7 @@ NO_SCHOOL_NOTE = "context or schoolId missing — fail-closed"
 
 
 def redact_then_gate(
-    requests: DataFrame, grants: DataFrame, as_of: str, cloud_enabled: bool, text: str = "prompt"
+    requests: DataFrame, grants: DataFrame, as_of: str, cloud_enabled: bool, text: str = "prompt", carry: tuple[str, ...] = ()
 ) -> tuple[DataFrame, DataFrame]:
     """(decisions, audit rows) for every request.
 
@@ -97,7 +98,9 @@ def redact_then_gate(
     school_id, user_id, subject, grade_band. A local call always passes the route
     check; a cloud call needs the switch, a school and an active grant, in that
     order. Then the masked text is checked for residual personal data, which adds
-    an audit row of its own when it blocks. Audit rows carry no request text.
+    an audit row of its own when it blocks. Audit rows carry no request text. Every text is
+    masked and checked once: the verdicts are stored, and both results start from them.
+    Decisions keep the columns in ``carry``.
     """
     # a cloud call without a named provider asks for grants of "cloud"
     asked = requests.withColumn("_named", F.col("provider")).withColumn("provider", F.coalesce("provider", F.lit("cloud")))
@@ -113,15 +116,16 @@ def redact_then_gate(
         "_residual", F.col("_route").isNull() & residual_pattern("redacted_text").isNotNull()
     )
     reason = F.coalesce("_route", F.when(F.col("_residual"), F.lit("RESIDUAL_PII")))
-    judged = judged.withColumn("reason", reason).withColumn("allowed", F.col("reason").isNull())
+    judged = staged(
+        judged.withColumn("reason", reason).withColumn("allowed", F.col("reason").isNull()).select(
+            "request_id", *carry, "user_id", "school_id", "provider", "provider_kind", "grant_id", "_route", "_residual",
+            "reason", "allowed", "redaction_applied", "categories_hit",
+            F.when(F.col("allowed"), F.col("redacted_text")).alias("redacted_text"),
+        )
+    )
+    local = F.col("provider_kind") == "local"
     decisions = judged.select(
-        "request_id",
-        "allowed",
-        "reason",
-        "grant_id",
-        "redaction_applied",
-        "categories_hit",
-        F.when(F.col("allowed"), F.col("redacted_text")).alias("redacted_text"),
+        "request_id", *carry, "allowed", "reason", "grant_id", "redaction_applied", "categories_hit", "redacted_text"
     )
 
     provider = F.coalesce("provider", "provider_kind").alias("provider")

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attesta.functions.governance import confession_ok
 from attesta.functions.text import json_repair
 from attesta.operators import aggregates, evaluate, filters, grounding, joins, retention
 from attesta.operators.ranking import phase_quartiles
@@ -14,6 +15,7 @@ from attesta.plans.gateway import PromptTexts, prompt_assemble, redact_then_gate
 from attesta.plans.retrieve import retrieve_batch
 from attesta.rules import TOP_K
 from attesta.session import staged
+from attesta.sources.index import ChunkIndex
 from attesta.sources.audit import audit_events, provenance
 from attesta.sources.registry import validate_questions
 
@@ -44,8 +46,8 @@ def generate_inputs_batch(
         F.array_sort(F.collect_list(F.struct("rank", "title", "page_or_section", "trust_level"))).alias("citations")
     )
     prompts = prompt_assemble(ready.join(per_request, "request_id", "left"), texts)
-    decisions, audit = redact_then_gate(prompts, grants, as_of, cloud_enabled)
-    return prompts.select("request_id", "strand_id", "prompt_hash").join(decisions, "request_id"), blocked, audit
+    decisions, audit = redact_then_gate(prompts, grants, as_of, cloud_enabled, carry=("strand_id", "prompt_hash"))
+    return decisions, blocked, audit
 
 
 @dataclass
@@ -127,29 +129,69 @@ def load_questions(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 def govern_report(
     sources: DataFrame, chunks: DataFrame, strands: DataFrame, versions: DataFrame
 ) -> DataFrame:
-    """Governance findings as (check, n): index, life cycle, rules, orphans, versions, duplicates."""
-    zero = F.lit(0).cast("bigint")
+    """Governance findings as (check, n): index, life cycle, rules, orphans, versions, duplicates.
 
-    def counted(df: DataFrame, name: str) -> DataFrame:
+    Sources and chunks are read once each: chunks are counted per source, source rows and counts
+    meet under the source id (the key of ``sources``), and the findings about both are sums over
+    that table, taken per content first.
+    """
+    alive = F.col("deleted_at").isNull()
+    flags = {
+        "total": alive,
+        "licensed": alive & ~aggregates.is_blank_or_dash("license_info"),
+        "unverified": alive & (F.col("trust_level") == "UNVERIFIED"),
+        "registered": alive & (F.col("lifecycle_status") == "REGISTERED"),
+        "approved": alive & (F.col("lifecycle_status") == "APPROVED"),
+        "confession": ~confession_ok("subject", "confession_context"),
+    }
+    names, none = [*flags, "known"], F.lit(0).cast("bigint")
+    facts = sources.select(
+        "source_id",
+        "content_hash",
+        *[F.coalesce(flag.cast("bigint"), none).alias(name) for name, flag in flags.items()],
+        F.lit(1).cast("bigint").alias("known"),
+        none.alias("chunks"),
+    )
+    counted = chunks.groupBy("source_id").agg(F.count("*").alias("chunks")).select(
+        "source_id", F.lit(None).cast("string").alias("content_hash"), *[none.alias(n) for n in names], "chunks"
+    )
+    per_source = facts.unionByName(counted).groupBy("source_id").agg(
+        F.max("content_hash").alias("content_hash"), *[F.sum(n).alias(n) for n in [*names, "chunks"]]
+    )
+    # an orphan chunk has a null id or one that no source has; only ids count as orphans
+    orphan = F.when((F.col("known") == 0) & F.col("source_id").isNotNull(), F.col("chunks"))
+    per_content = per_source.groupBy("content_hash").agg(
+        *[F.sum(n).alias(n) for n in [*names, "chunks"]],
+        F.count_if((F.col("chunks") > 0) & F.col("source_id").isNotNull()).alias("indexed"),
+        F.sum(orphan).alias("orphans"),
+    )
+    repeated = F.when(F.col("content_hash").isNotNull() & (F.col("known") > 1), F.col("known"))
+    sums = per_content.agg(
+        *[F.coalesce(F.sum(n), none).alias(n) for n in [*names, "chunks", "indexed", "orphans"]],
+        F.coalesce(F.sum(repeated), none).alias("repeated"),
+    )
+    findings = {
+        "index-chunks": F.col("chunks"),
+        "index-sources": F.col("indexed"),
+        "index-coverage": aggregates.percent(F.col("licensed"), F.col("total")),
+        "index-review": F.greatest(none, F.col("total") - F.col("indexed")),
+        "gov-unverified": F.col("unverified"),
+        "gov-registered": F.nullif("registered", none),
+        "gov-approved": F.nullif("approved", none),
+        "source-confession": F.col("confession"),
+        "orphan-chunks": F.col("orphans"),
+        "duplicate-content": F.col("repeated"),
+    }
+    rows = sums.select(F.inline(F.array(*[F.struct(F.lit(k).alias("check_id"), v.cast("bigint").alias("n")) for k, v in findings.items()])))
+
+    def one(df: DataFrame, name: str) -> DataFrame:
         return df.agg(F.count("*").alias("n")).select(F.lit(name).alias("check_id"), "n")
 
-    quality = aggregates.index_quality(filters.live(sources), chunks).selectExpr(
-        "stack(4, 'index-chunks', chunks, 'index-sources', indexed_sources, 'index-coverage', metadata_coverage,"
-        " 'index-review', needing_review) AS (check_id, n)"
-    )
-    parts = [
-        quality,
-        aggregates.governance_counts(sources),
-        counted(filters.confession_violations(sources), "source-confession"),
-        counted(filters.strand_violations(strands), "strand-rules"),
-        counted(joins.orphans(chunks, sources, "source_id", "source_id"), "orphan-chunks"),
-        counted(joins.version_heads(versions).filter("conflict"), "version-conflicts"),
-        counted(aggregates.duplicate_hash_report(sources), "duplicate-content"),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.withColumn("n", F.coalesce("n", zero))
+    return (
+        rows.filter(F.col("n").isNotNull())
+        .unionByName(one(filters.strand_violations(strands), "strand-rules"))
+        .unionByName(one(joins.version_heads(versions).filter("conflict"), "version-conflicts"))
+    )
 
 
 @dataclass
@@ -165,19 +207,19 @@ class Purged:
 
 def purge(
     sources: DataFrame, chunks: DataFrame, links: DataFrame, holds: DataFrame, mappings: DataFrame, requests: DataFrame,
-    as_of: str, actor: str, since: str = "retained_from",
+    as_of: str, actor: str, since: str = "retained_from", index: ChunkIndex | None = None, number: int = 0,
 ) -> Purged:
     """Everything that is due at ``as_of``: kept longer than its data class allows (counted from ``since``),
     or deleted or revoked longer than the grace period, unless on legal hold; and expired or
     withdrawn pseudonym mappings. Chunks and links go with their source.
 
-    The due ids and their reasons are stored once; texts of sources are not read.
+    The due ids and their reasons are stored once; texts of sources are not read. With an ``index``
+    the chunks are those it serves; the due ones are deleted from it for real, in the run ``number`` of
+    the writer "purge", and the ``chunks`` of the result are what it serves then.
     """
-    facts = sources.select("source_id", "data_class", "deleted_at", "revoked_at", F.col(since).alias("_since"))
-    held = holds.select("source_id")
-    old = retention.retention_due(facts, as_of, since="_since").join(held, "source_id", "left_anti")
-    dead = retention.hard_delete_due(facts, holds, as_of)
-    reasons = old.select("source_id", F.lit("RETENTION").alias("reason")).unionByName(dead.select("source_id", F.lit("GRACE_OVER").alias("reason")))
+    reason = retention.deletion_reason(as_of, since=since)
+    reasons = sources.select("source_id", reason.alias("reason")).filter(F.col("reason").isNotNull())
+    reasons = reasons.join(holds.select("source_id"), "source_id", "left_anti")
     due = staged(reasons.groupBy("source_id").agg(F.min("reason").alias("reason")))
     expired = staged(retention.pseudonym_expiry(mappings, requests, as_of).select("student_id", "reason"))
     gone = due.select("source_id")
@@ -196,10 +238,16 @@ def purge(
             events(expired, "purge_pseudonym", "pseudonym_purge", "student_id")
         )
     )
+    plan = retention.source_cascade(gone, chunks, links)
+    left = chunks.join(gone, "source_id", "left_anti")
+    if index is not None:
+        plan = staged(plan)  # it names chunks that are deleted now
+        index.purge("purge", number, gone)
+        left = index.served()
     return Purged(
         sources.join(gone, "source_id", "left_anti"),
-        chunks.join(gone, "source_id", "left_anti"),
+        left,
         mappings.join(expired.select("student_id"), "student_id", "left_anti"),
-        retention.source_cascade(gone, chunks, links),
+        plan,
         audit,
     )

@@ -48,7 +48,7 @@ def brute_force(rows, queries, limit):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 20_000}])
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 20_000}, {"broadcast_bytes": 1_000}])
 def test_exact_search(spark, random_points, options):
     rows, queries = random_points
     points = spark.createDataFrame(rows, POINT).repartition(5)
@@ -147,3 +147,36 @@ def test_missing_trust_passes_the_filter_and_fails_the_floor(spark):
 def test_unknown_subject_raises(spark):
     with pytest.raises(Exception, match="unknown display subject"):
         ids(spark, "sport")
+
+
+@pytest.mark.parametrize("pass_blocks", [1, 3, 50])
+def test_passes_over_the_points(spark, random_points, pass_blocks, monkeypatch):
+    monkeypatch.setattr(S, "PASS_BLOCKS", pass_blocks)
+    rows, queries = random_points
+    points = spark.createDataFrame(rows, POINT).repartition(3)
+    asked = spark.createDataFrame(queries, "query_id bigint, vector array<double>, subject string, contexts array<string>")
+    whole = sorted(map(tuple, S.search(asked, points, limit=5).collect()))
+    assert sorted(map(tuple, S.search(asked, points, limit=5, broadcast_bytes=4_000).collect())) == whole
+
+
+def test_read_back_beyond_the_broadcast_limit(spark, random_points, monkeypatch):
+    rows, queries = random_points
+    points = spark.createDataFrame(rows, POINT).repartition(5)
+    asked = spark.createDataFrame(queries, "query_id bigint, vector array<double>, subject string, contexts array<string>")
+    near = sorted(map(str, S.search_payload(asked, points, ["source_id", "chunk_text"], limit=6).collect()))
+    monkeypatch.setattr(S, "BROADCAST_ROWS", 0)
+    far = S.search_payload(asked, points, ["source_id", "chunk_text"], limit=6)
+    assert sorted(map(str, far.collect())) == near
+    assert "vector" not in S.search_payload(asked, points, ["source_id"], limit=6, vectors=False).columns
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+@pytest.mark.parametrize("map_bytes", [S.MAP_BYTES, 4096])
+def test_no_hit_is_lost_and_few_others_are_kept(spark, kind, map_bytes, monkeypatch):
+    monkeypatch.setattr(S, "MAP_BYTES", map_bytes)
+    points = spark.range(60_000, numPartitions=4).select(F.col("id").cast(kind).alias("point_id"), F.lit("t").alias("chunk_text"))
+    hits = points.filter(F.col("point_id").cast("bigint") % 30 == 7).select("point_id", F.lit(1.0).alias("score"))
+    kept = S.points_hit(points, hits, hits.count())
+    assert kept.join(hits, "point_id", "left_semi").count() == hits.count() == 2000
+    assert kept.count() < 2000 + 60_000 / (20 if map_bytes > 4096 else 10)
+    assert kept.columns == ["point_id", "chunk_text"]

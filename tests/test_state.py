@@ -74,6 +74,19 @@ def test_positions_equal_a_plain_window(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, wanted.collect()))
 
 
+def test_sparse_positions_are_cut_into_runs(spark):
+    rng = random.Random(8)
+    orders = sorted({rng.randrange(-(1 << 62), 1 << 62) for _ in range(20_000)} | {7, 8, 9})
+    rows = [("hot", o) for o in orders] + [(f"k{i % 40}", i * 10**12) for i in range(2000)]
+    frame = spark.createDataFrame(rows, "k string, o bigint").repartition(4)
+    w = Window.partitionBy("k")
+    wanted = frame.select("k", "o", (F.row_number().over(w.orderBy("o")) - 1).alias("idx"), F.count("*").over(w).alias("n"))
+    got = ranking.positions(frame, ["k"], "o", bucket=256).select("k", "o", "idx", "n")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect()))
+    largest = frame.groupBy("k", ranking._run_of(frame, "o", 256)).count().agg(F.max("count")).first()[0]
+    assert largest < 1500
+
+
 GROUNDING = [  # (refs, expected confidence, resolved sources) against citations 1 G, 2 G, 3 draft
     ([], "UNSUPPORTED_DRAFT", []),
     ([1], "GROUNDED", [11]),
@@ -279,6 +292,23 @@ def test_deep_trees_are_followed_and_cycles_raise(spark):
         joins.curriculum_paths(circle)
 
 
+def test_a_chain_of_ten_thousand_nodes_takes_few_jobs(spark):
+    n = 10_000
+    chain = spark.range(n, numPartitions=4).select(
+        F.lit(1).cast("bigint").alias("strand_id"), F.col("id").alias("node_id"),
+        F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_id"), F.lit("c").alias("code"),
+    )
+    lost = spark.createDataFrame([(1, n + 5, n + 4, "x"), (2, 5, 4, "x"), (2, 0, None, "r"), (2, 1, 0, "a"), (2, 2, 0, "b")], "strand_id bigint, node_id bigint, parent_id bigint, code string")
+    spark.sparkContext.setJobGroup("tree", "")
+    got = joins.curriculum_paths(chain.unionByName(lost))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("tree"))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs < 40
+    row = got.filter("strand_id = 1").agg(F.count("*").alias("n"), F.max("depth").alias("d"), F.max(F.length("path")).alias("l")).first()
+    assert (row.n, row.d, row.l) == (n, n - 1, 2 * n - 1)
+    assert {(r.node_id, r.depth, r.path) for r in got.filter("strand_id = 2").collect()} == {(0, 0, "r"), (1, 1, "r/a"), (2, 1, "r/b")}
+
+
 def test_retention_audit(spark):
     sheets = spark.createDataFrame([(1, None), (2, None)], "sheet_id bigint, deleted_at timestamp_ntz")
     asked = spark.createDataFrame([(1, "t"), (1, "u"), (9, "t")], "sheet_id bigint, actor_id string")
