@@ -208,28 +208,37 @@ def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str
     return child.filter(F.col(child_key).isNotNull()).join(keys, F.col(child_key) == F.col("_key"), "left_anti")
 
 
-DOUBLINGS_PER_STEP = 2
+JUMPS = 3  # joins of a step; each takes the table of the step once more
 
 
 def curriculum_paths(nodes: DataFrame) -> DataFrame:
     """Every node with its depth and path of codes from the root, within its strand.
 
-    Pointer doubling: a node knows an ancestor and the codes from there down to itself, and
-    takes over what that ancestor knows, so the jump doubles. A chain of L nodes takes log2(L)
-    joins, two of them in each stored step. Nodes whose ancestors end at a missing one have no path;
+    Pointer jumping: a node knows an ancestor and the codes from there down to itself, and
+    takes over what that ancestor knows, so each stored step makes the jump four times as long: a
+    chain of L nodes takes log4(L) steps. Nodes whose ancestors end at a missing one have no path;
     a cycle raises.
     """
-    shared = nodes.select("strand_id", "node_id", F.col("parent_id").alias("up"), F.col("code").alias("path"))
-    rows = shared.withColumn("depth", F.col("up").isNotNull().cast("bigint"))
-    for _ in range(-(-(nodes.count().bit_length() + 1) // DOUBLINGS_PER_STEP)):
-        for _ in range(DOUBLINGS_PER_STEP):
-            known = rows.select(
-                "strand_id", F.col("node_id").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"), F.col("depth").alias("_depth")
-            )
-            moved = rows.filter(F.col("up").isNotNull()).join(known, ["strand_id", "up"]).select(
-                "strand_id", "node_id", F.col("_up").alias("up"), F.concat("_path", F.lit("/"), "path").alias("path"), (F.col("depth") + F.col("_depth")).alias("depth")
+    rows = nodes.select(
+        "strand_id",
+        "node_id",
+        F.col("parent_id").alias("up"),
+        F.col("code").alias("path"),
+        F.col("parent_id").isNotNull().cast("bigint").alias("depth"),
+    )
+    for _ in range(nodes.count().bit_length() // 2 + 1):
+        known = rows.select(
+            "strand_id", F.col("node_id").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"), F.col("depth").alias("_depth")
+        )
+        for _ in range(JUMPS):
+            found = F.col("_depth").isNotNull()
+            rows = rows.join(known, ["strand_id", "up"], "left").filter(F.col("up").isNull() | found).select(
+                "strand_id",
+                "node_id",
+                F.when(found, F.col("_up")).alias("up"),
+                F.when(found, F.concat("_path", F.lit("/"), "path")).otherwise(F.col("path")).alias("path"),
+                (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
             )
-            rows = rows.filter(F.col("up").isNull()).unionByName(moved)
         seen = Observation()
         rows = staged(rows.observe(seen, F.count_if(F.col("up").isNotNull()).alias("open")))
         if not seen.get["open"]:
