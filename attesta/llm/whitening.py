@@ -16,8 +16,9 @@ SCALE, OFFSET = 64, 1_000_000
 MOST = 1 << 40
 COMPONENTS = 32
 ROUND_OFF = 2.0**-53
-MOST_PASSES = 12
-NO_VARIANCE = 1e-10
+MOST_PASSES = 24
+COUNTED_ROWS = 10_000_000
+NO_VARIANCE = 1e-13
 BLOCK = 4096
 Step = tuple[str, np.ndarray]
 
@@ -134,16 +135,17 @@ def fit(rows: DataFrame, width: int) -> Basis:
 
     Pass after pass takes the Gram matrix of the rows as orthogonalised so far and its
     Cholesky factor, by whose inverse the next pass solves the rows. While that matrix is
-    too ill-conditioned, it is shifted by a multiple of the round-off first, at most twice;
-    directions that have no variance even then are projected out. The passes end when the
-    rows are orthonormal. The product of the factors is R, whose singular values and right
+    too ill-conditioned, it is shifted by a multiple of the round-off first, which makes narrow
+    directions wider relative to the others. A direction narrower than ``NO_VARIANCE`` of the widest
+    has none but round-off and is projected out as soon as it can be told from it. The passes end when
+    the rows are orthonormal. The product of the factors is R, whose singular values and right
     singular vectors are those of the rows.
     """
     n, sums = exact_sums(rows, width)
     if n == 0:
         return Basis(0, sums, np.eye(width), np.zeros(width), 0.0)
     steps: list[Step] = []
-    r, size, shifted = np.eye(width), width, 0
+    r, size, widened = np.eye(width), width, 1.0
     for turn in range(MOST_PASSES):
         image = lambda x, steps=tuple(steps): orthogonal(centred(x, n, sums), steps)
         g = gram(rows, width, image, size)
@@ -154,13 +156,15 @@ def fit(rows: DataFrame, width: int) -> Basis:
         if top <= 0:  # all rows are equal
             size, r = 0, np.zeros((0, width))
             break
-        shift = 11 * (n * size + size * (size + 1)) * ROUND_OFF * top
-        if turn == 0 or (shifted < 2 and values[0] <= 4 * shift):
-            g, shifted = g + min(shift, top) * np.eye(size), shifted + 1
-        elif values[0] <= NO_VARIANCE * top:
-            alive = vectors[:, values > NO_VARIANCE * top]
-            steps.append(("project", alive))
-            g, r, size = alive.T @ g @ alive, alive.T @ r, alive.shape[1]
+        alive = values > max((NO_VARIANCE * widened) ** 2, size * ROUND_OFF**2) * top
+        if not alive.all() and NO_VARIANCE * widened > ROUND_OFF**0.5:
+            kept = vectors[:, alive]
+            steps.append(("project", kept))
+            g, r, size, values = kept.T @ g @ kept, kept.T @ r, kept.shape[1], values[alive]
+        # block sums lose less than single ones, so rows count up to a bound
+        shift = 11 * (min(n, COUNTED_ROWS) * size + size * (size + 1)) * ROUND_OFF
+        if turn == 0 or values[0] <= 4 * shift * top:
+            g, widened = g + shift * top * np.eye(size), widened / shift**0.5
         factor = np.linalg.cholesky(g).T
         steps.append(("solve", factor))
         r = factor @ r
