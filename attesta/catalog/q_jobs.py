@@ -540,19 +540,7 @@ def _(t):
     )
 
 
-@query(
-    "absorb_responses",
-    f"""
-    WITH {GROUNDED_SQL},
-    k AS (SELECT artifact_id, count(*) AS total, count(*) FILTER (confidence = 'GROUNDED') AS grounded FROM grounded GROUP BY 1)
-    SELECT 'counts' AS part, artifact_id, total AS a, grounded AS b FROM k
-    UNION ALL SELECT 'links', artifact_id, count(DISTINCT source_id), NULL FROM cited GROUP BY artifact_id
-    UNION ALL SELECT 'failure', conv_id, NULL, NULL FROM {{conversations}} GROUP BY conv_id HAVING count(*) FILTER (role = 'assistant') = 0
-    UNION ALL SELECT 'phases', artifact_id, sum(least(4 * idx // n, 3))::bigint, NULL
-      FROM (SELECT artifact_id, row_number() OVER (PARTITION BY artifact_id ORDER BY position) - 1 AS idx, count(*) OVER (PARTITION BY artifact_id) AS n FROM {{v_statement}}) GROUP BY 2
-    """,
-)
-def _(t):
+def _absorbed(t):
     statements = t("v_statement").groupBy("artifact_id").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("position", "text", F.col("refs").alias("citationRefs")))),
@@ -571,7 +559,23 @@ def _(t):
         ).alias("reply"),
     )
     wanted = ids.withColumn("difficulty", F.lit("Basis"))
-    done = jobs.absorb_responses(responses, t("v_citation"), wanted)
+    return jobs.absorb_responses(responses, t("v_citation"), wanted)
+
+
+@query(
+    "absorb_responses",
+    f"""
+    WITH {GROUNDED_SQL},
+    k AS (SELECT artifact_id, count(*) AS total, count(*) FILTER (confidence = 'GROUNDED') AS grounded FROM grounded GROUP BY 1)
+    SELECT 'counts' AS part, artifact_id, total AS a, grounded AS b FROM k
+    UNION ALL SELECT 'links', artifact_id, count(DISTINCT source_id), NULL FROM cited GROUP BY artifact_id
+    UNION ALL SELECT 'failure', conv_id, NULL, NULL FROM {{conversations}} GROUP BY conv_id HAVING count(*) FILTER (role = 'assistant') = 0
+    UNION ALL SELECT 'phases', artifact_id, sum(least(4 * idx // n, 3))::bigint, NULL
+      FROM (SELECT artifact_id, row_number() OVER (PARTITION BY artifact_id ORDER BY position) - 1 AS idx, count(*) OVER (PARTITION BY artifact_id) AS n FROM {{v_statement}}) GROUP BY 2
+    """,
+)
+def _(t):
+    done = _absorbed(t)
     none = F.lit(None).cast("bigint")
     return (
         done.counts.select(F.lit("counts").alias("part"), "artifact_id", F.col("total").alias("a"), F.col("grounded").alias("b"))
@@ -579,3 +583,31 @@ def _(t):
         .unionByName(done.failures.select(F.lit("failure").alias("part"), "artifact_id", none.alias("a"), none.alias("b")))
         .unionByName(done.statements.groupBy("artifact_id").agg(F.sum("phase_index").alias("a")).select(F.lit("phases").alias("part"), "artifact_id", "a", none.alias("b")))
     )
+
+
+@query(
+    "absorb_trail",
+    f"""
+    WITH {GROUNDED_SQL},
+    k AS (SELECT artifact_id, count(*) AS total, count(*) FILTER (confidence = 'GROUNDED') AS g FROM grounded GROUP BY 1),
+    state AS (SELECT artifact_id, '{{{{"total":' || cast(total AS string) || ',"grounded":' || cast(g AS string) || ',"unsupportedDraft":' || cast(total - g AS string) || '}}}}' AS v FROM k),
+    ids AS (SELECT artifact_id, string_agg(cast(source_id AS string), ',' ORDER BY source_id) AS v FROM (SELECT DISTINCT artifact_id, source_id FROM cited) GROUP BY 1),
+    middle AS (SELECT artifact_id, position FROM (
+      SELECT artifact_id, position, row_number() OVER (PARTITION BY artifact_id ORDER BY position) - 1 AS idx, count(*) OVER (PARTITION BY artifact_id) AS n FROM {{v_statement}})
+      WHERE idx = n // 2)
+    SELECT 'provenance' AS part, artifact_id, SHA256('prompt') || ' ' || state.v || ' ' || coalesce(ids.v, '') AS detail FROM state LEFT JOIN ids USING (artifact_id)
+    UNION ALL SELECT 'audit', NULL, 'generation_lesson teacher {{{{"detail":"' || replace(v, '"', chr(92) || '"') || '"}}}}' FROM state
+    UNION ALL SELECT DISTINCT 'task', artifact_id, 'Basis ' || cast(source_id AS string) FROM middle JOIN cited USING (artifact_id, position)
+    """,
+)
+def _(t):
+    done = _absorbed(t)
+    ids = F.array_join(F.transform("source_refs", lambda x: x.cast("string")), ",")
+    trail = F.concat(F.col("prompt_hash"), F.lit(" "), F.col("confidence_state"), F.lit(" "), ids)
+    return (
+        done.provenance.select(F.lit("provenance").alias("part"), "artifact_id", trail.alias("detail"))
+        .unionByName(done.audit.select(F.lit("audit").alias("part"), F.lit(None).cast("bigint").alias("artifact_id"), F.concat_ws(" ", "event_type", "actor_id", "details").alias("detail")))
+        .unionByName(done.task_links.select(F.lit("task").alias("part"), F.col("worksheet_id").alias("artifact_id"), F.concat_ws(" ", "difficulty", F.col("source_id").cast("string")).alias("detail")))
+    )
+
+

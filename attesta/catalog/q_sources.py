@@ -8,8 +8,10 @@ from attesta.catalog.core import query
 from attesta.catalog.dialect import GUARD_CASE
 from attesta.catalog.views import AS_OF
 from attesta.functions import governance as gov
+from attesta.functions.hooks import extract_hook
 from attesta.functions.privacy import residual_pattern
 from attesta.operators import filters, grounding, lifecycle, search
+from attesta.session import stage_folder
 from attesta.sources import audit, chunks, corpus, registry
 
 
@@ -30,6 +32,33 @@ def _(t):
     return corpus.narrow(t("v_path"), ["2_Deutsch", "3_Religion", "Materialsammlung-RAG"]).select("rel_path")
 
 
+_FOLDERS = ["2_Deutsch", "3_Religion", "Materialsammlung-RAG", "Privat"]
+
+
+@query(
+    "corpus_files",
+    """
+    SELECT folder, sum(strlen(html) + 1)::bigint AS bytes, sum(length(html) + 1)::bigint AS characters, false AS failed FROM (
+      SELECT html, CASE page_id % 4 WHEN 0 THEN '2_Deutsch' WHEN 1 THEN '3_Religion' WHEN 2 THEN 'Materialsammlung-RAG' ELSE 'Privat' END AS folder FROM {pages})
+    WHERE folder <> 'Privat' GROUP BY folder
+    """,
+)
+def _(t):
+    """Pages written as files below four folders; the allowed ones are listed, read and decoded."""
+    root = f"{stage_folder(t.spark)}/corpus"
+    for i, folder in enumerate(_FOLDERS):
+        t("pages").filter(F.col("page_id") % 4 == i).select("html").write.text(f"{root}/{folder}/pages")
+    files = corpus.list_corpus(t.spark, root, [*_FOLDERS[:3], "missing"], with_content=True)
+    named = files.select(
+        F.substring_index("rel_path", "/", 1).alias("folder"), "length", "content", F.lit("text/html").alias("mime")
+    )
+    out = extract_hook(named, lambda: lambda payload, mime: payload.decode("utf-8"))
+    failed = F.col("extract_error").isNotNull() & (F.col("length") > 0)
+    return out.groupBy("folder").agg(
+        F.sum("length").alias("bytes"), F.coalesce(F.sum(F.length("extracted_text")), F.lit(0)).alias("characters"), F.max(failed).alias("failed")
+    )
+
+
 _REGISTRY_SQL = """
 SELECT entry_id, 
        CASE WHEN lower(trust_level) = 'official' AND lower(source_type) IN ('framework', 'law', 'curriculum') THEN 'OFFICIAL_BINDING'
@@ -516,8 +545,13 @@ def _(t):
       FROM {v_piece} GROUP BY source_id, SHA256(chunk_text), source_version HAVING count(*) > 1
     UNION ALL SELECT 'link_unique', cast(l_orderkey AS string) || '|' || cast(l_suppkey AS string), count(*)
       FROM {lineitem} GROUP BY l_orderkey, l_suppkey HAVING count(*) > 1
-    UNION ALL SELECT 'node_code_per_strand', cast(strand_id AS string) || '|' || title, count(*)
-      FROM {v_strand_node} GROUP BY strand_id, title HAVING count(*) > 1
+    UNION ALL SELECT 'node_code_per_strand', cast(strand_id AS string) || '|' || code, count(*)
+      FROM (SELECT strand_id, substr(code, 1, 3) AS code FROM {v_strand_node}) GROUP BY strand_id, code HAVING count(*) > 1
+    UNION ALL SELECT 'profile_user_unique', cast(o_custkey AS string), count(*) FROM {orders} GROUP BY o_custkey HAVING count(*) > 1
+    UNION ALL SELECT 'task_source_ref_unique', cast(l_orderkey AS string) || '|' || cast(l_linenumber AS string) || '|' || cast(l_suppkey AS string), count(*)
+      FROM {lineitem} GROUP BY l_orderkey, l_linenumber, l_suppkey HAVING count(*) > 1
+    UNION ALL SELECT 'lesson_curriculum_node_unique', cast(l_suppkey AS string) || '|' || cast(l_partkey AS string), count(*)
+      FROM {lineitem} GROUP BY l_suppkey, l_partkey HAVING count(*) > 1
     """,
 )
 def _(t):
@@ -527,6 +561,65 @@ def _(t):
             filters.short_chunk_violations(rows),
             filters.unique_violations(rows, ["source_id", "content_hash", "source_version"], "chunk_unique"),
             filters.unique_violations(t("lineitem"), ["l_orderkey", "l_suppkey"], "link_unique"),
-            filters.unique_violations(t("v_strand_node"), ["strand_id", "title"], "node_code_per_strand"),
+            # codes of three digits, so that some occur twice
+            filters.unique_violations(t("v_strand_node").withColumn("code", F.substring("code", 1, 3)), ["strand_id", "code"], "node_code_per_strand"),
+            filters.unique_violations(t("orders"), ["o_custkey"], "profile_user_unique"),
+            filters.unique_violations(t("lineitem"), ["l_orderkey", "l_linenumber", "l_suppkey"], "task_source_ref_unique"),
+            filters.unique_violations(t("lineitem"), ["l_suppkey", "l_partkey"], "lesson_curriculum_node_unique"),
         ]
     )
+
+
+_TEXTS_SQL = """CASE WHEN command = 'register' AND seq % 3 <> 0 THEN 'L-' || cast(seq AS string) END AS license_info,
+                CASE WHEN command IN ('register', 'approve') AND seq % 2 = 0 THEN command || '-' || cast(seq AS string) END AS approval_metadata"""
+
+
+@query(
+    "lifecycle_metadata",
+    f"""
+    WITH RECURSIVE c AS (SELECT source_id, seq, command, license_verified AS m, {_TEXTS_SQL},
+                      row_number() OVER (PARTITION BY source_id ORDER BY seq) AS n FROM {{v_command}}),
+    r AS (SELECT source_id, cast(0 AS bigint) AS n, lifecycle_status AS st, license_verified AS v, trust_level AS tr,
+                 license_info AS li, approval_metadata AS am FROM {{v_source}}
+          UNION ALL
+          SELECT source_id, n, CASE WHEN NOT ok THEN st WHEN command = 'register' THEN 'REGISTERED' WHEN command = 'approve' THEN 'APPROVED'
+                                    WHEN command = 'ingest' THEN 'INGESTED' ELSE 'REVOKED' END,
+                 CASE WHEN ok AND command = 'register' THEN coalesce(m, v) ELSE v END, tr,
+                 CASE WHEN ok AND command = 'register' THEN coalesce(license_info, li) ELSE li END,
+                 CASE WHEN ok AND command IN ('register', 'approve') THEN coalesce(approval_metadata, am) ELSE am END
+          FROM (SELECT c.*, r.st, r.v, r.tr, r.li, r.am,
+                       CASE c.command WHEN 'register' THEN r.st IN ('DISCOVERED', 'UNDER_REVIEW')
+                            WHEN 'approve' THEN r.st = 'REGISTERED' AND r.v AND r.tr <> 'UNVERIFIED'
+                            WHEN 'ingest' THEN r.st = 'APPROVED' ELSE true END AS ok
+                FROM r JOIN c ON c.source_id = r.source_id AND c.n = r.n + 1))
+    SELECT source_id, max_by(st, n) AS lifecycle_status, max_by(struct_pack(x := li), n).x AS license_info, max_by(struct_pack(x := am), n).x AS approval_metadata
+    FROM r GROUP BY source_id
+    """,
+)
+def _(t):
+    commands = t("v_command").selectExpr("*", *_TEXTS_SQL.split(",\n"))
+    state, _ = lifecycle.apply_commands(t("v_source"), commands)
+    return state.select("source_id", "lifecycle_status", "license_info", "approval_metadata")
+
+
+@query(
+    "correction_provenance",
+    """
+    SELECT a.artifact_id, SHA256('prompt-' || cast(a.artifact_id AS string)) AS prompt_hash, true AS redaction_applied,
+           '{{"rubricCriteria":' || cast(coalesce(k, 0) AS string) || ',"feedbackStatements":' || cast(coalesce(n, 0) AS string)
+             || ',"lowConfidence":' || cast(coalesce(low, 0) AS string) || '}}' AS confidence_state, coalesce(ids, '') AS source_refs
+    FROM (SELECT DISTINCT conv_id AS artifact_id FROM {conversations}) a
+    LEFT JOIN (SELECT artifact_id, count(*) AS n, count(*) FILTER (len(refs) = 0) AS low FROM {v_statement} GROUP BY 1) s USING (artifact_id)
+    LEFT JOIN (SELECT conv_id AS artifact_id, count(*) AS k FROM {conversations} WHERE role = 'user' GROUP BY 1) c USING (artifact_id)
+    LEFT JOIN (SELECT artifact_id, string_agg(cast(source_id AS string), ',' ORDER BY source_id) AS ids
+               FROM (SELECT DISTINCT artifact_id, source_id FROM {v_citation}) GROUP BY 1) x USING (artifact_id)
+    """,
+)
+def _(t):
+    drafts = t("conversations").select(F.col("conv_id").alias("artifact_id")).distinct().select(
+        "artifact_id", F.concat(F.lit("prompt-"), F.col("artifact_id").cast("string")).alias("prompt"), F.lit("teacher").alias("owner_id")
+    )
+    level = F.when(F.size("refs") == 0, F.lit("LOW")).otherwise(F.lit("MEDIUM")).alias("confidence_level")
+    scores = t("conversations").filter(F.col("role") == "user").select(F.col("conv_id").alias("artifact_id"))
+    rows = audit.correction_provenance(drafts, t("v_statement").select("artifact_id", level), scores, t("v_citation"))
+    return rows.select("artifact_id", "prompt_hash", "redaction_applied", "confidence_state", F.array_join("source_refs", ",").alias("source_refs"))

@@ -13,11 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+TEXTS = ("license_info", "approval_metadata")
+
+
 def apply_commands(state: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
     """New state per source and one row per refused command; arguments as for ``judge_commands``."""
     new_state, judged = judge_commands(state, commands)
     errors = judged.filter(F.col("error").isNotNull()).select("source_id", "seq", "command", "error")
-    return new_state.select("source_id", "lifecycle_status", "license_verified"), errors
+    return new_state.drop("trust_level"), errors
 
 
 def judge_commands(state: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -26,16 +29,19 @@ def judge_commands(state: DataFrame, commands: DataFrame) -> tuple[DataFrame, Da
     ``state``: source_id, lifecycle_status, license_verified, trust_level.
     ``commands``: source_id, seq (unique order in the source), command in
     register / approve / ingest / revoke, license_verified (only for register;
-    null keeps the stored value).
+    null keeps the stored value). Where both tables have license_info or approval_metadata, the first
+    legal register sets them too, and the first legal approve the latter; null keeps what is stored.
     """
+    texts = [c for c in TEXTS if c in state.columns and c in commands.columns]
     stored = state.select(
-        "source_id", "lifecycle_status", F.col("license_verified").alias("_verified"), "trust_level"
+        "source_id", "lifecycle_status", F.col("license_verified").alias("_verified"), "trust_level", *texts
     )
     of = {kind: F.when(F.col("command") == kind, F.col("seq")) for kind in ("register", "revoke")}
     first = commands.groupBy("source_id").agg(
         F.min(of["revoke"]).alias("t_revoke"),
         F.min(of["register"]).alias("t_register"),
         F.min_by("license_verified", of["register"]).alias("_meta_first"),
+        *[F.min_by(c, of["register"]).alias(f"_register_{c}") for c in texts],
     )
     fresh = F.col("lifecycle_status").isin("DISCOVERED", "UNDER_REVIEW")
     base = (
@@ -52,13 +58,14 @@ def judge_commands(state: DataFrame, commands: DataFrame) -> tuple[DataFrame, Da
             F.when(F.col("lifecycle_status") == "REGISTERED", F.lit(-1).cast("bigint")).otherwise(F.col("t_register")),
         )
     )
-    step = commands.select("source_id", "seq", "command")
+    approved_text = [c for c in texts if c == "approval_metadata"]
+    step = commands.select("source_id", "seq", "command", *approved_text)
     approvals = (
         step.filter(F.col("command") == "approve")
         .join(base.select("source_id", "_open_from", "t_revoke", "_may"), "source_id")
         .filter(F.col("_may") & (F.col("seq") > F.col("_open_from")) & (F.col("seq") < F.col("t_revoke")))
         .groupBy("source_id")
-        .agg(F.min("seq").alias("t_approve"))
+        .agg(F.min("seq").alias("t_approve"), *[F.min_by(c, "seq").alias(f"_approve_{c}") for c in approved_text])
     )
     base = base.join(approvals, "source_id", "left").withColumn(
         "_ready_from",
@@ -73,6 +80,11 @@ def judge_commands(state: DataFrame, commands: DataFrame) -> tuple[DataFrame, Da
     )
     times = base.join(ingests, "source_id", "left")
 
+    def text(c: str):
+        registered = F.when(F.col("t_register").isNotNull(), F.col(f"_register_{c}"))
+        later = [F.col(f"_approve_{c}")] if c in approved_text else []
+        return F.coalesce(*later, registered, F.col(c)).alias(c)
+
     new_state = times.select(
         "source_id",
         F.when(F.col("t_revoke") < (1 << 62), F.lit("REVOKED"))
@@ -85,13 +97,14 @@ def judge_commands(state: DataFrame, commands: DataFrame) -> tuple[DataFrame, Da
             "license_verified"
         ),
         "trust_level",
+        *map(text, texts),
     )
 
     marks = times.select(
         "source_id", F.lit(True).alias("_known"), "t_revoke", "t_register", "t_approve", "t_ingest", "_may",
         F.col("lifecycle_status").alias("_initial"),
     )
-    judged = step.join(marks, "source_id", "left")
+    judged = step.select("source_id", "seq", "command").join(marks, "source_id", "left")
     before = (
         F.when(F.col("seq") > F.col("t_revoke"), F.lit("REVOKED"))
         .when(F.col("seq") > F.col("t_ingest"), F.lit("INGESTED"))

@@ -10,6 +10,14 @@ from attesta.functions.text import extension_of, grade_band_of_folder, title_of_
 from attesta.rules import FOLDER_RULES, GUIDANCE_FILE_NAMES, GUIDANCE_FILE_PREFIXES, SCANNED_FOLDERS
 
 
+FILE_COLUMNS = "path string, modificationTime timestamp, length bigint, content binary"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def list_corpus(
     spark: SparkSession,
     root: str,
@@ -20,13 +28,15 @@ def list_corpus(
 ) -> DataFrame:
     """Files below the allowed top folders, with their path relative to ``root``.
 
-    File bytes are only read where ``with_content`` asks for them. ``limit`` is the
+    Only these folders are listed; one that does not exist is left out. File bytes are only read where ``with_content`` asks for them. ``limit`` is the
     listing's own option for trial runs: the first files by path.
     """
     allowed = folders if folders is not None else SCANNED_FOLDERS
     if only is not None:
         allowed = [f for f in allowed if f == only]
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    there = [f"{root.rstrip('/')}/{folder}" for folder in allowed if _exists(spark, f"{root.rstrip('/')}/{folder}")]
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    files = reader.load(there) if there else spark.createDataFrame([], FILE_COLUMNS)
     return narrow(files.withColumn("rel_path", relative_path("path", root)), allowed, limit, with_content)
 
 

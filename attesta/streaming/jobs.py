@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from attesta.operators.aggregates import latency_report, latency_sketch_report
-from attesta.operators.lifecycle import judge_commands
+from attesta.operators.lifecycle import TEXTS, judge_commands
 from attesta.plans.ingest import ingest_and_commit
 from attesta.session import staged
 from attesta.sources.index import ChunkIndex
@@ -157,6 +157,7 @@ def stream_lifecycle(commands: DataFrame, state: DataFrame, base: str, checkpoin
         known = states.touched("state", ids)
         new = ids if known is None else ids.join(known.select("source_id"), "source_id", "left_anti")
         columns = ["source_id", "lifecycle_status", "license_verified", "trust_level"]
+        columns += [c for c in TEXTS if c in state.columns and c in batch.columns]
         first = state.select(*columns).join(new, "source_id", "left_semi")
         before = staged(first if known is None else known.select(*columns).unionByName(first))
         after, judged = judge_commands(before, batch)
