@@ -156,6 +156,52 @@ def test_recall_of_edited_passages(spark):
     assert all(r.identity >= 0.8 for r in found)
 
 
+def test_packed_numbers_come_back():
+    np = substring.np
+    rng = np.random.default_rng(2)
+    for top in (1, 200, 60_000, 1 << 31, 1 << 62):
+        values = rng.integers(0, top, 50)
+        assert (substring.unpack(substring.pack(values)) == values).all()
+        signed = rng.integers(-top, top, 50)
+        assert (substring.unpack_steps(substring.pack_steps(signed)) == signed).all()
+    ends = np.array([np.iinfo(np.int64).min, np.iinfo(np.int64).max, 0, -1])
+    assert (substring.unpack_steps(substring.pack_steps(ends)) == ends).all()
+    assert len(substring.pack_steps(np.repeat(np.arange(9), 40))) == 361
+
+
+@pytest.mark.parametrize("words", [6, 40, 4000])
+def test_quick_test_and_anchors_lose_no_passage(words, monkeypatch):
+    """Alignments between anchors against plain ones: the same passages, and none is ruled out beforehand."""
+    np = substring.np
+    rng, seen = np.random.default_rng(words), 0
+    for case in range(60):
+        n = int(rng.integers(50, 160))
+        a = rng.integers(0, words, n).astype(np.uint32)
+        b, rate = [], (0.05, 0.12, 0.18, 0.4)[case % 4]
+        for w in a:
+            kind = rng.random()
+            if kind < rate / 3:
+                continue
+            b.append(rng.integers(0, words) if kind < 2 * rate / 3 else w)
+            if kind > 1 - rate / 3:
+                b.append(rng.integers(0, words))
+        b = np.array(b, dtype=np.uint32)
+        with monkeypatch.context() as m:
+            m.setattr(substring, "SMALL", 1 << 40)
+            plain = substring.columns(a, b)
+        aligned = substring.columns(a, b)
+        assert aligned[0].sum() == len(a) and aligned[1].sum() == len(b)
+        assert (a[np.cumsum(aligned[0])[aligned[2] > 0] - 1] == b[np.cumsum(aligned[1])[aligned[2] > 0] - 1]).all()
+        assert (1 - plain[2]).sum() <= (1 - aligned[2]).sum()
+        found = substring.passages(plain)
+        if found:
+            seen += 1
+            assert substring._may_share(a, b)
+            longest = max(f[1] - f[0] for f in found)
+            assert max((f[1] - f[0] for f in substring.passages(aligned)), default=0) >= 0.9 * longest
+    assert seen > 15
+
+
 def test_chains_follow_both_texts():
     np = substring.np
     x = np.array([0, 10, 20, 30, 40, 15, 200, 210])
