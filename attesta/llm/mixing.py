@@ -50,9 +50,33 @@ def tempered_targets(cells: DataFrame, dimension: str, power: float) -> DataFram
     return sums.select(F.col(dimension).alias("value"), (F.col("part") / F.lit(total)).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
-    """Cells with ``weight``: token shares with the target marginals, nearest in proportion to the observed ones.
+class Unreachable(ValueError):
+    """Targets that no weights of the cells meet."""
 
+
+def given_targets(cells: DataFrame, dimension: str, given: DataFrame) -> DataFrame:
+    """Target shares of a dimension from a table (value, target): parts of their sum, each value once.
+
+    Null is a value; values without a target get none of the mix. Raises ``Unreachable`` for negative or
+    repeated targets, for a sum of 0, and for values with a target that no token has.
+    """
+    table = staged(given.select(F.col("value").cast("string").alias("value"), F.col("target").cast("double").alias("target")))
+    total, least, n, distinct = table.agg(
+        F.sum("target"), F.min("target"), F.count("*"), F.countDistinct(F.struct("value"))
+    ).first()
+    if not total or least < 0 or n != distinct:
+        raise Unreachable(f"targets of {dimension}: each value once, none negative, some above 0")
+    there = cells.select(F.col(dimension).cast("string").alias("_there")).distinct()
+    lost = table.filter("target > 0").join(there, F.col("value").eqNullSafe(F.col("_there")), "left_anti").first()
+    if lost is not None:
+        raise Unreachable(f"targets of {dimension}: no tokens of {lost['value']!r}")
+    return table.select("value", (F.col("target") / F.lit(total)).alias("target"))
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame]) -> tuple[DataFrame, dict[str, float]]:
+    """(cells with ``weight``, the largest relative error of each dimension's marginals).
+
+    Weights are token shares with the target marginals, nearest in proportion to the observed ones.
     A round scales the cells of every value of each dimension in turn to its target. Rounds
     go on until no marginal is off by more than TOLERANCE of its target, or stop after
     MOST_ROUNDS with the marginals of the last dimension met. A value without a target gets
@@ -67,6 +91,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
         current = current.fillna(0.0, [f"t_{name}"])
     weight = F.when(F.least(*[F.col(f"t_{n}") for n in targets]) > 0, F.col("tokens").cast("double")).otherwise(0.0)
     current = staged(current.withColumn("weight", weight))
+    errors = {name: 0.0 for name in targets}
     for _ in range(0, MOST_ROUNDS, ROUNDS):
         step = current.coalesce(tasks)
         for _ in range(ROUNDS):
@@ -77,13 +102,15 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
         off = []
         for name in targets:
             sums = current.coalesce(tasks).groupBy(name).agg(F.sum("weight").alias("w"), F.max(f"t_{name}").alias("t"))
-            off.append(sums.filter("t > 0").agg(F.max(F.abs(F.col("w") / F.col("t") - 1)).alias("off")))
+            error = F.max(F.abs(F.col("w") / F.col("t") - 1)).alias("off")
+            off.append(sums.filter("t > 0").agg(error).select(F.lit(name).alias("name"), "off"))
         worst = off[0]
         for other in off[1:]:
             worst = worst.unionByName(other)
-        if (worst.agg(F.max("off")).first()[0] or 0.0) <= TOLERANCE:
+        errors = {r["name"]: r["off"] or 0.0 for r in worst.collect()}
+        if max(errors.values()) <= TOLERANCE:
             break
-    return current.drop(*[f"t_{n}" for n in targets])
+    return current.drop(*[f"t_{n}" for n in targets]), errors
 
 
 def calibrate(cells: DataFrame, share: float) -> DataFrame:
@@ -127,31 +154,51 @@ def _facts(docs: DataFrame, topic: Column, id_: str, text: str, source: str, lan
     ).withColumn("cell", _cell_id(list(DIMENSIONS)))
 
 
-def _fitted(facts: DataFrame, share: float, powers: dict[str, float]) -> DataFrame:
-    """(cell, weight, probability), to be joined to documents; broadcast where the counted cells are few."""
-    cells = staged(token_cells(facts.select("cell", *DIMENSIONS, "tokens")))
-    targets = {d: tempered_targets(cells, d, powers[d]) for d in DIMENSIONS}
-    fitted = staged(calibrate(rake(cells, targets), share).select("cell", "weight", "probability"))
-    return F.broadcast(fitted) if fitted.count() <= BROADCAST_CELLS else fitted
-
+Targets = dict[str, "float | DataFrame"]
 
-def mix(docs: DataFrame, share: float, powers: dict[str, float], topic: Column, id_: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", seed: int = 1) -> DataFrame:
-    """One row per document: id, tokens, source, lang, topic, weight, probability, sampled.
 
-    Token shares of sources, languages and topics are raked to their shares raised to the
-    given powers; ``weight`` is the target share of the document's cell. Documents are then
-    sampled by probabilities calibrated to keep ``share`` of the tokens. Null is a value of
+def _fitted(facts: DataFrame, share: float, targets: Targets) -> tuple[DataFrame, float]:
+    """((cell, weight, probability), to be joined to documents, broadcast where the counted cells are few; residual)."""
+    cells = staged(token_cells(facts.select("cell", *DIMENSIONS, "tokens")))
+    tables = {
+        d: given_targets(cells, d, targets[d]) if isinstance(targets[d], DataFrame) else tempered_targets(cells, d, targets[d])
+        for d in DIMENSIONS
+    }
+    raked, errors = rake(cells, tables)
+    worst = max(errors, key=errors.get)
+    if errors[worst] > TOLERANCE and any(isinstance(t, DataFrame) for t in targets.values()):
+        raise Unreachable(f"targets of {worst} are missed by {errors[worst]:.2g} after {MOST_ROUNDS} rounds")
+    fitted = staged(calibrate(raked, share).select("cell", "weight", "probability"))
+    return (F.broadcast(fitted) if fitted.count() <= BROADCAST_CELLS else fitted), errors[worst]
+
+
+def mix(docs: DataFrame, share: float, targets: Targets, topic: Column, id_: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", seed: int = 1) -> DataFrame:
+    """One row per document: id, tokens, source, lang, topic, weight, probability, sampled, residual.
+
+    ``targets`` says for source, lang and topic what token shares the mix is raked to: a table
+    (value, target) of shares, or a power to which the observed shares are raised. ``weight`` is the
+    target share of the document's cell, ``residual`` the largest relative error of a marginal. Given
+    tables are met within TOLERANCE, or ``Unreachable`` names the dimension; powers may end with a larger residual
+    where the cells that occur do not allow more. Documents are then
+    sampled by probabilities calibrated to keep ``share`` of the tokens. ``topic`` is any column. Null is a value of
     its own in every dimension. Documents of a cell without tokens are not sampled.
     Repeated rows share their fate. An empty table gives no rows; extra columns are not read.
     """
     facts = staged(_facts(docs, topic, id_, text, source, lang, seed))
-    joined = facts.join(_fitted(facts, share, powers), "cell", "left").fillna(0.0, ["weight", "probability"])
+    fitted, residual = _fitted(facts, share, targets)
+    joined = facts.join(fitted, "cell", "left").fillna(0.0, ["weight", "probability"])
     sampled = F.col("draw") < F.col("probability")
-    return joined.select(F.col("id").alias(id_), "tokens", *DIMENSIONS, "weight", "probability", sampled.alias("sampled"))
+    return joined.select(
+        F.col("id").alias(id_), "tokens", *DIMENSIONS, "weight", "probability", sampled.alias("sampled"), F.lit(residual).alias("residual")
+    )
 
 
-def sample(docs: DataFrame, share: float, powers: dict[str, float], topic: Column, id_: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", seed: int = 1) -> DataFrame:
-    """The rows of ``docs`` that ``mix`` samples, all their columns kept."""
+def sample(docs: DataFrame, share: float, targets: Targets, topic: Column, id_: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", seed: int = 1) -> DataFrame:
+    """The rows of ``docs`` that ``mix`` samples, all their columns kept.
+
+    Nulls, repeated rows, targets and errors as there; of equal draws all rows stay or go. An empty table
+    gives no rows.
+    """
     facts = staged(_facts(docs, topic, id_, text, source, lang, seed))
     rows = _facts(docs, topic, id_, text, source, lang, seed, F.struct("*").alias("row")).select("row", "draw", "cell")
-    return rows.join(_fitted(facts, share, powers), "cell").filter("draw < probability").select("row.*")
+    return rows.join(_fitted(facts, share, targets)[0], "cell").filter("draw < probability").select("row.*")

@@ -64,6 +64,34 @@ def test_mixing_reaches_targets(docs, nothing):
     assert mixing.mix(nothing, 0.5, POWERS, mixing.register("text")).count() == 0
 
 
+def test_given_targets_are_met_or_named(spark, docs, nothing):
+    def table(dimension, shares):
+        return spark.createDataFrame(list(shares.items()), "value string, target double")
+
+    sources, langs = {"s0": 2.0, "s1": 5.0, None: 1.0}, {"en": 0.3, "de": 0.6, None: 0.1}
+    topics = F.lit("all")
+    given = {"source": table("source", sources), "lang": table("lang", langs), "topic": 0.9}
+    rows = mixing.mix(docs, 0.4, given, topics).collect()
+    cells = {(r.source, r.lang, r.topic): r.weight for r in rows if r.tokens}
+    for d, shares in enumerate((sources, langs)):
+        have = defaultdict(float)
+        for k, w in cells.items():
+            have[k[d]] += w
+        for value, share in shares.items():
+            assert have[value] == pytest.approx(share / sum(shares.values()), rel=2e-6)
+    assert max(r.residual for r in rows) <= 1e-6
+    some = {"source": table("source", {"s0": 1.0}), "lang": 1.0, "topic": 1.0}  # the others get nothing
+    assert {r.source for r in mixing.sample(docs, 0.2, some, topics).collect()} == {"s0"}
+    for wrong, words in (({"s9": 1.0}, "s9"), ({"s0": -1.0, "s1": 2.0}, "source"), ({"s0": 0.0}, "source")):
+        with pytest.raises(mixing.Unreachable, match=words):
+            mixing.mix(docs, 0.5, {**some, "source": table("source", wrong)}, topics)
+    # en only in s0 and de only in s1: shares of languages and sources contradict each other
+    apart = spark.createDataFrame([(i, "a b c", *(("en", "s0") if i % 2 else ("de", "s1")), 1) for i in range(20)], "doc_id bigint, text string, lang string, source string, n_chars int")
+    clash = {"source": table("source", {"s0": 0.9, "s1": 0.1}), "lang": table("lang", {"en": 0.5, "de": 0.5}), "topic": 1.0}
+    with pytest.raises(mixing.Unreachable, match="source"):
+        mixing.mix(apart, 0.5, clash, topics)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_minimax_cut(seed):
     rng = random.Random(seed)
