@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm.graph import components
@@ -189,11 +189,10 @@ def near_duplicates(docs: DataFrame, id_: str = "doc_id", text: str = "text") ->
     facts = staged(rows.mapInArrow(_facts, FACTS))
     ranks = _bin_ranks(facts)
     facts = facts.filter(F.col("chunk").isNull()).select("doc_id", "n", "node")
-    whole = Window.partitionBy("token")
-    ends = _postings(rows, ranks).select(
-        "token", "node", "n", "at", F.min("node").over(whole).alias("lo"), F.max("node").over(whole).alias("hi")
-    )
-    shared = staged(ends.filter("lo <> hi").select("token", "node", "n", "at").distinct())
+    postings = staged(_postings(rows, ranks).select("token", "node", "n", "at").distinct())
+    # the least and the greatest node are combined before the shuffle, so a common shingle costs no task more
+    ends = postings.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+    shared = staged(postings.join(ends.filter("lo <> hi").select("token"), "token", "left_semi"))
 
     # where a shingle comes early, little in the set is rarer: the centre of a group of near copies
     early = [F.col("at") if i < HUBS // 2 else F.lit(0) for i in range(HUBS)]
