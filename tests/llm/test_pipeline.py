@@ -55,6 +55,30 @@ def test_stages(spark, folder, tmp_path):
             assert sorted(r.doc_id for r in after if r.doc_id is not None) == sorted(r.doc_id for r in before if r.doc_id is not None)
 
 
+def test_near_copies_are_decided_row_by_row(spark):
+    rng = random.Random(3)
+    names = brute.vocabulary(rng, 400)
+    one, two, three, four = (brute.prose(rng, 60, names) for _ in range(4))
+    rows = [
+        (1, one), (1, two), (1, one), (2, brute.edit(rng, one, 1)), (2, three), (3, three), (None, two + " end"), (None, four), (None, four),
+        (None, None), (None, None), (None, ""), (9, None), (9, None),
+    ]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], COLUMNS).repartition(3)
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted([(1, one), (1, two), (2, three), (0, four), (0, ""), (0, ""), (0, ""), (9, "")])
+    assert docs.columns == kept[0].__fields__
+
+
+@pytest.mark.parametrize("empty", ["documents", "labels", "benchmark"])
+def test_empty_tables(spark, folder, tmp_path, empty):
+    base = str(tmp_path / "tables")
+    for name in ("documents", "labels", "benchmark"):
+        table = spark.read.parquet(f"{folder}/{name}.parquet")
+        (table.limit(0) if name == empty else table).write.parquet(f"{base}/{name}.parquet")
+    rows = corpus_pipeline.run(spark, base).count()
+    assert rows == 0 if empty == "documents" else rows > 0
+
+
 def test_queries_have_their_columns(spark):
     data = "/root/testdata/sf0.001"
     expected = {
