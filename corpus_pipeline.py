@@ -16,11 +16,19 @@ from attesta.session import apply_settings, staged
 BROADCAST_IDS = 1_000_000
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose doc_id is not among ``ids``; rows without one stay."""
-    ids = staged(ids.select("doc_id").distinct())
-    small = ids.count() <= BROADCAST_IDS  # 8 MB of ids
-    return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_anti")
+def _without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The documents whose key is not among ``ids``; rows without one stay."""
+    return docs.join(_few(ids, key), key, "left_anti")
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose _key is among ``ids``."""
+    return docs.join(_few(ids, "_key"), "_key", "left_semi")
+
+
+def _few(ids: DataFrame, key: str) -> DataFrame:
+    ids = staged(ids.select(key).distinct())
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids  # 8 MB of ids
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,17 +39,31 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id, and one row of it.
+    """One row of each group of near copies: the one with the smallest doc_id (rows without one come last).
 
-    Rows without a doc_id stay.
+    Rows are told apart by id and text, so of several rows of one doc_id only near copies of
+    something go, and rows without an id take part. Of equal rows of an id one stays; rows without words
+    and without an id are copies of nothing.
     """
-    found = staged(ngram_join.near_duplicates(docs))
-    kept = _without(docs, found.filter(F.col("doc_id") != F.col("component_id")))
-    repeated = staged(found.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id"))
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return _without(kept, repeated).unionByName(once).select(*docs.columns)
+    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.coalesce("text", F.lit("")))
+    keyed = docs.withColumn("_key", key)
+    found = staged(ngram_join.near_duplicates(keyed.select("_key", "text"), id_="_key"))
+    grouped = found.filter(F.col("_key") != F.col("component_id")).select("_key", F.col("component_id").alias("_group"))
+    roots = grouped.select(F.col("_group").alias("_key"), "_group").distinct()
+    members = staged(grouped.distinct().unionByName(roots))
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_key")
+    ranked = staged(_only(keyed.select("_key", "doc_id"), members).distinct().join(members, "_key").select("_key", "_group", rank.alias("rank")))
+    first = ranked.groupBy("_group").agg(F.min("rank").alias("first"))
+    copies = ranked.join(first, "_group").filter(F.col("_key") != F.col("first._key")).select("_key")
+    kept = _without(keyed, copies, "_key")
+    named = F.max(F.col("n_shingles")) > 0
+    counts = found.groupBy("_key").agg(F.count("*").alias("n"), named.alias("words")).filter("n > 1")
+    with_id = _only(keyed.select("_key", "doc_id"), counts).filter(F.col("doc_id").isNotNull()).select("_key", F.lit(True).alias("_id")).distinct()
+    repeated = staged(counts.join(with_id, "_key", "left").filter(F.col("words") | F.col("_id")).select("_key"))
+    if not repeated.isEmpty():
+        once = _only(kept, repeated).dropDuplicates(["_key"])
+        kept = _without(kept, repeated, "_key").unionByName(once)
+    return kept.select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
