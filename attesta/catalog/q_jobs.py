@@ -202,9 +202,15 @@ def _(t):
 
 
 def _stream(t: Tables, name: str):
-    """One given table as a file stream."""
-    schema = t(name).schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 1).parquet(t.folder)
+    """One given table, a file or a folder of files, as a file stream.
+
+    All its files come in one batch: the SQL twins know no arrival order, and files need not
+    be in the order of ids or times.
+    """
+    live, path = t.spark.readStream.schema(t(name).schema), f"{t.folder}/{name}.parquet"
+    if streams.is_folder(t.spark, path):
+        return live.parquet(path)
+    return live.option("pathGlobFilter", f"{name}.parquet").parquet(t.folder)
 
 
 def _place(t: Tables, name: str) -> str:
