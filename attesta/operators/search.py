@@ -373,7 +373,7 @@ def with_source(hits: DataFrame, sources: DataFrame, at_most: int | None = None)
     )
     if at_most is not None and at_most <= BROADCAST_ROWS:
         meta = meta.join(F.broadcast(hits.select("source_id").distinct()), "source_id", "left_semi")
-    return hits.join(meta, "source_id")
+    return hits.hint("merge").join(meta, "source_id")  # stored hits are far smaller on disk than as rows: never broadcast
 
 
 def citation_complete(hits: DataFrame) -> DataFrame:

@@ -38,14 +38,14 @@ def generate_inputs_batch(
     )
     # at most k rows per request; stored once for prompts, decisions and audit
     cited = staged(
-        retrieve_batch(queries, points, sources, k=k, minimum=minimum).select(
+        retrieve_batch(queries, points, sources, k=k, minimum=minimum, texts=False).select(
             "query_id", "rank", "title", "page_or_section", "trust_level"
         )
     )
     per_request = cited.groupBy(F.col("query_id").alias("request_id")).agg(
         F.array_sort(F.collect_list(F.struct("rank", "title", "page_or_section", "trust_level"))).alias("citations")
     )
-    prompts = prompt_assemble(ready.join(per_request, "request_id", "left"), texts)
+    prompts = prompt_assemble(ready.join(per_request.hint("merge"), "request_id", "left"), texts)
     decisions, audit = redact_then_gate(prompts, grants, as_of, cloud_enabled, carry=("strand_id", "prompt_hash"))
     return decisions, blocked, audit
 
@@ -110,7 +110,7 @@ def evaluate_job(
     )
     # at most k rows per question; stored once because scores, summary and drift all start here
     ranked = staged(
-        retrieve_batch(queries, points, sources, k=k, minimum=minimum).select(
+        retrieve_batch(queries, points, sources, k=k, minimum=minimum, texts=False).select(
             F.col("query_id").alias("question_id"), "rank", "source_id"
         )
     )

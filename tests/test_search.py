@@ -180,3 +180,25 @@ def test_no_hit_is_lost_and_few_others_are_kept(spark, kind, map_bytes, monkeypa
     assert kept.join(hits, "point_id", "left_semi").count() == hits.count() == 2000
     assert kept.count() < 2000 + 60_000 / (20 if map_bytes > 4096 else 10)
     assert kept.columns == ["point_id", "chunk_text"]
+
+
+def test_stored_hits_hold_no_texts(spark, monkeypatch):
+    """Many queries that hit the same long text must not store it once per hit (and Spark then broadcast it by its size on disk)."""
+    from attesta.plans import retrieve
+
+    text, longest = "Satz. " * 5000, []
+
+    def looked_at(df, staged=retrieve.staged):
+        out = staged(df)
+        if "chunk_text" in out.columns:
+            longest.append(out.agg(F.max(F.length("chunk_text"))).first()[0])
+        return out
+
+    monkeypatch.setattr(retrieve, "staged", looked_at)
+    points = spark.createDataFrame([(1, [1.0, 1.0], "OPEN_CURATED", "DEUTSCH", "NICHT_ANWENDBAR", 1, text, "p", "h")], POINT)
+    sources = spark.createDataFrame([(1, "t", "u", "p", "l", "r", 1, "h")], SOURCE)
+    queries = spark.createDataFrame([(i, [1.0, float(i)], None) for i in range(50)], "query_id bigint, vector array<double>, display_subject string")
+    found = retrieve_batch(queries, points, sources).collect()
+    assert len(found) == 50 and {r.chunk_text for r in found} == {text}
+    assert max(longest) == 1
+    assert "chunk_text" not in retrieve_batch(queries, points, sources, texts=False).columns
