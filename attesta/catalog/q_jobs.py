@@ -229,7 +229,7 @@ _WINDOW_SQL = """
     FROM (SELECT *, date_trunc('hour', ts) AS window_start FROM {v_audit}) GROUP BY window_start, event_type
 """
 
-# the stream's sketches give the nearest rank instead of an interpolated value
+# the stream gives the nearest rank instead of an interpolated value
 _RANK_WINDOW_SQL = _WINDOW_SQL.replace("quantile_cont(latency, 0.95)", "list_sort(list(latency))[cast(ceil(0.95 * count(latency)) AS int)]")
 
 
@@ -250,7 +250,7 @@ def _(t):
     base = _place(t, "windows")
     live = stream_tables(t, "events")("v_audit").withColumn("ts", F.col("ts").cast("timestamp"))
     streams.stream_audit_windows(live, f"{base}/out", f"{base}/check", target=150.0).awaitTermination()
-    out = _windows(t.spark.read.parquet(f"{base}/out"))
+    out = _windows(t.spark.read.parquet(f"{base}/out").drop("batch"))
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 

@@ -283,3 +283,27 @@ def latency_sketch_report(
     some = F.kll_sketch_get_n_double("_sketch") > 0
     p95 = F.when(some, F.kll_sketch_get_quantile_double("_sketch", F.lit(0.95)))
     return _flags(report.withColumn("p95", p95).drop("_sketch"), target, error_limit)
+
+
+def latency_counts(df: DataFrame, keys: list[str], is_error: Column, latency: str = "latency") -> DataFrame:
+    """Rows and errors per key and measured value: what ``latency_rank_report`` starts from."""
+    rows = df.withColumn("_l", _measured(latency))
+    return rows.groupBy(*keys, "_l").agg(F.count("*").alias("_c"), F.count_if(is_error).alias("_e"))
+
+
+def latency_rank_report(
+    counts: DataFrame, keys: list[str], target: float = LATENCY_P95_TARGET_MS, error_limit: float = ERROR_RATE_LIMIT
+) -> DataFrame:
+    """``latency_report`` from ``latency_counts``, with the exact nearest rank as p95: the smallest value that
+    at least 95 % of the values do not exceed. A group is sorted by its different values."""
+    measured = F.when(F.col("_l").isNotNull(), F.col("_c")).otherwise(F.lit(0))
+    group = Window.partitionBy(*keys)
+    order = group.orderBy(F.col("_l").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.withColumn("_upto", F.sum(measured).over(order)).withColumn("_n", F.sum(measured).over(group))
+    reached = F.col("_upto") * 100 >= F.col("_n") * 95
+    report = placed.groupBy(*keys).agg(
+        F.sum("_c").alias("events"),
+        (F.sum("_e") / F.sum("_c")).alias("error_rate"),
+        F.min(F.when(reached, F.col("_l"))).alias("p95"),
+    )
+    return _flags(report, target, error_limit)
