@@ -29,15 +29,16 @@ def soft_delete(
     """Set ``deleted_at`` for the listed ids: (table, audit rows, unknown ids).
 
     ``deletes``: id and actor_id, one row per command. Every command on a known id leaves an
-    audit row, repeated ones too; unknown ids leave none.
+    audit row, repeated ones too; unknown ids leave none. Joins hash the ids of one side, so no rows are sorted.
     """
     asked = deletes.select(id_).distinct()
-    marked = df.join(asked.withColumn("_hit", F.lit(True)), id_, "left")
+    known = df.select(id_).hint("shuffle_hash")
+    marked = df.join(asked.withColumn("_hit", F.lit(True)).hint("shuffle_hash"), id_, "left")
     table = marked.withColumn(
         "deleted_at", F.when(F.col("_hit"), _ts(as_of)).otherwise(F.col("deleted_at"))
     ).drop("_hit")
-    audit = _audit(deletes.join(df.select(id_), id_, "left_semi"), event, subject, id_, label, "info")
-    return table, audit, asked.join(df.select(id_), id_, "left_anti")
+    audit = _audit(deletes.join(known, id_, "left_semi"), event, subject, id_, label, "info")
+    return table, audit, asked.join(known, id_, "left_anti")
 
 
 def revoke_sources(sources: DataFrame, revocations: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame, DataFrame]:
