@@ -355,3 +355,20 @@ def test_extract_hook(spark):
 
     rows = {r.id: (r.extracted_text, r.extract_error) for r in extract_hook(files, make).collect()}
     assert rows == {1: ("ok", None), 2: (None, "EMPTY_TEXT"), 3: (None, "RuntimeError: no")}
+
+
+def test_commands_and_deletes_are_not_sorted(spark):
+    """The joins hash one row per source or sheet, whatever the number of commands on it."""
+    from attesta.operators import lifecycle, retention
+
+    state = spark.createDataFrame([(1, "DISCOVERED", True, "OPEN_CURATED")], "source_id bigint, lifecycle_status string, license_verified boolean, trust_level string")
+    steps = spark.range(50).selectExpr("id % 1 + 1 AS source_id", "id AS seq", "'register' AS command", "true AS license_verified")
+    sheets = spark.range(3).selectExpr("id AS sheet_id", "CAST(NULL AS timestamp_ntz) AS deleted_at")
+    asked = spark.range(9).selectExpr("id % 4 AS sheet_id", "id AS actor_id")
+    judged = lifecycle.judge_commands(state, steps)[1]
+    frames = [judged, *retention.soft_delete(sheets, asked, "2024-01-01 00:00:00")]
+    for frame in frames:
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "Sort " not in plan
+    assert judged.filter("error IS NULL").count() == 1 and judged.count() == 50
+    assert [f.count() for f in frames[1:]] == [3, 7, 1]
