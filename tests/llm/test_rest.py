@@ -176,6 +176,29 @@ def test_wrapped_notices(spark):
     assert rows[6].paragraphs == 1
 
 
+def test_paragraphs_without_a_cue_word(spark):
+    """Notices are found, and paragraphs counted, where no word of the text speaks of licences; lines of such paragraphs also alone."""
+    part = "No part of this publication may be reproduced or transmitted in any form"
+    cases = [
+        (part + ".", ["proprietary"], 1),
+        ("It was a fine day, and the road\n" + part, ["proprietary"], 1),
+        ("A first line.\nA second line.\n\n---\nA third one.", [], 3),
+        (None, [], 0),
+        ("\n--\n", [], 0),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)], "doc_id bigint, text string")
+    rows = {r.doc_id: (r.families, r.paragraphs) for r in license_scan.scan(docs).collect()}
+    assert rows == {i: (f, n) for i, (_, f, n) in enumerate(cases)}
+
+
+def test_hints_hold_all_marks():
+    """Texts that a family's marks match, written out from the patterns, hold a hint."""
+    plain = lambda m: re.sub(r"\\b|\(\?: \|\$\)", "", m).replace(r"\.", ".").replace(r"\d", "4")
+    for marks in license_scan.MARKS.values():
+        for text in plain(marks[0]).split("|") if "(" not in marks[0] else ["apache license version 2.0", "apache-2.0", "eclipse public license v2.0", "epl-2.0"]:
+            assert any(h in text for h in license_scan.HINTS) or re.search(license_scan.SHORT_HINTS, text), text
+
+
 def test_families_are_told_apart(spark):
     cases = [
         ("This work is licensed under the GNU Lesser General Public License, version 3.", ["lgpl-3.0"]),
