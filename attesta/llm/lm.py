@@ -21,7 +21,7 @@ from attesta.session import staged
 
 HEADS, TAILS = 63, 32
 CLASSES = 1 + HEADS + TAILS
-WIDTH, STEPS, BATCH, NOISE, RATE = 24, 300, 4096, 16, 0.03
+WIDTH, STEPS, NOISE, RATE = 24, 300, 16, 0.03
 KNOWN_BITS = 20
 
 
@@ -106,44 +106,40 @@ def _trigrams(texts: DataFrame, model: Model) -> DataFrame:
     return parts.groupBy("code").agg(F.sum("c").alias("c"))
 
 
-def train_network(model: Model, codes: np.ndarray, counts: np.ndarray, seed: int = 7) -> None:
-    """Fit the vectors to class trigrams drawn in proportion to their counts.
+def train_network(model: Model, codes: np.ndarray, counts: np.ndarray) -> None:
+    """Fit the vectors to all class trigrams, each with its count.
 
     The noise is the class distribution; the score of a class is its log probability up to
-    the noise, so the network learns to tell true classes from NOISE drawn ones.
+    the noise, so the network learns to tell true classes from NOISE ones of it. There are few
+    classes, so each step takes the expected loss of the whole table and nothing is drawn.
     """
-    rng = np.random.default_rng(seed)
     unigram = np.bincount(codes % CLASSES, counts, CLASSES) + 0.5
     noise = unigram / unigram.sum()
     model.bias = np.log(noise)
     if not len(codes):
         return
-    share, noise_share = np.cumsum(counts) / counts.sum(), np.cumsum(noise)
+    seen, at = np.unique(codes // CLASSES, return_inverse=True)
+    far, near = seen // CLASSES, seen % CLASSES
+    true = np.bincount(at * CLASSES + codes % CLASSES, counts / counts.sum(), len(seen) * CLASSES).reshape(len(seen), CLASSES)
+    both = true + true.sum(axis=1, keepdims=True) * noise * NOISE
     names = ["context", "target", "near", "far", "bias"]
     first = {n: np.zeros_like(getattr(model, n)) for n in names}
     second = {n: np.zeros_like(getattr(model, n)) for n in names}
-    log_noise = np.log(noise * NOISE)
-    rows, every = np.arange(BATCH)[:, None], np.arange(CLASSES)[:, None]
+    log_noise, every = np.log(noise * NOISE), np.arange(CLASSES)[:, None]
+    is_near, is_far = (near[None] == every).astype(float), (far[None] == every).astype(float)
     for step in range(1, STEPS + 1):
-        drawn = codes[np.minimum(np.searchsorted(share, rng.random(BATCH)), len(codes) - 1)]
-        far, near, now = drawn // CLASSES**2, drawn // CLASSES % CLASSES, drawn % CLASSES
-        others = np.minimum(np.searchsorted(noise_share, rng.random((BATCH, NOISE))), CLASSES - 1)
-        tried = np.concatenate([now[:, None], others], axis=1)
         a, b = model.context[near], model.context[far]
         predicted = a @ model.near + b @ model.far
-        scores = np.take_along_axis(predicted @ model.target.T + model.bias, tried, axis=1)
-        error = 1 / (1 + np.exp(-np.clip(scores - log_noise[tried], -30, 30)))
-        error[:, 0] -= 1
-        # error of each class in each row: a class drawn several times counts as often
-        spread = np.bincount((rows * CLASSES + tried).ravel(), error.ravel() / BATCH, BATCH * CLASSES).reshape(BATCH, CLASSES)
+        scores = predicted @ model.target.T + model.bias
+        # error of each class after each two classes, true ones and noise together
+        spread = both / (1 + np.exp(-np.clip(scores - log_noise, -30, 30))) - true
         back = spread @ model.target
-        is_near, is_far = near[None] == every, far[None] == every
         g = {
             "target": spread.T @ predicted,
             "bias": spread.sum(axis=0),
             "near": a.T @ back,
             "far": b.T @ back,
-            "context": is_near.astype(float) @ (back @ model.near.T) + is_far.astype(float) @ (back @ model.far.T),
+            "context": is_near @ (back @ model.near.T) + is_far @ (back @ model.far.T),
         }
         rate = RATE * (1 - 0.9 * step / STEPS)
         for n in names:

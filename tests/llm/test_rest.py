@@ -272,6 +272,25 @@ def test_lm_is_normalised():
     assert all(chances[a, b].argmax() == c for a, b, c, _ in steps)
 
 
+def test_lm_network_learns_from_all_counts(monkeypatch):
+    """No trigram is drawn: every count has its part in the training, so the shares after one context come out exactly."""
+    rng = np.random.default_rng(5)
+    shape = (lm.CLASSES, lm.WIDTH)
+    model = lm.Model(
+        np.empty(0, np.uint64), rng.normal(0, 0.1, shape), rng.normal(0, 0.1, shape), np.eye(lm.WIDTH), np.eye(lm.WIDTH), np.zeros(lm.CLASSES),
+        np.ones(lm.TAILS), 1, 1, 1,
+    )
+
+    def drawn(*_):
+        raise AssertionError("a sample is drawn")
+
+    monkeypatch.setattr(np.random, "default_rng", drawn)
+    shares = {1: 0.4, 2: 0.3, 3: 0.2, 4: 0.1}
+    lm.train_network(model, np.array([(7 * lm.CLASSES + 9) * lm.CLASSES + c for c in shares]), np.array([1e6 * s for s in shares.values()]))
+    chances = 10 ** model.table()[7, 9]
+    assert all(abs(chances[c] - s) < 0.005 for c, s in shares.items())
+
+
 def test_quality(spark, docs, nothing):
     rng = random.Random(4)
     names = brute.vocabulary(rng, 400)
