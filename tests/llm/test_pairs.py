@@ -129,6 +129,41 @@ def test_passages_whose_parts_lie_in_other_documents(spark, copies):
     assert all(r.end_word - r.start_word >= 60 for r in found if {r.doc_id, r.other_doc_id} == set(whole))
 
 
+def test_neighbouring_anchors_are_aligned_as_one_run(monkeypatch):
+    """The work between two edited copies follows from the changes, not from the words that are equal."""
+    np = substring.np
+    a = np.random.default_rng(5).integers(0, 1 << 31, 2000).astype(np.uint32)
+    b = np.concatenate([a[:400], a[405:900], a[890:1500], a[1500:]])
+    b[[10, 700, 1200, 1990]] = 7
+    whole, calls = substring.columns, []
+    monkeypatch.setattr(substring, "columns", lambda x, y: calls.append(1) or whole(x, y))
+    aligned = substring.columns(a, b)
+    assert aligned[0].sum() == len(a) and aligned[1].sum() == len(b) and aligned[2].sum() == len(a) - 5 - 4
+    assert len(calls) < 40
+
+
+def test_pairs_compared_at_once_are_those_compared_alone():
+    """Copies with exact chains, edits near and in the chain, clipped pieces and chains of unequal length."""
+    np = substring.np
+    rng = np.random.default_rng(8)
+    rows, alone = [], []
+    for span in range(400):
+        a = rng.integers(0, 1 << 31, int(rng.integers(55, 300))).astype(np.uint32)
+        b = a.copy()
+        b[rng.integers(0, len(b), int(rng.integers(0, 4)))] = 3
+        cut = int(rng.integers(0, 3))
+        b, lo = b[cut:], int(rng.integers(4, 20))
+        hi = len(a) - (int(rng.integers(0, 20)) if span < 399 else 0)  # the last chains end with the pieces
+        cores = (lo, hi), (lo - cut, hi - cut - (span % 7 == 0))
+        for side, (words, core) in enumerate(zip((a, b), cores)):
+            rows.append({"span": span, "side": side, "lo": core[0], "hi": core[1], "start": 10 * side, "words": words.tobytes(), "doc": 2 * span + side})
+        for a0, a1, b0, b1, identity in substring.align(a, cores[0], b, cores[1]):
+            alone.append((2 * span, a0, a1, 2 * span + 1, b0 + 10, b1 + 10, identity))
+    found = [tuple(r.values()) for batch in substring._aligned(substring.pa.Table.from_pylist(rows)) for r in batch.to_pylist()]
+    assert {f for f in found if f[0] % 2 == 0} == set(alone) and len(alone) > 300
+    assert {f[3:6] + f[:3] + f[6:] for f in found if f[0] % 2} == set(alone)
+
+
 def test_recall_of_edited_passages(spark):
     """Copies of 60 to 90 words with changed, left out and added words, down to an identity of 0.8; and of less."""
     rng = random.Random(11)
