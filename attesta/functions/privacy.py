@@ -89,10 +89,47 @@ def _starts(pattern: str, ignore_case: bool) -> str:
 
 def digit_level(col: Column) -> Column:
     """0 without digits, 1 with any, 2 with four in a row. Masks add none, so it holds for masked text too."""
-    return F.when(col.rlike("[0-9]{4}"), F.lit(2)).when(col.rlike("[0-9]"), F.lit(1)).otherwise(F.lit(0))
+    return F.when(~col.rlike("[0-9]"), F.lit(0)).when(col.rlike("[0-9]{4}"), F.lit(2)).otherwise(F.lit(1))
 
 
-def _applies(col: Column, digits: Column, pattern: str) -> Column:
+# letters that patterns without case take for s and i, and that lower() does not turn into them
+ODD_LETTERS = "ſıİ"
+_LETTERS = "A-Za-zÄÖÜäöüß"
+
+
+def leading_words(pattern: str) -> list[str] | None:
+    """In lower case the letters that the alternatives at the start of a pattern begin with, if all have three or more."""
+    body = pattern.removeprefix("\\b")
+    if not body.startswith("(?:"):
+        return body.lower().split("|") if re.fullmatch(f"[{_LETTERS}]{{3,}}(?:[|][{_LETTERS}]{{3,}})+", body) else None
+    depth, parts = 0, [""]
+    for char in body[3:]:
+        depth += (char == "(") - (char == ")")
+        if depth < 0:
+            break
+        if char == "|" and depth == 0:
+            parts.append("")
+        else:
+            parts[-1] += char
+    else:
+        return None
+    if body[3 + len("|".join(parts)) + 1 :][:1] in ("?", "*", "{"):
+        return None
+    heads = [re.match(f"[{_LETTERS}]{{3,}}(?![?*{{])", part) for part in parts]
+    return [h[0].lower() for h in heads] if all(heads) else None
+
+
+def odd_letters(col: Column) -> Column:
+    """Whether the text holds any of ODD_LETTERS. Masks add none, so it holds for masked text too."""
+    return reduce(lambda a, b: a | b, [F.contains(col, F.lit(c)) for c in ODD_LETTERS])
+
+
+def _has_any(col: Column, words: list[str]) -> Column:
+    """Whether the text holds any of the words in any case, odd letters aside."""
+    return let(F.lower(col), lambda x: reduce(lambda a, b: a | b, [F.contains(x, F.lit(w)) for w in dict.fromkeys(words)]))
+
+
+def _applies(col: Column, digits: Column, odd: Column, pattern: str, ignore_case: bool) -> Column:
     """Cheap conditions without which the pattern cannot match."""
     tests = []
     if "\\d" in pattern:
@@ -105,12 +142,18 @@ def _applies(col: Column, digits: Column, pattern: str) -> Column:
         tests.append(F.contains(col, F.lit("[")))
     if "[:=]" in pattern and "[:=]?" not in pattern:
         tests.append(F.contains(col, F.lit(":")) | F.contains(col, F.lit("=")))
+    words = leading_words(pattern) if ignore_case else None
+    if words:
+        tests.append(odd | _has_any(col, words))
+    if pattern.endswith("\\s+\\d+[a-z]?"):  # the last letter of a kind of street, blanks and the number
+        ends = re.findall(r"(\\.|\w)(?=[|)])", pattern[pattern.rindex("(?:") :])
+        tests.append(col.rlike(f"(?iu)[{''.join(dict.fromkeys(ends))}][{WS}]+[0-9]"))
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
-def _replace(col: Column, digits: Column, pattern: str, ignore_case: bool, mask: str) -> Column:
+def _replace(col: Column, digits: Column, odd: Column, pattern: str, ignore_case: bool, mask: str) -> Column:
     masked = F.regexp_replace(col, engine_pattern(pattern, ignore_case), mask)
-    return F.when(_applies(col, digits, pattern), masked).otherwise(col)
+    return F.when(_applies(col, digits, odd, pattern, ignore_case), masked).otherwise(col)
 
 
 def redacted(text: Col) -> Column:
@@ -122,23 +165,24 @@ def redacted(text: Col) -> Column:
     state = let(
         _c(text),
         lambda x: F.struct(
-            x.alias("text"), digit_level(x).alias("digits"), F.array().cast("array<string>").alias("categories")
+            x.alias("text"), digit_level(x).alias("digits"), odd_letters(x).alias("odd"), F.array().cast("array<string>").alias("categories")
         ),
     )
 
-    def replacing(digits: Column, pattern: str, ignore_case: bool, mask: str):
-        return lambda v: _replace(v, digits, pattern, ignore_case, mask)
+    def replacing(digits: Column, odd: Column, pattern: str, ignore_case: bool, mask: str):
+        return lambda v: _replace(v, digits, odd, pattern, ignore_case, mask)
 
     def category_step(category: str, mask: str, patterns: list):
         def step(s: Column) -> Column:
             masked = s["text"]
             for pattern, ignore_case in patterns:
-                masked = let(masked, replacing(s["digits"], pattern, ignore_case, mask))
+                masked = let(masked, replacing(s["digits"], s["odd"], pattern, ignore_case, mask))
             return let(
                 masked,
                 lambda new: F.struct(
                     new.alias("text"),
                     s["digits"].alias("digits"),
+                    s["odd"].alias("odd"),
                     F.when(new != s["text"], F.array_append(s["categories"], F.lit(category)))
                     .otherwise(s["categories"])
                     .alias("categories"),
@@ -167,10 +211,10 @@ def residual_pattern(text: Col) -> Column:
     """Number (from 1) of the first residual pattern found, null when the text is safe."""
 
     def first_hit(x: Column) -> Column:
-        digits = digit_level(x)
+        digits, odd = digit_level(x), odd_letters(x)
         out = F.lit(None).cast("int")
         for number, (pattern, ignore_case) in reversed(list(enumerate(GUARD, 1))):
-            hit = _applies(x, digits, pattern) & x.rlike(engine_pattern(pattern, ignore_case))
+            hit = _applies(x, digits, odd, pattern, ignore_case) & x.rlike(engine_pattern(pattern, ignore_case))
             out = F.when(hit, F.lit(number)).otherwise(out)
         return out
 

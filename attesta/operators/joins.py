@@ -141,7 +141,8 @@ def grants_for(requests: DataFrame, grants: DataFrame, as_of) -> DataFrame:
         .groupBy("request_id")
         .agg(F.min("grant_id").alias("grant_id"))
     )
-    return requests.join(matched, "request_id", "left")
+    # requests may carry whole texts: those are dealt by id to all tasks, but never sorted
+    return requests.join(matched.hint("shuffle_hash"), "request_id", "left")
 
 
 def resolve_strand(requests: DataFrame, strands: DataFrame) -> DataFrame:
