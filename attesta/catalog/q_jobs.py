@@ -192,7 +192,8 @@ def _(t):
     mappings, asked = _pseudonyms(t)
     chunks = index.served().withColumn("chunk_id", F.col("point_id"))
     done = jobs.purge(t("v_source"), chunks, t("v_link"), _holds(t), mappings, asked, AS_OF, "retention-job", since="valid_from", index=index)
-    planned = done.plan.select("row_id").join(chunks.select(F.col("chunk_id").alias("row_id"), "source_id", "chunk_index"), "row_id")
+    named = done.plan.filter(F.col("table") == "rag_chunk").select("row_id")
+    planned = chunks.select(F.col("chunk_id").alias("row_id"), "source_id", "chunk_index").join(named.hint("shuffle_hash"), "row_id")
     parts = {"served": done.chunks, "stored": index.tables.read("chunks"), "plan": planned}
     out = [rows.select(F.lit(name).alias("part"), "source_id", "chunk_index") for name, rows in parts.items()]
     return out[0].unionByName(out[1]).unionByName(out[2])

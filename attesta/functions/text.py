@@ -157,9 +157,15 @@ _PLAIN_ENTITIES = [("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"')
 
 
 def html_to_text(col: Col) -> Column:
-    """Visible text of an HTML page."""
-    text = _entities(_strip_tags(_c(col)), _HTML_ENTITIES)
-    return trim_ws(F.regexp_replace(text, f"[{WS}]{{2,}}", " "))
+    """Visible text of an HTML page.
+
+    A text without ``<`` and ``&`` has neither tags nor entities. The look-ahead passes over
+    printable ASCII, none of which is white space, without testing the whole class.
+    """
+    raw = _c(col)
+    marked = F.contains(raw, F.lit("<")) | F.contains(raw, F.lit("&"))
+    text = F.when(marked, _entities(_strip_tags(raw), _HTML_ENTITIES)).otherwise(raw)
+    return trim_ws(F.regexp_replace(text, f"(?![!-~])[{WS}]{{2,}}", " "))
 
 
 def sanitize_text(col: Col) -> Column:

@@ -31,12 +31,16 @@ class Committed:
 
 @dataclass
 class Ingested:
-    """Results of one run; all lazy. ``hashes`` has the content_hash of every source_id that was ingested."""
+    """Results of one run; all lazy but the stored ``judged`` (source_id, content_hash, reason, outcome).
+
+    ``hashes`` has the content_hash of every source_id that was ingested.
+    """
 
     chunks: DataFrame
     outcomes: DataFrame
     report: DataFrame
     hashes: DataFrame
+    judged: DataFrame
 
 
 def extract_text(df: DataFrame, content: str = "content", mime: str = "mime") -> DataFrame:
@@ -52,14 +56,14 @@ def judge(sources: DataFrame, held: DataFrame | None = None, index: ChunkIndex |
     rows of this run's contents and sources are read. A source that serves this very content
     is skipped. In one run the smallest id that can be ingested holds a content; the others
     are skipped, and so are those whose content another source serves as the run begins.
-    Only ids, hashes and lengths leave the scan of the texts.
+    Only ids, hashes and lengths leave the scan of the texts, and only texts that pass the gate are extracted.
     """
     gated = gate(live(sources)).withColumn("mime", mime_of("uri"))
     facts = extract_text(gated).select(
         "source_id",
         "gate_reason",
         content_hash("content").alias("document_hash"),
-        F.length("extracted").alias("n_extracted"),
+        F.when(F.col("gate_reason").isNull(), F.length("extracted")).alias("n_extracted"),
     )
     facts = staged(facts)  # ids, hashes and lengths: the texts are read and hashed once
     # the first chunk is the longest one, so it decides whether any is long enough
@@ -109,6 +113,14 @@ def accepted_only(sources: DataFrame, judged: DataFrame) -> DataFrame:
     return sources.join(accepted, "source_id", "left_semi")
 
 
+def outcomes_of(judged: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(source_id, outcome, reason, chunks) of every judged source, with the number of its chunk rows."""
+    per_source = chunks.groupBy("source_id").agg(F.count("*").alias("chunks"))
+    return judged.join(per_source, "source_id", "left").select(
+        "source_id", "outcome", "reason", F.coalesce("chunks", F.lit(0).cast("bigint")).alias("chunks")
+    )
+
+
 def ingest_batch(
     sources: DataFrame,
     held: DataFrame | None = None,
@@ -132,14 +144,11 @@ def ingest_batch(
         "point_id", F.concat_ws(":", *[F.col(c).cast("string") for c in ("source_id", "source_version", "chunk_index")])
     )
     # counted before the embedding step, so the outcomes never run it a second time
-    per_source = rows.groupBy("source_id").agg(F.count("*").alias("chunks"))
+    outcomes = outcomes_of(judged, rows)
     if make_embedder is not None:
         chunks = embed(chunks, make_embedder, partitions=partitions)
-    outcomes = judged.join(per_source, "source_id", "left").select(
-        "source_id", "outcome", "reason", F.coalesce("chunks", F.lit(0).cast("bigint")).alias("chunks")
-    )
     hashes = judged.filter(F.col("outcome") == "ingested").select("source_id", "content_hash")
-    return Ingested(chunks, outcomes, ingest_report(outcomes), hashes)
+    return Ingested(chunks, outcomes, ingest_report(outcomes), hashes, judged)
 
 
 def ingest_and_commit(
@@ -158,7 +167,8 @@ def ingest_and_commit(
     and written once, to a folder that nobody reads yet. Then ``registry`` is read: of a source
     that is no longer APPROVED in it the chunks of this run are withdrawn, and what it
     served before is left to the revocation. A committed source is marked INGESTED with its content hash,
-    and its older chunks make way for the new ones. ``keep`` gets the outcomes before the commit.
+    and its older chunks make way for the new ones. ``keep`` gets the outcomes before the commit; their
+    chunks are counted in the written rows, so no text is cut a second time.
     Runs of a writer are numbered; one that was committed before changes nothing.
     """
     fresh, skipped = sources, None
@@ -171,7 +181,7 @@ def ingest_and_commit(
     run = ingest_batch(fresh, make_embedder=make_embedder, index=index)
     written = index.stage(run.chunks, writer, number)
     prepared = index.prepare(writer, number, written, run.hashes, registry)
-    marked = run.outcomes.join(prepared.withdrawn.withColumn("_late", F.lit(True)), "source_id", "left")
+    marked = outcomes_of(run.judged, written[1]).join(prepared.withdrawn.withColumn("_late", F.lit(True)), "source_id", "left")
     outcomes = marked.select(
         "source_id",
         F.when(F.col("_late"), F.lit("failed")).otherwise(F.col("outcome")).alias("outcome"),

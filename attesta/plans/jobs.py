@@ -12,6 +12,7 @@ from attesta.functions.text import json_repair
 from attesta.operators import aggregates, evaluate, filters, grounding, joins, retention
 from attesta.operators.ranking import phase_quartiles
 from attesta.plans.gateway import PromptTexts, prompt_assemble, redact_then_gate
+from attesta.plans.ingest import BROADCAST_IDS
 from attesta.plans.retrieve import retrieve_batch
 from attesta.rules import TOP_K
 from attesta.session import staged
@@ -213,7 +214,8 @@ def purge(
     or deleted or revoked longer than the grace period, unless on legal hold; and expired or
     withdrawn pseudonym mappings. Chunks and links go with their source.
 
-    The due ids and their reasons are stored once; texts of sources are not read. With an ``index``
+    The due ids and their reasons are stored once; texts of sources are not read. Counted ids that are few
+    enough go to chunks and links, so only links of due sources are shuffled. With an ``index``
     the chunks are those it serves; the due ones are deleted from it for real, in the run ``number`` of
     the writer "purge", and the ``chunks`` of the result are what it serves then.
     """
@@ -223,6 +225,7 @@ def purge(
     due = staged(reasons.groupBy("source_id").agg(F.min("reason").alias("reason")))
     expired = staged(retention.pseudonym_expiry(mappings, requests, as_of).select("student_id", "reason"))
     gone = due.select("source_id")
+    gone = F.broadcast(gone) if due.count() <= BROADCAST_IDS else gone
 
     def events(rows: DataFrame, event: str, subject: str, id_: str) -> DataFrame:
         return rows.select(

@@ -213,3 +213,49 @@ def test_purge_and_compact_delete_for_real(spark, tmp_path):
     assert 3 not in words(index)
     ingest_and_commit(back, index, registry(back), 4)
     assert words(index).get(6) is None  # 3 would hold it, and is withdrawn each time
+
+
+def test_a_committed_run_cuts_no_text_twice(spark, tmp_path, monkeypatch):
+    """Texts that fail the gate are not extracted, and outcomes count the written chunks."""
+    from attesta.plans import ingest
+
+    kept = []
+    monkeypatch.setattr(ingest, "staged", lambda df, real=ingest.staged: kept.append((df, real(df))) or kept[-1][1])
+    index = ChunkIndex(spark, str(tmp_path))
+    texts = {1: "eins", 2: "zwei", 3: "zwei"}
+    rows = approved(spark, texts).unionByName(approved(spark, {4: "vier"}, "DISCOVERED"))
+    done = ingest_and_commit(rows, index, registry(rows), 0)
+    assert {r.source_id: (r.outcome, r.chunks) for r in done.outcomes.collect()} == {
+        1: ("ingested", 1), 2: ("ingested", 1), 3: ("skipped", 0), 4: ("failed", 0)
+    }
+    assert {r.source_id: r.n_extracted is None for r in kept[0][1].collect()} == {1: False, 2: False, 3: False, 4: True}
+    plan = kept[-1][0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "sha2" not in plan
+
+
+def test_empty_parts_cost_no_job(spark, tmp_path):
+    tables = KeyedTables(spark, str(tmp_path), {"t": "id"})
+    tables.commit("w", 1, {"t": Replace(frame(spark, [(1, "a")]))})
+    none = tables.rows_of(tables.snapshot().tables["t"], [])
+    assert none.schema == tables.snapshot().tables["t"].schema and none.count() == 0
+    joined = frame(spark, [(1, "b")]).join(none, "id")
+    assert "Join" not in joined._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_links_of_purged_sources_are_chosen_before_the_shuffle(spark):
+    from attesta.plans import jobs
+
+    at = "CAST('2020-01-01' AS timestamp_ntz)"
+    sources = spark.range(4).selectExpr("id AS source_id", f"CASE WHEN id < 2 THEN {at} END AS deleted_at", "CAST(NULL AS timestamp_ntz) AS revoked_at", f"{at} AS retained_from", "'PUBLIC' AS data_class")
+    chunks = spark.range(8).selectExpr("id % 4 AS source_id", "CAST(id AS string) AS chunk_id")
+    links = spark.range(12).selectExpr("id % 3 AS sheet_id", "id % 6 AS source_id").distinct()
+    people = spark.createDataFrame([], "student_id bigint, left_on date")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with ids too many for Spark's own limit
+    try:
+        plan = jobs.purge(sources, chunks, links, spark.createDataFrame([(1,)], "source_id bigint"), people, people, "2024-01-31 00:00:00", "job").plan
+        physical = plan._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in physical and "SortMergeJoin" not in physical
+        assert sorted((r.table, r.row_id) for r in plan.collect()) == [("rag_chunk", "0"), ("rag_chunk", "4"), ("worksheet_source_ref", "0|0")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

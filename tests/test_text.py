@@ -54,6 +54,16 @@ def test_html(spark):
     assert one(spark, T.html_to_text, page) == "A < B \"c'"
 
 
+def test_html_without_marks_skips_no_step(spark):
+    """The same text as by all steps in turn, with and without tags, entities and odd white space."""
+    values = ["a  b", " a\u00a0\u00a0b ", "a\u2003 \ufeffb!  ~", "x &amp; <b>y</b>", "&amp;lt;  z", "a\x7f\x7f\x1f\x1fb", "<", "&nbsp;&nbsp;", "", None, "\u3000", "1 < 2  > 1", "a!!  b\n\n"]
+    frame = spark.createDataFrame([(v,) for v in values], "x string")
+    steps = T.trim_ws(F.regexp_replace(T._entities(T._strip_tags(F.col("x")), T._HTML_ENTITIES), f"[{T.WS}]{{2,}}", " "))
+    assert frame.select(T.html_to_text("x")).collect() == [tuple(r) for r in frame.select(steps).collect()]
+    plan = frame.select(T.html_to_text("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "contains" in plan.lower()
+
+
 @pytest.mark.parametrize(
     "raw,clean",
     [
