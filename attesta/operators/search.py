@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -172,12 +173,14 @@ class QueryBlock:
         )
 
 
-def _shared_pass(blocks: list[DataFrame], points: DataFrame, limit: int, schema) -> DataFrame:
+def _sent(blocks: list[DataFrame], limit: int) -> list[Broadcast]:
+    # one block at a time is on the driver
+    return [b.sparkSession.sparkContext.broadcast(QueryBlock(b.toPandas(), limit)) for b in blocks]
+
+
+def _shared_pass(sent: list[Broadcast], points: DataFrame, schema) -> DataFrame:
     """The best hits of every scan task for all queries of some blocks, in one pass over the points."""
     types = [to_arrow_type(f.dataType) for f in schema]
-    context = points.sparkSession.sparkContext
-    # one block at a time is on the driver
-    sent = [context.broadcast(QueryBlock(block.toPandas(), limit)) for block in blocks]
 
     def scan(batches):
         mine = [b.value for b in sent]
@@ -196,16 +199,21 @@ def _shared_pass(blocks: list[DataFrame], points: DataFrame, limit: int, schema)
 
 def _block_search(queries: DataFrame, points: DataFrame, limit: int, blocks: int) -> DataFrame:
     """Best hits of every task for all queries. Up to ``PASS_BLOCKS`` blocks share a pass over the points;
-    where more passes are needed, only the short lists of each are written."""
+    where more passes are needed, only the short lists of each are written, and its blocks are given up."""
     schema = _hit_schema(queries, points)
     if blocks == 1:
-        return _shared_pass([queries], points, limit, schema)
+        return _shared_pass(_sent([queries], limit), points, schema)
     number = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
     parts = [queries.filter(number == i) for i in range(blocks)]
     passes = [parts[i : i + PASS_BLOCKS] for i in range(0, blocks, PASS_BLOCKS)]
     if len(passes) == 1:
-        return _shared_pass(parts, points, limit, schema)
-    found = [staged(top_k_per_query(_shared_pass(p, points, limit, schema), limit).drop("rank")) for p in passes]
+        return _shared_pass(_sent(parts, limit), points, schema)
+    found = []
+    for part in passes:
+        sent = _sent(part, limit)
+        found.append(staged(top_k_per_query(_shared_pass(sent, points, schema), limit).drop("rank")))
+        for block in sent:
+            block.destroy()
     return reduce(DataFrame.unionByName, found)
 
 
@@ -257,7 +265,8 @@ def attach(hits: DataFrame, points: DataFrame, at_most: int | None = None) -> Da
     if at_most is not None and at_most <= BROADCAST_ROWS:
         return points.join(F.broadcast(hits), "point_id")
     hits = staged(hits)
-    return points_hit(points, hits, hits.count()).join(hits, "point_id")
+    # stored hits are far smaller on disk than as rows: never broadcast
+    return points_hit(points, hits, hits.count()).join(hits.hint("merge"), "point_id")
 
 
 BITS_PER_ID = 32

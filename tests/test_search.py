@@ -202,3 +202,27 @@ def test_stored_hits_hold_no_texts(spark, monkeypatch):
     assert len(found) == 50 and {r.chunk_text for r in found} == {text}
     assert max(longest) == 1
     assert "chunk_text" not in retrieve_batch(queries, points, sources, texts=False).columns
+
+
+def test_equal_queries_are_searched_once(spark, monkeypatch):
+    """Very many queries may ask the same: what is sent out and read back must not grow with them, and each gets its rows."""
+    held = []
+
+    def counted(vectors, matrix=S._matrix):
+        held.append(len(vectors))
+        return matrix(vectors)
+
+    points, sources = six_points(spark)
+    kinds = [([1.0, 1.0, 1.0], None), ([1.0, 1.0, 1.0], "deutsch"), ([1.0, 0.0, 0.5], None), ([], "ethik")]
+    asked = [(i, *kinds[i % 4]) for i in range(200)]
+    schema = "query_id bigint, vector array<double>, display_subject string"
+    alone = {}
+    for i, kind in enumerate(kinds):
+        rows = retrieve_batch(spark.createDataFrame([(0, *kind)], schema), points, sources, k=2).collect()
+        alone[i] = sorted(str({**r.asDict(), "query_id": None}) for r in rows)
+    monkeypatch.setattr(S, "_matrix", counted)
+    got = {}
+    for r in retrieve_batch(spark.createDataFrame(asked, schema), points, sources, k=2).collect():
+        got.setdefault(r.query_id, []).append(str({**r.asDict(), "query_id": None}))
+    assert {q: sorted(rows) for q, rows in got.items()} == {i: alone[i % 4] for i in range(200)}
+    assert sum(held) == 4
