@@ -191,6 +191,36 @@ def test_paragraphs_without_a_cue_word(spark):
     assert rows == {i: (f, n) for i, (_, f, n) in enumerate(cases)}
 
 
+def test_notices_among_other_words(spark):
+    """A notice is found in the middle of a long line, as a sentence and without an end of its own."""
+    prose = "the old road goes down to the river where boats wait for grain and the market opens late in the week"
+    cases = [
+        (f"{prose.capitalize()}. Released under the MIT License. {prose.capitalize()}. {prose.capitalize()}.", ["mit"]),
+        (f"{prose} {prose} released under the MIT License {prose} {prose}", ["mit"]),
+        (f"{prose.capitalize()}.\nIn short {prose}\nand so on. Licensed under CC BY-NC 4.0. Then\n{prose}.", ["cc-by-nc"]),
+        (f"{prose} {prose} {prose}. {prose}.", []),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id bigint, text string")
+    assert {r.doc_id: r.families for r in license_scan.scan(docs).collect()} == {i: f for i, (_, f) in enumerate(cases)}
+
+
+def test_bound_drops_nothing_that_is_predicted(spark):
+    """Pieces that the bound drops have no family at or above the least probability, by any weights."""
+    rng = random.Random(3)
+    many = len(license_scan.FAMILIES)
+    words = [f"w{i}" for i in range(60)]
+    weights = spark.createDataFrame(
+        [(i, *[rng.gauss(0, 2) for _ in range(many)]) for i in range(0, license_scan.FEATURES, 2)],
+        "f int, " + ", ".join(f"w{k} double" for k in range(many)),
+    )
+    rows = spark.createDataFrame([(i, [rng.choice(words) for _ in range(rng.randint(1, 12))]) for i in range(3000)], "id int, words array<string>")
+    best = license_scan._best(license_scan._weighted(license_scan._features(rows, ["id"]), weights, ["id"]), ["id"], 0.5)
+    held = rows.crossJoin(license_scan._margins(weights)).select("id", license_scan._may_be_predicted(F.col("words"), license_scan._least_bound(0.5, 0.6)).alias("may"))
+    got = best.join(held, "id").selectExpr("chance >= 0.6 and likely <> 'unknown' as predicted", "may").groupBy("predicted", "may").count().collect()
+    counts = {(r.predicted, r.may): r["count"] for r in got}
+    assert (True, False) not in counts and counts[True, True] > 100 and counts[False, False] > 100
+
+
 def test_hints_hold_all_marks():
     """Texts that a family's marks match, written out from the patterns, hold a hint."""
     plain = lambda m: re.sub(r"\\b|\(\?: \|\$\)", "", m).replace(r"\.", ".").replace(r"\d", "4")
